@@ -2,46 +2,68 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speechtab.functions.distance import long_distance
 from speechtab.operators import text
 
 # Code points hold 1,114,111 symbols, 2,048 of them reserved.
 _LOW_SYMBOLS = 0xD7FF
 _MAX_SYMBOLS = 0x10FFFF - 2048
-# Bands tried before the full table; a band that is wide enough gives the exact distance.
-_BANDS = (16, 256, 4096)
+# Bands tried before the full table.
+_BANDS = (8, 64, 512)
+_LONG_TEXT = 400
 
 
-def _within(left: Column, right: Column, limit: Column) -> Column:
-    return F.call_function("levenshtein", left, right, limit)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it by name in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def char_distance(left: Column, right: Column) -> Column:
-    """Unit-cost edit distance over characters.
+def _banded_distance(left: Column, right: Column) -> Column:
+    """String distance in widening bands: a wide enough band gives the exact distance.
 
-    Evaluated in widening bands: the cost is proportional to length times distance, and only pairs
-    that differ almost everywhere reach the full quadratic table. Always exact.
+    The cost is proportional to length times distance instead of length squared.
     """
-    widest = F.greatest(F.length(left), F.length(right))
-    limits = F.array(*[F.least(F.lit(b), widest) for b in _BANDS], widest)
-    return F.aggregate(
-        limits,
-        F.lit(-1),
-        lambda found, k: F.when(found >= 0, found).otherwise(_within(left, right, k)),
+
+    def banded(pair: Column) -> Column:
+        widest = F.greatest(F.length(pair["l"]), F.length(pair["r"]))
+        limits = F.array(*[F.least(F.lit(b), widest) for b in _BANDS], widest)
+        return F.aggregate(
+            limits,
+            F.lit(-1),
+            lambda found, k: F.when(found >= 0, found).otherwise(
+                F.call_function("levenshtein", pair["l"], pair["r"], k)
+            ),
+        )
+
+    return let(
+        F.struct(left.alias("l"), right.alias("r")),
+        lambda pair: F.when(pair["l"] == pair["r"], 0).otherwise(banded(pair)),
     )
 
 
+def char_distance(left: Column, right: Column) -> Column:
+    """Unit-cost edit distance over characters; exact for every length.
+
+    Clip-sized texts stay on the JVM. The table of a long pair is quadratic, so long pairs alone are
+    handed to a bit-parallel function (the others travel as nulls).
+    """
+    long = F.greatest(F.length(left), F.length(right)) > _LONG_TEXT
+    return F.when(
+        long, long_distance(F.when(long, left), F.when(long, right))
+    ).otherwise(_banded_distance(F.when(~long, left), F.when(~long, right)))
+
+
 def _as_symbols(words: Column, vocabulary: Column) -> Column:
     """Spell a word sequence with one code point per word."""
 
     def symbol(word: Column) -> Column:
         n = F.array_position(vocabulary, word)
-        n = F.when(n > _LOW_SYMBOLS, n + 2048).otherwise(n)
-        return F.lpad(F.hex(n), 8, "0")
+        return F.lpad(F.hex(n + F.when(n > _LOW_SYMBOLS, 2048).otherwise(0)), 8, "0")
 
     return F.decode(F.unhex(F.array_join(F.transform(words, symbol), "")), "UTF-32")
 
@@ -52,16 +74,20 @@ def word_distance(left: Column, right: Column) -> Column:
     Words become code points, so the built-in string distance applies; pairs with more distinct
     words than there are code points fall back to the explicit table.
     """
-    # A word cannot change by being null; arrays hold none.
-    vocabulary = F.array_distinct(F.concat(left, right))
-    spelled = F.transform(
-        F.array(F.struct(left.alias("l"), right.alias("r"), vocabulary.alias("v"))),
-        lambda p: F.when(
-            F.size(p["v"]) <= _MAX_SYMBOLS,
-            char_distance(_as_symbols(p["l"], p["v"]), _as_symbols(p["r"], p["v"])),
-        ).otherwise(sequence_distance(p["l"], p["r"])),
+
+    def spelled(pair: Column) -> Column:
+        return let(
+            F.array_distinct(F.concat(pair["l"], pair["r"])),
+            lambda v: F.when(
+                F.size(v) <= _MAX_SYMBOLS,
+                _banded_distance(_as_symbols(pair["l"], v), _as_symbols(pair["r"], v)),
+            ).otherwise(sequence_distance(pair["l"], pair["r"])),
+        )
+
+    return let(
+        F.struct(left.alias("l"), right.alias("r")),
+        lambda pair: F.when(pair["l"] == pair["r"], 0).otherwise(spelled(pair)),
     )
-    return F.element_at(spelled, 1)
 
 
 def sequence_distance(left: Column, right: Column) -> Column:
@@ -97,37 +123,69 @@ def score_pairs(
     ``*_macro`` splits at single spaces (the empty text is one word), ``*_micro`` at whitespace.
     """
     p, r = F.col(prediction), F.col(reference)
+
+    def words(w: Column) -> Column:
+        plain = (w["pm"] == w["pu"]) & (w["rm"] == w["ru"])
+        return let(word_distance(w["pm"], w["rm"]), lambda m: F.struct(
+            m.alias("macro"),
+            F.when(plain, m).otherwise(word_distance(w["pu"], w["ru"])).alias("micro"),
+            F.size(w["rm"]).alias("n_macro"),
+            F.size(w["ru"]).alias("n_micro"),
+        ))
+
+    split = F.struct(
+        text.words_macro(p).alias("pm"), text.words_macro(r).alias("rm"),
+        text.words_micro(p).alias("pu"), text.words_micro(r).alias("ru"),
+    )
     return pairs.withColumns({
-        "word_errors_macro": word_distance(text.words_macro(p), text.words_macro(r)),
-        "words_macro": F.size(text.words_macro(r)),
-        "word_errors_micro": word_distance(text.words_micro(p), text.words_micro(r)),
-        "words_micro": F.size(text.words_micro(r)),
+        "__w": let(split, words),
         "char_errors": char_distance(p, r),
         "chars": F.length(r),
         "exact": p == r,
-    })
+    }).withColumns({
+        "word_errors_macro": F.col("__w.macro"),
+        "words_macro": F.col("__w.n_macro"),
+        "word_errors_micro": F.col("__w.micro"),
+        "words_micro": F.col("__w.n_micro"),
+    }).drop("__w")
 
 
-def macro_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean over clips of distance / max(length, 1), and the share of exact matches."""
-    return scored.groupBy(*by).agg(
-        F.avg(F.col("word_errors_macro") / F.greatest("words_macro", F.lit(1))).alias("macro_wer"),
-        F.avg(F.col("char_errors") / F.greatest("chars", F.lit(1))).alias("macro_cer"),
+def _macro() -> list[Column]:
+    def per_clip(errors: str, length: str) -> Column:
+        return F.avg(F.col(errors) / F.greatest(length, F.lit(1)))
+
+    return [
+        per_clip("word_errors_macro", "words_macro").alias("macro_wer"),
+        per_clip("char_errors", "chars").alias("macro_cer"),
         F.avg(F.col("exact").cast("double")).alias("sentence_exact_match"),
         F.count("*").alias("clips"),
-    )
+    ]
 
 
-def micro_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Total distance over total reference length; null where the total is zero."""
-    return scored.groupBy(*by).agg(
+def _micro() -> list[Column]:
+    return [
         F.try_divide(F.sum("word_errors_micro"), F.sum("words_micro")).alias("micro_wer"),
         F.try_divide(F.sum("char_errors"), F.sum("chars")).alias("micro_cer"),
         F.sum("word_errors_micro").alias("word_errors"),
         F.sum("words_micro").alias("words"),
         F.sum("char_errors").alias("char_errors"),
         F.sum("chars").alias("chars"),
-    )
+    ]
+
+
+def macro_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean over clips of distance / max(length, 1), and the share of exact matches."""
+    return scored.groupBy(*by).agg(*_macro())
+
+
+def micro_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Total distance over total reference length; null where the total is zero."""
+    return scored.groupBy(*by).agg(*_micro())
+
+
+def error_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Macro and micro rates in one pass."""
+    return scored.groupBy(*by).agg(*_macro(), *_micro())
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:

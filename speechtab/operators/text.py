@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from speechtab import constants as K
 
 
+# One or more whitespace characters, as a pattern.
+SPACES = f"[{K.WHITESPACE}]+"
+
+
 def string_array(items: Sequence[str]) -> Column:
     return F.array(*[F.lit(i) for i in items]).cast("array<string>")
 
@@ -26,7 +30,7 @@ def words_macro(text: Column) -> Column:
 
 def words_micro(text: Column) -> Column:
     """Split at runs of whitespace; the empty text has no words."""
-    return F.filter(F.split(text, r"\s+", -1), lambda w: F.length(w) > 0)
+    return F.filter(F.split(text, SPACES, -1), lambda w: F.length(w) > 0)
 
 
 def compose_letters(text: Column) -> Column:
@@ -40,11 +44,11 @@ def compose_letters(text: Column) -> Column:
 
 
 def normalize_token(token: Column) -> Column:
-    return compose_letters(F.lower(F.trim(token)))
+    return compose_letters(F.lower(F.btrim(token, F.lit(K.WHITESPACE))))
 
 
 def is_silence(token: Column, silence: Sequence[str] = K.SILENCE_TOKENS) -> Column:
-    return F.lower(F.trim(token)).isin(*silence)
+    return F.lower(F.btrim(token, F.lit(K.WHITESPACE))).isin(*silence)
 
 
 def normalize_tokens(

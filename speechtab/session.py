@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", name: str = "speechtab", **settings: st
     merged = {
         **SETTINGS,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
         **settings,
@@ -60,6 +61,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of few files enough partitions for costly work on its rows.
+
+    With at least one input split per core, as for any big table, nothing is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, whatever the session zone is."""
     return F.unix_micros(F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))

@@ -12,18 +12,18 @@ from speechtab.operators import text
 from speechtab.sources.files import file_stem
 
 # Line ends as Python's splitlines sees them, the two-character form first.
-LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def _lines(files: DataFrame, content: str) -> DataFrame:
     """One row per line with its number from 1; the byte-order mark and blank lines are dropped."""
-    clean = F.regexp_replace(F.col(content), "^﻿", "")
+    clean = F.regexp_replace(F.col(content), "^\ufeff", "")
     others = [c for c in files.columns if c != content]
     return (
         files.select(*others, F.posexplode(F.split(clean, LINE_ENDS, -1)).alias("__i", "line"))
         .withColumn("line_no", F.col("__i") + 1)
         .drop("__i")
-        .filter(F.length(F.regexp_replace("line", r"(?U)\s", "")) > 0)
+        .filter(F.length(F.btrim("line", F.lit(K.WHITESPACE))) > 0)
     )
 
 
@@ -36,13 +36,13 @@ def parse_alignment(
     Every line needs three tab-separated columns. The current form reads numbers only on speech
     lines; the older one (``legacy``) on every line.
     """
-    parts = F.split("line", "\t", -1)
+    parts, space = F.split("line", "\t", -1), F.lit(K.WHITESPACE)
     rows = _lines(files, content).withColumn("__p", parts)
     three = F.size("__p") == 3
     token = F.when(three, text.normalize_token(F.get("__p", F.lit(2))))
     rows = rows.withColumn("token", token).withColumn("is_silence", F.col("token").isin(*silence))
-    start = F.trim(F.get("__p", F.lit(0))).try_cast("bigint")
-    end = F.trim(F.get("__p", F.lit(1))).try_cast("bigint")
+    start = F.btrim(F.get("__p", F.lit(0)), space).try_cast("bigint")
+    end = F.btrim(F.get("__p", F.lit(1)), space).try_cast("bigint")
     timed = F.lit(True) if legacy else ~F.col("is_silence")
     rows = rows.withColumns({
         "start": F.when(three, start), "end": F.when(three, end),
@@ -80,9 +80,9 @@ def parse_spaced(
     ``last_field`` is the variant that takes the last whitespace-separated field instead.
     """
     rows = _lines(files, content)
-    trimmed = F.trim("line")
+    trimmed = F.btrim("line", F.lit(K.WHITESPACE))
     if last_field:
-        token = F.element_at(F.split(trimmed, r"\s+"), -1)
+        token = F.element_at(F.split(trimmed, text.SPACES), -1)
         kept = rows.withColumn("token", token)
     else:
         parts = F.split(trimmed, " ", -1)
@@ -112,7 +112,7 @@ def clip_transcripts(
     For files already held in one row each; malformed lines are ignored here and reported by
     ``parse_alignment``.
     """
-    clean = F.regexp_replace(F.col(content), "^﻿", "")
+    clean = F.regexp_replace(F.col(content), "^\ufeff", "")
     lines = F.filter(
         F.transform(F.split(clean, LINE_ENDS, -1), lambda l: F.split(l, "\t", -1)),
         lambda p: F.size(p) == 3,
