@@ -144,7 +144,7 @@ def unexpected_differences(reconciled: DataFrame, allowed: Sequence[str], name:
     """
     spark = reconciled.sparkSession
     differing = reconciled.filter("status <> 'loaded'").select(name).distinct()
-    permitted = spark.createDataFrame([(a,) for a in allowed], f"{name} string")
+    permitted = spark.range(1).select(F.explode(F.array(*[F.lit(a) for a in allowed])).alias(name))
     return differing.exceptAll(permitted).withColumn("problem", F.lit("not_allowed")).unionByName(
         permitted.exceptAll(differing).withColumn("problem", F.lit("not_differing"))
     )

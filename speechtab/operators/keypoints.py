@@ -12,15 +12,29 @@ from speechtab import skew
 from speechtab.session import random_key
 
 
+def _scaled(values: Sequence[float], size: int, padding: float) -> Column:
+    return F.array(*[F.lit((v + padding) / (2 * padding + 1) * size) for v in values])
+
+
 def template(spark: SparkSession, size: int = K.TEMPLATE_SIZE,
              padding: float = K.TEMPLATE_PADDING) -> DataFrame:
     """(point, u, v): the frontal template scaled to a square picture; 51 rows."""
-    base = spark.createDataFrame(
-        [(i, x, y) for i, (x, y) in enumerate(zip(K.TEMPLATE_X, K.TEMPLATE_Y))],
-        "point int, x double, y double",
+    pairs = F.zip_with(
+        _scaled(K.TEMPLATE_X, size, padding), _scaled(K.TEMPLATE_Y, size, padding),
+        lambda u, v: F.struct(u.alias("u"), v.alias("v")),
+    )
+    return spark.range(1).select(F.posexplode(pairs).alias("point", "p")).select(
+        "point", F.col("p").getField("u").alias("u"), F.col("p").getField("v").alias("v")
     )
-    scale = lambda c: (F.col(c) + padding) / (2 * padding + 1) * size
-    return base.select("point", scale("x").alias("u"), scale("y").alias("v"))
+
+
+def match_template(points: DataFrame, size: int = K.TEMPLATE_SIZE,
+                   padding: float = K.TEMPLATE_PADDING) -> DataFrame:
+    """Points next to their template position; the template is a literal, so nothing is joined."""
+    return points.filter(F.col("point") < len(K.TEMPLATE_X)).withColumns({
+        "u": F.get(_scaled(K.TEMPLATE_X, size, padding), F.col("point")),
+        "v": F.get(_scaled(K.TEMPLATE_Y, size, padding), F.col("point")),
+    })
 
 
 def extents(points: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechtab import constants as K
+from speechtab import session
 from speechtab.operators import text
 
 
@@ -107,46 +108,60 @@ def discounts(adjusted: DataFrame) -> DataFrame:
 def estimate(counts: DataFrame, order: int = K.LM_ORDER) -> DataFrame:
     """Interpolated modified Kneser-Ney model: (order, ngram, log10_prob, log10_backoff).
 
-    One join per order on the suffix; the tables are as small as the model, not as the corpus.
+    An n-gram's probability folds the shares of its suffixes, so all orders need one join on the
+    suffixes instead of one per order. The adjusted counts are written once; everything after them
+    is as small as the model, not as the corpus.
     """
-    adjusted = adjusted_counts(counts, order).join(discounts(adjusted_counts(counts, order)), "order")
+    adjusted = session.cut_lineage(adjusted_counts(counts, order))
     c = F.col("count")
     discount = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-    contexts = adjusted.groupBy("order", "context").agg(
+    discounted = adjusted.join(discounts(adjusted), "order").select(
+        "order", "ngram", "context", "count", discount.alias("discount")
+    )
+    contexts = discounted.groupBy("order", "context").agg(
         F.sum("count").alias("total"),
-        F.sum(F.least(discount, c.cast("double"))).alias("mass"),
-    ).withColumn("gamma", F.col("mass") / F.col("total"))
-    shares = adjusted.join(contexts, ["order", "context"]).select(
-        "order", "ngram",
-        (F.greatest(c - discount, F.lit(0.0)) / F.col("total")).alias("share"), "gamma",
-    )
-    vocabulary = shares.filter("order = 1")
-    uniform = 1.0 / (vocabulary.agg(F.count("*").alias("n")).scalar() + 1)
-    probs = vocabulary.select(
-        "order", "ngram", (F.col("share") + F.col("gamma") * uniform).alias("prob")
-    )
-    unknown = contexts.filter("order = 1").select(
-        F.col("order"), F.lit(K.LM_UNKNOWN).alias("ngram"), (F.col("gamma") * uniform).alias("prob")
-    )
-    below, layers = probs, [probs, unknown]
-    for n in range(2, order + 1):
-        lower = below.select(F.col("ngram").alias("suffix"), F.col("prob").alias("low"))
-        below = (
-            shares.filter(F.col("order") == n)
-            .withColumn("suffix", _suffix(F.col("ngram")))
-            .join(lower, "suffix")
-            .select("order", "ngram", (F.col("share") + F.col("gamma") * F.col("low")).alias("prob"))
+        (F.sum(F.least(F.col("discount"), c.cast("double"))) / F.sum("count")).alias("gamma"),
+    )
+    shares = discounted.join(contexts, ["order", "context"]).select(
+        "ngram", (F.greatest(c - F.col("discount"), F.lit(0.0)) / F.col("total")).alias("share"),
+        "gamma",
+    )
+    # The unknown token counts as one more word.
+    uniform = 1.0 / (
+        adjusted.filter("order = 1").agg(F.count("*").alias("n")).scalar() + 1
+    )
+    parts = F.split("ngram", " ")
+    suffixes = F.transform(
+        F.sequence(F.lit(1), F.col("order")),
+        lambda k: F.struct(
+            k.alias("k"),
+            F.array_join(F.slice(parts, F.col("order") - k + 1, k), " ").alias("suffix"),
+        ),
+    )
+    folded = (
+        adjusted.select("order", "ngram", F.explode(suffixes).alias("s"))
+        .select("order", F.col("ngram").alias("whole"), "s.k", F.col("s.suffix").alias("ngram"))
+        .join(shares, "ngram")
+        .groupBy("order", "whole")
+        .agg(F.array_sort(F.collect_list(F.struct("k", "share", "gamma"))).alias("levels"))
+        .withColumn("uniform", uniform)
+        .select(
+            "order", F.col("whole").alias("ngram"),
+            F.aggregate(
+                "levels", F.col("uniform").cast("double"),
+                lambda acc, level: level["share"] + level["gamma"] * acc,
+            ).alias("prob"),
         )
-        layers.append(below)
-    every = layers[0]
-    for layer in layers[1:]:
-        every = every.unionByName(layer)
+    )
+    unknown = contexts.filter("order = 1").withColumn("uniform", uniform).select(
+        "order", F.lit(K.LM_UNKNOWN).alias("ngram"), (F.col("gamma") * F.col("uniform")).alias("prob")
+    )
     # The context of order n+1 is an n-gram; the start token enters the model only as a context.
     backoff = contexts.filter("order > 1").select(
         (F.col("order") - 1).alias("order"), F.col("context").alias("ngram"),
         F.log10("gamma").alias("log10_backoff"),
     )
-    return every.join(backoff, ["order", "ngram"], "full_outer").select(
+    return folded.unionByName(unknown).join(backoff, ["order", "ngram"], "full_outer").select(
         "order", "ngram", F.log10("prob").alias("log10_prob"), "log10_backoff"
     )
 

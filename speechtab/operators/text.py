@@ -96,8 +96,8 @@ def decode_ids(ids: Column, alphabet: str = K.SERBIAN_LETTERS, start: int = 1) -
 
 def vocabulary(spark: SparkSession, alphabet: str = K.SERBIAN_LETTERS) -> DataFrame:
     """Dimension table (symbol, id); a fixed handful of rows."""
-    symbols = [K.BLANK_SYMBOL, *alphabet]
-    return spark.createDataFrame([(s, i) for i, s in enumerate(symbols)], "symbol string, id int")
+    symbols = string_array([K.BLANK_SYMBOL, *alphabet])
+    return spark.range(1).select(F.posexplode(symbols).alias("id", "symbol")).select("symbol", "id")
 
 
 def language_model_tokens(text: Column) -> Column:

@@ -15,6 +15,8 @@ from speechtab.session import epoch_micros, spread
 UTTERANCE_ENDS = r"[.!?\n]+"
 # Frequent short words play the silence tokens.
 SILENCE = ("the", "der", "la", "de", "en")
+# A character no text contains; it stands for what a hypothesis got wrong.
+BLOT = "■"
 DAY_MICROS = 86_400_000_000
 
 
@@ -44,7 +46,7 @@ def clips(spark: SparkSession, root: str) -> DataFrame:
 
 
 def hypothesis(transcript: Column, *ids: Column | str, seed: str = "0") -> Column:
-    """A repeatable imperfect copy: about 1/16 of the words lost, 1/16 replaced by a new word."""
+    """A repeatable imperfect copy: about 1/16 of the words lost, 1/16 blotted out."""
     numbered = F.transform(text.words_micro(transcript), lambda w, i: F.struct(
         w.alias("w"),
         F.substring(F.md5(F.concat_ws("|", F.lit(seed), *ids, (i + 1).cast("string"))), 1, 1)
@@ -52,7 +54,7 @@ def hypothesis(transcript: Column, *ids: Column | str, seed: str = "0") -> Colum
     ))
     kept = F.filter(numbered, lambda p: p["h"] != "0")
     spoken = F.transform(
-        kept, lambda p: F.when(p["h"] == "1", F.concat(F.lit("#"), p["w"], F.lit("#")))
+        kept, lambda p: F.when(p["h"] == "1", F.repeat(F.lit(BLOT), F.length(p["w"])))
         .otherwise(p["w"])
     )
     return F.array_join(spoken, " ")
@@ -91,7 +93,7 @@ def nbest(spark: SparkSession, root: str) -> DataFrame:
             )),
             lambda p: p["h"] != "0",
         ),
-        lambda p: F.when(p["h"] == "1", F.lit("#")).otherwise(p["w"]),
+        lambda p: F.when(p["h"] == "1", F.repeat(F.lit(BLOT), F.length(p["w"]))).otherwise(p["w"]),
     ), " ").alias("text"))
     draw = lambda kind: F.conv(F.substring(
         F.md5(F.concat_ws("|", F.lit(kind), "seed", "sample_id")), 1, 4), 16, 10).cast("double")

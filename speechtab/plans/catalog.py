@@ -633,8 +633,8 @@ def review_clips(spark, root):
 
 @query
 def gap_fill(spark, root):
-    return rounded(keypoints.fill_gaps(
-        B.frames(spark, root).drop("at"), ["clip"], "frame", ["x", "y"], chunk_size=4096), 9)
+    return keypoints.fill_gaps(
+        B.frames(spark, root).drop("at"), ["clip"], "frame", ["x", "y"], chunk_size=4096)
 
 
 @query
@@ -651,7 +651,7 @@ def point_extents(spark, root):
 
 def template_fit(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     points = B.landmark_points(spark, root)
-    matched = points.join(keypoints.template(spark), "point")
+    matched = keypoints.match_template(points)
     return points, keypoints.fit_similarity(matched, ["sample_id"])
 
 
@@ -744,14 +744,15 @@ def ngram_counts(spark, root):
 
 
 def dialogue_model(spark: SparkSession, root: str, order: int = K.LM_ORDER) -> DataFrame:
-    """Model of the conversations; counts and model are written once and then reused."""
-    counts = session.cut_lineage(ngram.count_ngrams(B.sentences(spark, root), "sentence", order))
+    """Model of the conversations, written once and then reused."""
+    counts = ngram.count_ngrams(B.sentences(spark, root), "sentence", order)
     return session.cut_lineage(ngram.estimate(counts, order))
 
 
 @query
 def kneser_ney_model(spark, root):
-    return rounded(dialogue_model(spark, root), 8)
+    counts = ngram.count_ngrams(B.sentences(spark, root), "sentence")
+    return rounded(ngram.estimate(counts), 8)
 
 
 @query
