@@ -14,8 +14,8 @@ from speechtab.operators import text
 _LOW_SYMBOLS = 0xD7FF
 _MAX_SYMBOLS = 0x10FFFF - 2048
 # Bands tried before the full table.
-_BANDS = (8, 64, 512)
-_LONG_TEXT = 400
+_BANDS = (8, 24, 72, 216)
+_LONG_TEXT = 128
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

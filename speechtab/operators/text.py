@@ -58,14 +58,22 @@ def normalize_tokens(
 
     The older annotation form keeps empty tokens (``keep_empty``), which doubles a space.
     """
-    clean = F.transform(tokens, normalize_token)
-    return F.array_join(
-        F.filter(
-            clean,
-            lambda t: ~t.isin(*silence) & (F.lit(True) if keep_empty else F.length(t) > 0),
-        ),
-        " ",
-    )
+    return _join_spoken(F.transform(tokens, normalize_token), silence, keep_empty)
+
+
+def normalize_sentence(sentence: Column, silence: Sequence[str] = K.SILENCE_TOKENS) -> Column:
+    """The same for words separated by spaces, case and letters settled on the whole string."""
+    words = F.split(compose_letters(F.lower(sentence)), " ", -1)
+    stripped = F.transform(words, lambda w: F.btrim(w, F.lit(K.WHITESPACE)))
+    return _join_spoken(stripped, silence, False)
+
+
+def _join_spoken(clean: Column, silence: Sequence[str], keep_empty: bool) -> Column:
+    def spoken(token: Column) -> Column:
+        heard = ~token.isin(*silence) if silence else F.lit(True)
+        return heard if keep_empty else heard & (F.length(token) > 0)
+
+    return F.array_join(F.filter(clean, spoken), " ")
 
 
 def unknown_characters(text: Column, alphabet: str = K.SERBIAN_LETTERS) -> Column:

@@ -24,25 +24,33 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def utterances(docs: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
-    """(keys, part, raw): the pieces of a text that hold at least one word."""
-    pieces = docs.select(*keys, F.posexplode(F.split(column, UTTERANCE_ENDS, -1)).alias("i", "raw"))
-    return pieces.filter(F.length(F.replace("raw", F.lit(" "), F.lit(""))) > 0).select(
-        *keys, (F.col("i") + 1).alias("part"), "raw"
+def documents(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """Documents spread over the cores, for work that is costly per text."""
+    return spread(table(spark, root, "documents").select(*columns))
+
+
+def utterances(texts: DataFrame, keys: list[str], silence: tuple[str, ...], column: str = "text"
+               ) -> DataFrame:
+    """(keys, part, transcript, num_frames): the pieces of a text that say anything.
+
+    The transcripts are made inside the generator, so the filter does not compute them again.
+    """
+    pieces = F.transform(F.split(column, UTTERANCE_ENDS, -1), lambda raw, i: F.struct(
+        (i + 1).alias("part"), text.normalize_sentence(raw, silence).alias("transcript"),
+        F.length(raw).alias("num_frames"),
+    ))
+    return texts.select(*keys, F.explode(pieces).alias("u")).select(*keys, "u.*").filter(
+        "transcript <> ''"
     )
 
 
 def clips(spark: SparkSession, root: str) -> DataFrame:
     """(sample_id, speaker_id, lang, doc_id, part, transcript, num_frames) from the documents."""
-    docs = spread(table(spark, root, "documents").select("doc_id", "source", "lang", "text"))
-    said = utterances(docs, ["doc_id", "source", "lang"])
-    rows = said.select(
+    docs = documents(spark, root, "doc_id", "source", "lang", "text")
+    return utterances(docs, ["doc_id", "source", "lang"], SILENCE).select(
         F.concat_ws("_", "source", "doc_id", "part").alias("sample_id"),
-        F.col("source").alias("speaker_id"), "lang", "doc_id", "part",
-        text.normalize_tokens(F.split("raw", " ", -1), SILENCE).alias("transcript"),
-        F.length("raw").alias("num_frames"),
+        F.col("source").alias("speaker_id"), "lang", "doc_id", "part", "transcript", "num_frames",
     )
-    return rows.filter("transcript <> ''")
 
 
 def hypothesis(transcript: Column, *ids: Column | str, seed: str = "0") -> Column:
@@ -70,12 +78,10 @@ def predictions(spark: SparkSession, root: str, seed: str = "0") -> DataFrame:
 def dialogue_clips(spark: SparkSession, root: str) -> DataFrame:
     """(sample_id, reference) from the utterances of the conversations."""
     turns = spread(table(spark, root, "conversations").select("conv_id", "turn", "text"))
-    said = utterances(turns, ["conv_id", "turn"])
-    rows = said.select(
+    return utterances(turns, ["conv_id", "turn"], ()).select(
         F.concat_ws("_", "conv_id", "turn", "part").alias("sample_id"),
-        text.normalize_tokens(F.split("raw", " ", -1), ()).alias("reference"),
+        F.col("transcript").alias("reference"),
     )
-    return rows.filter("reference <> ''")
 
 
 def nbest(spark: SparkSession, root: str) -> DataFrame:

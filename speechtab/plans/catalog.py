@@ -110,7 +110,7 @@ def weighted_loss(spark, root):
 
 
 def document_words(spark: SparkSession, root: str) -> DataFrame:
-    docs = B.table(spark, root, "documents").select("doc_id", "text")
+    docs = B.documents(spark, root, "doc_id", "text")
     return docs.select(
         "doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1))
         .alias("i", "word"),
@@ -137,7 +137,7 @@ def annotation_files(spark: SparkSession, root: str, separator: str) -> DataFram
         separator, (i * 10).cast("string"),
         F.when(~F.startswith(F.md5(w), F.lit("0")), (i * 10 + 10).cast("string")), w,
     ))
-    return B.table(spark, root, "documents").select(
+    return B.documents(spark, root, "doc_id", "text").select(
         "doc_id", F.concat(F.lit("﻿"), F.array_join(line, "\r\n")).alias("value")
     )
 
@@ -197,7 +197,8 @@ def speaker_mismatches(spark, root):
 
 @query
 def unknown_characters(spark, root):
-    docs = B.table(spark, root, "documents").select("doc_id", F.lower("text").alias("transcript"))
+    docs = B.documents(spark, root, "doc_id", "text").select(
+        "doc_id", F.lower("text").alias("transcript"))
     checked = validate.transcript_checks(docs, "transcript", K.SERBIAN_LETTERS)
     return checked.select("doc_id", F.array_join("unknown", " ").alias("unknown"), "problem")
 
@@ -284,7 +285,7 @@ def inventory_names(spark, root):
 
 @query
 def nfc_text(spark, root):
-    docs = B.table(spark, root, "documents").select("doc_id", "text")
+    docs = B.documents(spark, root, "doc_id", "text")
     return docs.select("doc_id", F.sha2(nfc("text"), 256).alias("nfc_sha256"))
 
 
@@ -318,13 +319,12 @@ def key_differences(spark, root):
 
 @query
 def manifest(spark, root):
-    docs = B.table(spark, root, "documents")
+    docs = B.documents(spark, root, "doc_id", "source", "lang", "text", "n_chars")
     pairs = B.table(spark, root, "labels").select(F.col("doc_id").alias("sample_id"))
     spoken = docs.select(
         F.col("doc_id").alias("sample_id"), F.col("source").alias("speaker_id"),
-        text.normalize_tokens(
-            F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1), B.SILENCE
-        ).alias("transcript"),
+        text.normalize_sentence(F.replace("text", F.lit("\n"), F.lit(" ")), B.SILENCE)
+        .alias("transcript"),
     )
     media = docs.select(
         F.col("doc_id").alias("sample_id"), F.col("n_chars").alias("num_frames"),

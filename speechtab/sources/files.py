@@ -14,7 +14,10 @@ def file_stem(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """(path, relative_path, bytes, modified) of matching files; no content is loaded."""
+    """(path, relative_path, bytes, modified) of matching files; no content is loaded.
+
+    Empty files are not listed.
+    """
     prefix = root.rstrip("/")
     files = spark.read.format("binaryFile").load(f"{prefix}/{glob}")
     plain = F.regexp_replace("path", r"^file:/*", "/")
