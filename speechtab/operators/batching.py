@@ -11,10 +11,11 @@ from speechtab import skew
 from speechtab.session import random_key
 
 
-def assign_blocks(df: DataFrame, order: str, size: int, *, spread: int = 1024) -> DataFrame:
+def assign_blocks(df: DataFrame, order: str, size: int, *, spread: int = 1 << 20) -> DataFrame:
     """Block number and [first, last] position of each row in id order.
 
-    ``spread`` is the id range sorted together while numbering.
+    ``spread`` is the id range sorted together while numbering; ids over it give the number of
+    bucket counts that meet in one place.
     """
     numbered = skew.number_rows(df, [F.col(order)], F.floor(F.col(order) / spread), "position")
     return numbered.withColumn("block_id", F.floor((F.col("position") - 1) / size))
@@ -32,7 +33,7 @@ def block_summary(blocks: DataFrame, failed: Column | None = None) -> DataFrame:
 
 def epoch_batches(
     df: DataFrame, key: str, epochs: Sequence[int], *, seed: int = 42, size: int = 2,
-    within: Sequence[str] = (), digits: int = 3, shuffled: bool = True,
+    within: Sequence[str] = (), digits: int = 4, shuffled: bool = True,
 ) -> DataFrame:
     """(epoch, batch_id) per row: a repeatable shuffle per epoch, the last partial batch kept.
 

@@ -197,13 +197,8 @@ def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     )
 
 
-def split_document(assigned: DataFrame, split: str = "split") -> DataFrame:
-    """One JSON document per split: speakers, sample count. Names only, never the samples."""
-    speakers = assigned.groupBy(split, "speaker_id").agg(F.count("*").alias("n"))
-    return speakers.groupBy(split).agg(
-        F.to_json(F.struct(
-            F.first(split).alias("split"),
-            F.array_sort(F.collect_list("speaker_id")).alias("speakers"),
-            F.sum("n").alias("samples"),
-        )).alias("document")
+def split_documents(assigned: DataFrame, split: str = "split") -> DataFrame:
+    """The split as JSON lines, one per speaker with its sample count; grows with the speakers only."""
+    return assigned.groupBy(split, "speaker_id").agg(F.count("*").alias("samples")).select(
+        split, F.to_json(F.struct(split, "speaker_id", "samples")).alias("document")
     )

@@ -18,6 +18,7 @@ SILENCE = ("the", "der", "la", "de", "en")
 # A character no text contains; it stands for what a hypothesis got wrong.
 BLOT = "■"
 DAY_MICROS = 86_400_000_000
+MINUTE_MICROS = 60_000_000
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -159,7 +159,7 @@ def alignment_spaced_tokens(spark, root):
 def interval_checks(spark, root):
     lines = B.annotation_lines(spark, root).filter("event_type <> 'error'")
     checked = validate.interval_checks(
-        lines, "user_id", ["start", "event_id"], F.floor(F.col("start") / B.DAY_MICROS)
+        lines, "user_id", ["start", "event_id"], F.floor(F.col("start") / B.MINUTE_MICROS)
     )
     return checked.select("user_id", "event_id", "start", "end", "previous_end", "violation")
 
@@ -168,7 +168,7 @@ def interval_checks(spark, root):
 def first_interval_violations(spark, root):
     lines = B.annotation_lines(spark, root).filter("event_type <> 'error'")
     checked = validate.interval_checks(
-        lines, "user_id", ["start", "event_id"], F.floor(F.col("start") / B.DAY_MICROS)
+        lines, "user_id", ["start", "event_id"], F.floor(F.col("start") / B.MINUTE_MICROS)
     )
     return validate.first_violations(checked, "user_id", ["start", "event_id"])
 
@@ -369,7 +369,7 @@ def split_leaks(spark, root):
 
 @query
 def split_documents(spark, root):
-    return corpus.split_document(document_split(spark, root))
+    return corpus.split_documents(document_split(spark, root))
 
 
 @query

@@ -463,9 +463,8 @@ def statements() -> dict[str, str]:
               SELECT speaker_id, split, 'speaker' FROM assigned)
             SELECT leaked, min(split) AS first_split, max(split) AS last_split, kind FROM k GROUP BY leaked, kind
             HAVING count(DISTINCT split) > 1""",
-        "split_documents": f"""WITH {DOCSPLIT} SELECT split, to_json({{'split': split,
-            'speakers': list_sort(list(DISTINCT speaker_id)), 'samples': count(*)}})::VARCHAR AS document
-            FROM assigned GROUP BY split""",
+        "split_documents": f"""WITH {DOCSPLIT} SELECT split, to_json({{'split': split, 'speaker_id': speaker_id,
+            'samples': count(*)}})::VARCHAR AS document FROM assigned GROUP BY split, speaker_id""",
         "first_existing_path": """SELECT d.doc_id AS sample_id, CASE WHEN toxic = 1 THEN 'alignment' WHEN quality = 1
             THEN 'align' END AS folder, CASE WHEN toxic = 1 THEN 'alignment/' || d.doc_id || '.align' WHEN quality = 1
             THEN 'align/' || d.doc_id || '.align' END AS path FROM documents d LEFT JOIN labels l USING (doc_id)""",

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechtab.session import cut_lineage
+
 
 def _columns(names: Sequence[str]) -> list[Column]:
     return [F.col(n) for n in names]
@@ -174,6 +176,8 @@ def _narrowed_median(
         "__r1": F.floor((F.col("__n") + 1) / 2),
         "__r2": F.floor((F.col("__n") + 2) / 2),
     })
+    # Segments are a few rows per oversized group; writing them keeps the plan short.
+    segments = cut_lineage(segments)
     for _ in range(rounds):
         span = F.col("__hi") - F.col("__lo")
         bin_no = F.when(span <= 0, F.lit(0)).otherwise(
@@ -190,10 +194,10 @@ def _narrowed_median(
         histogram = placed.groupBy(*group, "__seg", "__next", "__skip", "__r1", "__r2").agg(
             F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
         ).withColumn("__skip", F.col("__skip") + F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        segments = histogram.filter(
-            "__skip < __r2 AND __skip + __n >= __r1"
-        ).select(*group, F.col("__next").alias("__seg"), "__n", "__lo", "__hi", "__skip",
-                 "__r1", "__r2")
+        middle_bins = histogram.filter("__skip < __r2 AND __skip + __n >= __r1")
+        segments = cut_lineage(middle_bins.select(
+            *group, F.col("__next").alias("__seg"), "__n", "__lo", "__hi", "__skip", "__r1", "__r2"
+        ))
         data = placed.select(*group, F.col("__next").alias("__seg"), "__v").join(
             segments.select(*group, "__seg"), [*group, "__seg"], "left_semi"
         )
