@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechtab.llm import byte_bpe, token_counts, token_output
+from speechtab.llm import byte_bpe, sharding, simhash, token_counts, token_output
 from speechtab.llm.common import table
 from speechtab.llm.sql import ORACLE_SQL  # noqa: F401
 from speechtab.session import scratch_path
@@ -25,10 +25,21 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(
         table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op4_token_counts, op8_byte_bpe)}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_output, op4_token_counts, op7_simhash, op8_byte_bpe, op9_sharding)
+}
