@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from speechtab.llm import byte_bpe, sharding, simhash, token_counts, token_output
+from speechtab.llm import (
+    byte_bpe, embedding_dedup, fingerprint, sharding, simhash, token_counts, token_output, toxicity,
+)
 from speechtab.llm.common import table
 from speechtab.llm.sql import ORACLE_SQL  # noqa: F401
 from speechtab.session import scratch_path
@@ -21,10 +23,20 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(spark, path)
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_documents(table(spark, sf_dir, "documents"))
 
@@ -39,7 +51,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_output, op4_token_counts, op7_simhash, op8_byte_bpe, op9_sharding)
+    for f in (
+        op1_token_output, op3_fingerprint, op4_token_counts, op6_toxicity, op7_simhash, op8_byte_bpe,
+        op9_sharding, op10_embedding_dedup,
+    )
 }
