@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from speechtab.llm import (
-    byte_bpe, embedding_dedup, fingerprint, sharding, simhash, token_counts, token_output, toxicity,
+    byte_bpe, embedding_dedup, fingerprint, packing, sharding, simhash, token_counts, token_output,
+    toxicity,
 )
 from speechtab.llm.common import table
 from speechtab.llm.sql import ORACLE_SQL  # noqa: F401
@@ -23,6 +24,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(spark, path)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, end_id=2)
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_output, op3_fingerprint, op4_token_counts, op6_toxicity, op7_simhash, op8_byte_bpe,
-        op9_sharding, op10_embedding_dedup,
+        op1_token_output, op2_packing, op3_fingerprint, op4_token_counts, op6_toxicity, op7_simhash,
+        op8_byte_bpe, op9_sharding, op10_embedding_dedup,
     )
 }

@@ -59,9 +59,10 @@ def cut_points(sized: DataFrame, shards: int) -> list[str]:
         solid = [a[2] for a in atoms]
         high = _least_capacity(starts, [True] * len(atoms), shards)
         low = _least_capacity(starts, solid, shards)
-        split = [] if low == high else [
+        ends = _ends(starts, solid, shards, low, high) if low < high else []
+        split = [
             a[0] for i, a in enumerate(atoms)
-            if not a[2] and _may_hold_a_cut(starts, solid, shards, low, high, i)
+            if not a[2] and any(early < starts[i + 1] and starts[i] <= late for early, late in ends)
         ]
         if not split:
             return [atoms[i][0] for i in _greedy(starts, high, shards)]
@@ -123,16 +124,13 @@ def _greedy(starts: list[int], capacity: int, shards: int) -> list[int]:
     return cuts
 
 
-def _may_hold_a_cut(starts: list[int], solid: list[bool], shards: int, low: int, high: int, atom: int) -> bool:
-    """Whether a shard's end for a capacity between the bounds may lie inside the atom."""
-    first, last = starts[atom], starts[atom + 1]
-    early = late = 0
+def _ends(starts: list[int], solid: list[bool], shards: int, low: int, high: int) -> list[tuple[int, int]]:
+    """Between which bytes each shard ends, for any capacity between the bounds."""
+    whole, early, late, ends = [True] * len(solid), 0, 0, []
     for _ in range(shards - 1):
-        early = _reach(starts, [True] * len(solid), early, low)
-        late = _reach(starts, solid, late, high)
-        if early < last and first < late + 1:
-            return True
-    return False
+        early, late = _reach(starts, whole, early, low), _reach(starts, solid, late, high)
+        ends.append((early, late))
+    return ends
 
 
 def _rank(digest: Column, edges: list[str]) -> Column:
