@@ -6,6 +6,7 @@ import atexit
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,26 @@ def _delete(spark: SparkSession, path: str) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
     except Exception:  # the session may have ended already
         pass
+
+
+def whole_groups(
+    batches: Iterable[pa.RecordBatch], key: str, rows: int = 20_000
+) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows of a partition that is sorted by ``key``; none splits a key."""
+    waiting: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        waiting.append(batch)
+        held += batch.num_rows
+        if held < rows:
+            continue
+        table_ = pa.Table.from_batches(waiting)
+        keys = table_[key].to_numpy()
+        stop = int(np.searchsorted(keys, keys[-1]))
+        if stop:
+            yield table_.slice(0, stop).combine_chunks()
+            table_ = table_.slice(stop)
+        waiting, held = table_.to_batches(), table_.num_rows
+        rows = max(rows, 2 * held)  # a large group isn't looked through again for each batch
+    if held:
+        yield pa.Table.from_batches(waiting).combine_chunks()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import cut, map_batches
+from speechtab.llm.common import cut, map_batches, whole_groups
 from speechtab.llm.components import components
 
 LIMIT = 0.95
@@ -118,16 +118,8 @@ def _meetings(classes: DataFrame, limit: float) -> DataFrame:
     )
 
     def meet(batches):
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pa.concat_batches([rest, batch])
-            keys = rest["group"].to_numpy()
-            stop = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if stop:
-                yield from _groups(rest.slice(0, stop), limit)
-                rest = rest.slice(stop)
-        if rest is not None:
-            yield from _groups(rest, limit)
+        for rows in whole_groups(batches, "group", PART):
+            yield from _groups(rows, limit)
 
     return map_batches(
         dealt.repartition("group").sortWithinPartitions("group"), meet, "a long, b long, links long"
@@ -142,7 +134,7 @@ def _table_keys(vector: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (signs.reshape(tables, bits) @ (1 << np.arange(bits))).astype(np.int32)
 
 
-def _groups(rows: pa.RecordBatch, limit: float):
+def _groups(rows: pa.Table, limit: float):
     groups = rows["group"].to_numpy()
     edges = np.concatenate(([0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]))
     several = np.flatnonzero(np.diff(edges) > 1)
@@ -150,9 +142,9 @@ def _groups(rows: pa.RecordBatch, limit: float):
         return
     ids, members = rows["class_id"].to_numpy(), rows["members"].to_numpy()
     number, part = rows["number"].to_numpy(), rows["part"].to_numpy()
-    across = rows["across"].to_numpy(zero_copy_only=False)
-    offsets = rows["vector"].offsets.to_numpy()
-    flat, keys = rows["vector"].values.to_numpy(zero_copy_only=False), rows["keys"]
+    across = rows["across"].to_numpy()
+    vectors_, keys = rows["vector"].combine_chunks(), rows["keys"].combine_chunks()
+    offsets, flat = vectors_.offsets.to_numpy(), vectors_.values.to_numpy(zero_copy_only=False)
     tables = len(keys[0])
     keys = keys.values.to_numpy()[keys.offsets[0].as_py():].reshape(-1, tables)
     out = []

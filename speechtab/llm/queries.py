@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from speechtab.llm import (
-    byte_bpe, embedding_dedup, fingerprint, packing, sharding, simhash, token_counts, token_output,
-    toxicity,
+    byte_bpe, embedding_dedup, fingerprint, packing, sharding, simhash, suffix_dedup, token_counts,
+    token_output, toxicity,
 )
 from speechtab.llm.common import table
 from speechtab.llm.sql import ORACLE_SQL  # noqa: F401
@@ -36,6 +36,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge_documents(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -63,7 +67,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_output, op2_packing, op3_fingerprint, op4_token_counts, op6_toxicity, op7_simhash,
-        op8_byte_bpe, op9_sharding, op10_embedding_dedup,
+        op1_token_output, op2_packing, op3_fingerprint, op4_token_counts, op5_suffix_dedup,
+        op6_toxicity, op7_simhash, op8_byte_bpe, op9_sharding, op10_embedding_dedup,
     )
 }

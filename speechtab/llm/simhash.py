@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import cut, map_batches, whole_text
+from speechtab.llm.common import cut, map_batches, whole_groups, whole_text
 from speechtab.llm.components import components
 
 BITS = 64
@@ -98,16 +98,8 @@ def close_pairs(classes: DataFrame, shard: int = SHARD) -> DataFrame:
     )
 
     def step(batches):
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None else pa.concat_batches([rest, batch])
-            keys = rest["shard"].to_numpy()
-            stop = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if stop:
-                yield from _links(rest.slice(0, stop))
-                rest = rest.slice(stop)
-        if rest is not None:
-            yield from _links(rest)
+        for rows in whole_groups(batches, "shard"):
+            yield _links(rows)
 
     return map_batches(
         spread.repartition("shard").sortWithinPartitions("shard"), step, "a long, b long"
@@ -139,7 +131,7 @@ def _block_of(cell: Column) -> Column:
     return F.shiftright(cell, 5 * VANTAGE_POINTS)
 
 
-def _links(rows: pa.RecordBatch):
+def _links(rows: pa.Table) -> pa.RecordBatch:
     keys, ids = rows["shard"].to_numpy(), rows["first_id"].to_numpy()
     prints = rows["fingerprint"].to_numpy().view(np.uint64)
     edges = np.flatnonzero(np.diff(keys)) + 1
@@ -149,7 +141,7 @@ def _links(rows: pa.RecordBatch):
     for a, b in zip(starts[~small], ends[~small]):
         pairs += [np.stack([x, y]) + a for x, y in _search(prints[a:b], np.arange(b - a))]
     left, right = np.concatenate(pairs, axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right])], names=["a", "b"])
 
 
 def _short_groups(prints: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
