@@ -88,25 +88,42 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", whole_text().alias("text"))
 
 
-def _each(batches):
-    for batch in batches:
-        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            yield doc, text.encode()
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    return _removed(docs, [F.col("doc_id")]).select(
+        F.col("kept_0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
 
 
-def remove_repeats(docs: DataFrame, kept: list[str] = ()) -> DataFrame:
-    """``docs``' kept columns with doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns; ``text`` without what was removed, ``n_chars`` counted anew.
 
-    ``kept_text`` is what is left; a character that lost some of its bytes goes as a whole.
+    A character that lost some of its bytes goes as a whole.
     """
-    marks = find_repeats(docs)
-    lists = marks.groupBy("doc_id").agg(
+    own = {"text": F.col("text").isNull()}  # the text itself comes back as kept_text
+    done = _removed(docs, [own.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    lost = F.col("n_removed") > 0
+    columns = []
+    for i, c in enumerate(docs.columns):
+        column = F.col(f"kept_{i}")
+        if c == "text":
+            column = F.when(~column, F.col("kept_text"))
+        elif c == "n_chars":
+            column = F.when(lost, F.length("kept_text")).otherwise(column).cast(docs.schema[c].dataType)
+        columns.append(column.alias(c))
+    return done.select(*columns)
+
+
+def _removed(docs: DataFrame, kept: list[Column]) -> DataFrame:
+    """``kept`` as kept_0, kept_1 and so on, the counts and what is left of the text."""
+    lists = find_repeats(docs).groupBy(F.col("doc_id").alias("id")).agg(
         F.collect_list("content").alias("contents"), F.collect_list("mask").alias("masks")
     )
-    extra = [c for c in kept if c != "doc_id"]
-    joined = docs.select("doc_id", whole_text().alias("text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(extra)]).join(lists, "doc_id", "left")
-    fields = {f.name: f.dataType.simpleString() for f in joined.schema}
-    carried = [f"kept_{i}" for i in range(len(extra))]
+    carried = [f"kept_{i}" for i in range(len(kept))]
+    joined = docs.select(
+        F.col("doc_id").alias("id"), whole_text().alias("text"), *[c.alias(n) for c, n in zip(kept, carried)]
+    ).join(lists, "id", "left")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name in carried)
 
     def step(batches):
         for batch in batches:
@@ -120,16 +137,14 @@ def remove_repeats(docs: DataFrame, kept: list[str] = ()) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = zip(*out) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(batch[c] for c in carried), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=["doc_id", *carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                [*(batch[c] for c in carried), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                names=[*carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
             )
 
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in ("doc_id", *carried))
-    done = map_batches(
+    return map_batches(
         joined, step,
         f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string",
     )
-    return done.withColumnsRenamed(dict(zip(carried, extra)))
 
 
 def _covered(data: bytes, contents: list[int], masks: list[int]) -> np.ndarray:

@@ -113,10 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[
     return [(r["at"], r["weight"]) for r in map_batches(rows, step, "at int, weight double").collect()]
 
 
-def score_documents(docs: DataFrame, model: list[tuple[int, float]], keep: list[str]) -> DataFrame:
-    """``keep`` and the score of every document."""
+def _scored(docs: DataFrame, model: list[tuple[int, float]], kept: list[Column]) -> DataFrame:
+    """``kept`` as kept_0, kept_1 and so on, and the score of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    names = [f"kept_{i}" for i in range(len(kept))]
+    given = docs.select(*[c.alias(n) for c, n in zip(kept, names)], whole_text().alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name in names)
 
     def step(batches):
         dense = np.zeros((1 << BITS) + 1)
@@ -124,19 +126,24 @@ def score_documents(docs: DataFrame, model: list[tuple[int, float]], keep: list[
             dense[at] = weight
         hashes = _word_hashes()
         for batch in batches:
-            scores = [
-                _sigmoid(dense[features(t, hashes)].sum() + dense[-1]) for t in batch["__text"].to_pylist()
-            ]
+            scores = [_sigmoid(dense[features(t, hashes)].sum() + dense[-1]) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*(batch[k] for k in keep), pa.array(scores, pa.float64())], names=[*keep, "score"]
+                [*(batch[n] for n in names), pa.array(scores, pa.float64())], names=[*names, "score"]
             )
 
-    return map_batches(docs.select(*keep, whole_text().alias("__text")), step, f"{schema}, score double")
+    return map_batches(given, step, f"{schema}, score double")
+
+
+def clean_documents(docs: DataFrame, model: list[tuple[int, float]]) -> DataFrame:
+    """The documents, with all their columns, whose score is below the threshold."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    below = _scored(docs, model, columns).filter(F.col("score") < THRESHOLD).drop("score")
+    return below.toDF(*docs.columns)
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    return score_documents(docs, fit(docs, labels), ["doc_id"]).select(
+    return _scored(docs, fit(docs, labels), [F.col("doc_id")]).withColumnRenamed("kept_0", "doc_id").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
