@@ -110,15 +110,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             F.substring("next_text", F.lit(1), quarter),
         )
     )
-    split = edited.withColumn("row", F.monotonically_increasing_id()).select(
+    pieces = edited.withColumn("row", F.monotonically_increasing_id()).select(
         "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         F.posexplode(F.array("text", "edited", "next_text")).alias("which", "whole"),
-    ).select("row", "which", "doc_id", "n_chars", "edited_sha256", F.explode(paragraphs(F.col("whole"))).alias("part"))
+    )
     kept = ["doc_id", "n_chars", "edited_sha256"]
+    # Only one of a row's three texts carries the other columns through the shuffles.
+    split = pieces.select(
+        "row", "which", *[F.when(F.col("which") == 0, F.col(c)).alias(c) for c in kept],
+        F.explode(paragraphs(F.col("whole"))).alias("part"),
+    )
     summed = lane_sums(split, ["row", "which"], "part", kept)
     of = lambda which: F.first(F.when(F.col("which") == which, F.col("lanes")), ignorenulls=True)
     beside = summed.groupBy("row").agg(
-        *[F.first(c).alias(c) for c in kept], of(0).alias("own"), of(1).alias("changed"), of(2).alias("next")
+        *[F.max(c).alias(c) for c in kept], of(0).alias("own"), of(1).alias("changed"), of(2).alias("next")
     )
     return beside.select(
         *kept, to_hex(F.col("own")).alias("fingerprint"), to_hex(F.col("changed")).alias("edited_fingerprint"),

@@ -30,6 +30,8 @@ EPOCHS = 4
 #: L1 is for a full sample; it falls with the root of the rows, as the sums that it opposes do.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 11.0, 0.1
 THRESHOLD = 0.3
+#: The bias of a model that has learnt nothing.
+NEVER = -35.0
 
 _WORD = re.compile(r"\w+")
 #: Odd multipliers that mix two word hashes into one.
@@ -104,13 +106,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[
         for batch in batches:
             for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
                 examples.append((features(text, hashes), int(label)))
-        at, weights, bias = learn(examples) if examples else ((), (), -35.0)
+        at, weights, bias = learn(examples) if examples else ((), (), NEVER)
         yield pa.RecordBatch.from_arrays(
             [pa.array([*at, 1 << BITS], pa.int32()), pa.array([*weights, bias], pa.float64())],
             names=["at", "weight"],
         )
 
-    return [(r["at"], r["weight"]) for r in map_batches(rows, step, "at int, weight double").collect()]
+    model = [(r["at"], r["weight"]) for r in map_batches(rows, step, "at int, weight double").collect()]
+    return model or [(1 << BITS, NEVER)]
 
 
 def _scored(docs: DataFrame, model: list[tuple[int, float]], kept: list[Column]) -> DataFrame:
