@@ -48,7 +48,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
     release(spark)
-    return spark.read.parquet(path)
+    read = spark.read.parquet(path)
+    read.scratch_path = path
+    return read
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing will read again."""
+    for df in written:
+        _delete(df.sparkSession, df.scratch_path)
+    release(written[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

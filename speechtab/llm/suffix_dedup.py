@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import cut, map_batches, whole_groups, whole_text
+from speechtab.llm.common import cut, discard, map_batches, whole_groups, whole_text
 
 WIDTH = 50
 #: Bytes of a gram; a window has ``WIDTH - GRAM + 1`` of them.
@@ -116,9 +116,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def _removed(docs: DataFrame, kept: list[Column]) -> DataFrame:
     """``kept`` as kept_0, kept_1 and so on, the counts and what is left of the text."""
-    lists = find_repeats(docs).groupBy(F.col("doc_id").alias("id")).agg(
-        F.collect_list("content").alias("contents"), F.collect_list("mask").alias("masks")
-    )
+    lists = find_repeats(docs)
     carried = [f"kept_{i}" for i in range(len(kept))]
     joined = docs.select(
         F.col("doc_id").alias("id"), whole_text().alias("text"), *[c.alias(n) for c, n in zip(kept, carried)]
@@ -164,7 +162,7 @@ def _covered(data: bytes, contents: list[int], masks: list[int]) -> np.ndarray:
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, mask): which windows of a segment start in an earlier document as well."""
+    """(id, contents, masks) of documents: which windows of a segment start in an earlier one as well."""
     texts = _texts(docs)
 
     def outline(batches):
@@ -229,7 +227,14 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         ).otherwise(mask),
     )
     parts = mixed.join(owners, "content").select("doc_id", "content", earlier.alias("mask")).filter("mask <> 0")
-    return whole.unionByName(parts)
+    lists = cut(
+        whole.unionByName(parts).groupBy(F.col("doc_id").alias("id")).agg(
+            F.collect_list("content").alias("contents"), F.collect_list("mask").alias("masks")
+        ),
+        "marks",
+    )
+    discard(shared, found, owners)
+    return lists
 
 
 def _bit_map(buckets: DataFrame) -> bytes:
