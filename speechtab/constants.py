@@ -61,7 +61,9 @@ MOUTH_CROP = (160, 80)
 
 # Parameter groups of a model inventory, by name prefix.
 PARAMETER_GROUPS = {
-    "conv": ("conv1.", "conv2.", "conv3."),
-    "gru": ("gru1.", "gru2."),
+    "conv_early": ("conv1.", "conv2."),
+    "conv3": ("conv3.",),
+    "gru1": ("gru1.",),
+    "gru2": ("gru2.",),
     "head": ("FC.",),
 }

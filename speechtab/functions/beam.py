@@ -35,7 +35,7 @@ class _Scorer:
 
     def __init__(self, table: dict[str, tuple[float | None, float | None]], order: int):
         self.table, self.order, self.seen = table, order, {}
-        self.unknown = table.get(K.LM_UNKNOWN, (-100.0, None))[0]
+        self.unknown = table[K.LM_UNKNOWN][0]
 
     def ln(self, prefix: str, token: str) -> float:
         tail = prefix[-(self.order - 1):] if self.order > 1 else ""
@@ -108,7 +108,7 @@ def _search(
 def beam_decode(
     logits: DataFrame, model: DataFrame | None = None, *, key: str = "sample_id",
     width: int = 100, alpha: float = 1.0, beta: float = 0.0, letters: str = K.SERBIAN_LETTERS,
-    order: int = K.LM_ORDER, broadcast_ngrams: int = BROADCAST_NGRAMS, max_steps: int | None = None,
+    order: int = K.LM_ORDER, broadcast_ngrams: int = BROADCAST_NGRAMS,
 ) -> DataFrame:
     """N-best table (key, alpha, text, am_score, lm_score, word_count) of clip rows.
 
@@ -117,10 +117,11 @@ def beam_decode(
     if model is not None and model.limit(broadcast_ngrams + 1).count() > broadcast_ngrams:
         return beam_decode_by_joins(
             logits, model, key=key, width=width, alpha=alpha, beta=beta, letters=letters,
-            order=order, max_steps=max_steps,
+            order=order,
         )
     shared = None
     if model is not None:
+        _require_unknown(model)
         rows = model.select("ngram", "log10_prob", "log10_backoff").collect()
         shared = logits.sparkSession.sparkContext.broadcast({r[0]: (r[1], r[2]) for r in rows})
 
@@ -145,6 +146,12 @@ def beam_decode(
     return decoded.withColumn("alpha", F.lit(float(alpha)))
 
 
+def _require_unknown(model: DataFrame) -> None:
+    """What an unknown token costs must be in the model; no form of the search makes it up."""
+    if model.filter((F.col("ngram") == K.LM_UNKNOWN) & F.col("log10_prob").isNotNull()).isEmpty():
+        raise ValueError(f"the model has no {K.LM_UNKNOWN}")
+
+
 def _ln_sum(values: Column) -> Column:
     """ln of a sum of exponentials over a short array; null entries are absent terms."""
     terms = F.filter(values, lambda v: v.isNotNull())
@@ -156,7 +163,7 @@ def _ln_sum(values: Column) -> Column:
 def beam_decode_by_joins(
     logits: DataFrame, model: DataFrame, *, key: str = "sample_id", width: int = 100,
     alpha: float = 1.0, beta: float = 0.0, letters: str = K.SERBIAN_LETTERS,
-    order: int = K.LM_ORDER, max_steps: int | None = None, checkpoint_every: int = 4,
+    order: int = K.LM_ORDER, checkpoint_every: int = 4,
 ) -> DataFrame:
     """The same search with the language model as a table, one step of all clips per round.
 
@@ -167,8 +174,8 @@ def beam_decode_by_joins(
         key, F.least("length", F.size("steps")).alias("length"),
         F.transform("steps", ctc.log_softmax).alias("lp"),
     )
-    if max_steps is None:
-        max_steps = clips.agg(F.max("length")).first()[0] or 0
+    _require_unknown(model)
+    steps = clips.agg(F.max("length")).first()[0] or 0
     symbols = text.string_array(list(letters))
     words = F.size(text.words_micro(F.col("prefix")))
     beams = clips.select(
@@ -190,7 +197,7 @@ def beam_decode_by_joins(
         size = F.least(F.size(full), F.lit(order))
         return F.array_join(F.slice(full, F.size(full) - size + 1, size), " ")
 
-    for t in range(max_steps):
+    for t in range(steps):
         step = beams.join(clips.select(key, "length", F.get("lp", F.lit(t)).alias("row")), key)
         live = step.filter(F.col("length") > t)
         done = step.filter(F.col("length") <= t).select(key, "prefix", "pb", "pnb", "lm")

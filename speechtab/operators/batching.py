@@ -11,13 +11,9 @@ from speechtab import skew
 from speechtab.session import random_key
 
 
-def assign_blocks(df: DataFrame, order: str, size: int, *, spread: int = 1 << 20) -> DataFrame:
-    """Block number and [first, last] position of each row in id order.
-
-    ``spread`` is the id range sorted together while numbering; ids over it give the number of
-    bucket counts that meet in one place.
-    """
-    numbered = skew.number_rows(df, [F.col(order)], F.floor(F.col(order) / spread), "position")
+def assign_blocks(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Block number and position (from 1) of each row in the order of ids of any type."""
+    numbered = skew.number_by_range(df, [order])
     return numbered.withColumn("block_id", F.floor((F.col("position") - 1) / size))
 
 
@@ -35,22 +31,23 @@ def epoch_batches(
     df: DataFrame, key: str, epochs: Sequence[int], *, seed: int = 42, size: int = 2,
     within: Sequence[str] = (), digits: int = 4, shuffled: bool = True,
 ) -> DataFrame:
-    """(epoch, batch_id) per row: a repeatable shuffle per epoch, the last partial batch kept.
+    """(epoch, batch_id) per row, the last partial batch kept.
 
-    ``digits`` sets how many hash buckets (16^digits) are sorted independently.
+    ``shuffled`` draws a repeatable order for each epoch, else every epoch has the order of the keys.
+    ``digits`` sets how many hash buckets (16^digits) of a shuffle are sorted independently.
     """
-    spread = df.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in epochs])))
-    draw = random_key(F.col("epoch") + seed, F.col(key), seed="epoch") if shuffled else F.md5(
-        F.lpad(F.col(key).cast("string"), 20, "0")
-    )
-    keyed = spread.withColumn("__k", draw)
-    numbered = skew.number_rows(
-        keyed, [F.col("__k"), F.col(key)], skew.hash_bucket(F.col("__k"), digits), "position",
-        within=[*within, "epoch"],
-    )
-    return numbered.drop("__k").withColumn(
-        "batch_id", F.floor((F.col("position") - 1) / size)
-    )
+    every = F.explode(F.array(*[F.lit(e) for e in epochs]))
+    if shuffled:
+        keyed = df.withColumn("epoch", every).withColumn(
+            "__k", random_key(F.col("epoch") + seed, F.col(key), seed="epoch")
+        )
+        numbered = skew.number_rows(
+            keyed, [F.col("__k"), F.col(key)], skew.hash_bucket(F.col("__k"), digits), "position",
+            within=[*within, "epoch"],
+        ).drop("__k")
+    else:
+        numbered = skew.number_by_range(df, [key], within=within).withColumn("epoch", every)
+    return numbered.withColumn("batch_id", F.floor((F.col("position") - 1) / size))
 
 
 def batch_lengths(batches: DataFrame, by: Sequence[str], length: Column) -> DataFrame:

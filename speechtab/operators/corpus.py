@@ -68,24 +68,18 @@ def split_speakers(speakers: DataFrame, seed: int = K.SPLIT_SEED) -> DataFrame:
     )
 
 
-def split_speakers_shuffled(
-    speakers: DataFrame, seed: int = K.SPLIT_SEED, max_speakers: int = 100_000
-) -> DataFrame:
-    """Compatibility mode: the order of a seeded list shuffle of the sorted speakers.
+def shuffled_split(names: Sequence[str], seed: int = K.SPLIT_SEED) -> dict[str, str]:
+    """Compatibility mode for a known list: the order of a seeded shuffle of the sorted names.
 
-    The shuffle is sequential, so the speaker names visit the driver; their number is checked.
+    The result joins like the dimension of ``split_speakers`` once it is made a table.
     """
-    names = [r[0] for r in speakers.select("speaker_id").distinct().limit(max_speakers + 1).collect()]
-    if len(names) > max_speakers:
-        raise ValueError(f"more than {max_speakers} speakers: use split_speakers")
-    if len(names) < 3:
+    ordered = sorted(set(names))
+    if len(ordered) < 3:
         raise ValueError("a split needs at least 3 speakers")
-    names.sort()
-    random.Random(seed).shuffle(names)
-    held = max(1, round(len(names) * K.HOLDOUT_SHARE))
+    random.Random(seed).shuffle(ordered)
+    held = max(1, round(len(ordered) * K.HOLDOUT_SHARE))
     part = ["test"] * held + ["validation"] * held
-    rows = [(s, part[i] if i < len(part) else "train") for i, s in enumerate(names)]
-    return speakers.sparkSession.createDataFrame(rows, "speaker_id string, split string")
+    return {s: part[i] if i < len(part) else "train" for i, s in enumerate(ordered)}
 
 
 def assign_split(df: DataFrame, split_dim: DataFrame) -> DataFrame:

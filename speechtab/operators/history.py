@@ -28,13 +28,15 @@ def track(
     """Per epoch: improved, best so far, epochs without improvement, and whether training stops.
 
     An epoch improves on a strictly lower finite error rate. During warm-up the count stays 0.
-    Runs begin at epoch 0.
+    Epochs may begin at any number and have gaps.
     """
     chunk = F.floor(F.col(epoch) / chunk_size)
     value = F.when(F.isnan(wer) | (F.col(wer) == float("inf")), None).otherwise(F.col(wer))
     prior = skew.running(
         history.withColumn("__w", value), [run], [epoch], chunk,
-        {"best_before": ("min", F.col("__w"))}, exclusive=True,
+        {
+            "best_before": ("min", F.col("__w")), "__before": ("sum", F.lit(1)),
+        }, exclusive=True,
     ).withColumn(
         "improved",
         F.col("__w").isNotNull()
@@ -42,13 +44,18 @@ def track(
     )
     tracked = skew.running(
         prior, [run], [epoch], chunk,
-        {"best_epoch": ("max", F.when(F.col("improved"), F.col(epoch)))},
+        {
+            "best_epoch": ("max", F.when(F.col("improved"), F.col(epoch))),
+            "__best": ("max", F.when(F.col("improved"), F.col("__before") + 1)),
+            "__warm": ("sum", F.when(F.col(epoch) < warmup, 1).otherwise(0)),
+        },
     )
-    waited = F.col(epoch) - F.greatest(F.coalesce("best_epoch", F.lit(-1)), F.lit(warmup - 1))
+    # Rows since the last improvement or the warm-up, however the epochs are numbered.
+    waited = F.col("__before") + 1 - F.greatest(F.coalesce("__best", F.lit(0)), F.col("__warm"))
     counted = tracked.withColumns({
         "best_so_far": F.least("best_before", "__w"),
-        "without_improvement": F.greatest(waited, F.lit(0)),
-    })
+        "without_improvement": waited.cast("bigint") if history.schema[epoch].dataType.simpleString() == "bigint" else waited.cast("int"),
+    }).drop("__before", "__best", "__warm")
     return counted.withColumn(
         "stops",
         (F.col(epoch) >= warmup) & (F.col("without_improvement") >= patience),

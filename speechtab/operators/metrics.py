@@ -7,15 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechtab.functions.distance import long_distance
 from speechtab.operators import text
 
-# Code points hold 1,114,111 symbols, 2,048 of them reserved.
-_LOW_SYMBOLS = 0xD7FF
-_MAX_SYMBOLS = 0x10FFFF - 2048
 # Bands tried before the full table.
-_BANDS = (8, 24, 72, 216)
-_LONG_TEXT = 128
+_BANDS = (8, 24, 72, 216, 648, 1944, 5832)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,23 +42,22 @@ def _banded_distance(left: Column, right: Column) -> Column:
 
 
 def char_distance(left: Column, right: Column) -> Column:
-    """Unit-cost edit distance over characters; exact for every length.
+    """Unit-cost edit distance over characters; one form, exact for every length."""
+    return _banded_distance(left, right)
 
-    Clip-sized texts stay on the JVM. The table of a long pair is quadratic, so long pairs alone are
-    handed to a bit-parallel function (the others travel as nulls).
-    """
-    long = F.greatest(F.length(left), F.length(right)) > _LONG_TEXT
-    return F.when(
-        long, long_distance(F.when(long, left), F.when(long, right))
-    ).otherwise(_banded_distance(F.when(~long, left), F.when(~long, right)))
 
+def _as_symbols(words: Column, shared: Column, own: int) -> Column:
+    """Spell a word sequence with one code point per word.
 
-def _as_symbols(words: Column, vocabulary: Column) -> Column:
-    """Spell a word sequence with one code point per word."""
+    Words of one side only match nothing, so all of a side's have the code point ``own``. Surrogates and
+    the byte-order mark, which decoders swallow, stand for no word.
+    """
 
     def symbol(word: Column) -> Column:
-        n = F.array_position(vocabulary, word)
-        return F.lpad(F.hex(n + F.when(n > _LOW_SYMBOLS, 2048).otherwise(0)), 8, "0")
+        n = F.array_position(shared, word)
+        point = n + F.when(n + 2 > 0xD7FF, 2 + 2048).otherwise(2)
+        point = F.when(n == 0, own).otherwise(point + F.when(point >= 0xFEFF, 1).otherwise(0))
+        return F.lpad(F.hex(point), 8, "0")
 
     return F.decode(F.unhex(F.array_join(F.transform(words, symbol), "")), "UTF-32")
 
@@ -71,17 +65,14 @@ def _as_symbols(words: Column, vocabulary: Column) -> Column:
 def word_distance(left: Column, right: Column) -> Column:
     """Unit-cost edit distance over two word arrays, without a Python function.
 
-    Words become code points, so the built-in string distance applies; pairs with more distinct
-    words than there are code points fall back to the explicit table.
+    Words become code points, so the built-in string distance applies. Only words of both sides need a
+    code point of their own; there are over a million.
     """
 
     def spelled(pair: Column) -> Column:
         return let(
-            F.array_distinct(F.concat(pair["l"], pair["r"])),
-            lambda v: F.when(
-                F.size(v) <= _MAX_SYMBOLS,
-                _banded_distance(_as_symbols(pair["l"], v), _as_symbols(pair["r"], v)),
-            ).otherwise(sequence_distance(pair["l"], pair["r"])),
+            F.array_intersect(pair["l"], pair["r"]),
+            lambda v: _banded_distance(_as_symbols(pair["l"], v, 1), _as_symbols(pair["r"], v, 2)),
         )
 
     return let(
@@ -90,31 +81,6 @@ def word_distance(left: Column, right: Column) -> Column:
     )
 
 
-def sequence_distance(left: Column, right: Column) -> Column:
-    """Edit distance of two arrays row by row; any alphabet size."""
-    first = F.when(F.size(right) == 0, F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(0), F.size(right))
-    )
-
-    def next_row(row: Column, item: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(row, F.lit(2), F.size(right)), right,
-            lambda up, other: F.struct(up.alias("up"), (item == other).alias("same")),
-        )
-        diagonal = F.slice(row, F.lit(1), F.size(right))
-        cells = F.zip_with(
-            pairs, diagonal,
-            lambda p, d: F.least(p["up"] + 1, d + F.when(p["same"], 0).otherwise(1)),
-        )
-        start = F.array(F.element_at(row, 1) + 1)
-        return F.aggregate(
-            cells, start,
-            lambda acc, c: F.concat(acc, F.array(F.least(c, F.element_at(acc, -1) + 1))),
-        )
-
-    return F.aggregate(left, first, next_row, lambda row: F.element_at(row, -1))
-
-
 def score_pairs(
     pairs: DataFrame, prediction: str = "prediction", reference: str = "reference"
 ) -> DataFrame:

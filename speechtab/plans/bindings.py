@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechtab import constants as K
 from speechtab.operators import boxes, text
 from speechtab.session import epoch_micros, spread
 
@@ -108,7 +109,7 @@ def nbest(spark: SparkSession, root: str) -> DataFrame:
         "sample_id", "text", (-draw("am") / 4096).alias("am_score"),
         (-draw("lm") / 8192).alias("lm_score"),
     )
-    return scored.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (1.0, 1.5)])))
+    return scored.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in K.TUNING_ALPHAS])))
 
 
 def annotation_lines(spark: SparkSession, root: str) -> DataFrame:

@@ -228,7 +228,7 @@ heard AS (SELECT sample_id, seed, list_transform({_micro("reference")}, lambda w
 spelled AS (SELECT sample_id, -{_draw("am")} / 4096 AS am_score, -{_draw("lm")} / 8192 AS lm_score,
    coalesce(array_to_string(list_transform(list_filter(marks, lambda m: m.h <> '0'),
      lambda m: CASE WHEN m.h = '1' THEN repeat('{B.BLOT}', length(m.w)) ELSE m.w END), ' '), '') AS text FROM heard),
-weighted AS (SELECT *, unnest([1.0e0, 1.5e0]) AS alpha FROM spelled),
+weighted AS (SELECT *, unnest([1.0e0, 1.25e0, 1.5e0, 1.75e0]) AS alpha FROM spelled),
 based AS (SELECT *, am_score + alpha * lm_score AS base_score FROM weighted WHERE text <> ''),
 best AS (SELECT sample_id, alpha, text, am_score, lm_score, base_score, len({_micro("text")}) AS word_count
   FROM based QUALIFY row_number() OVER (PARTITION BY sample_id, alpha, text
@@ -243,7 +243,7 @@ chosen AS (SELECT sample_id, alpha, beta, text AS prediction FROM cells
 """
 GRID = CHOSEN + f""",
 everything AS (SELECT sample_id, reference, alpha, beta FROM dialogue,
-  (SELECT unnest([1.0e0, 1.5e0]) AS alpha), (SELECT unnest({BETAS}) AS beta)),
+  (SELECT unnest([1.0e0, 1.25e0, 1.5e0, 1.75e0]) AS alpha), (SELECT unnest({BETAS}) AS beta)),
 completed AS (SELECT e.sample_id, e.reference, e.alpha, e.beta, coalesce(c.prediction, '') AS prediction
   FROM everything e LEFT JOIN chosen c USING (sample_id, alpha, beta)),
 distinct_pairs AS (SELECT DISTINCT sample_id, reference, prediction FROM completed),
@@ -431,10 +431,11 @@ def statements() -> dict[str, str]:
               (len(ids) + {_repeats("ids")})::INTEGER AS required_steps FROM c""",
         "language_model_tokens": f"""WITH {DIALOGUE} SELECT sample_id, array_to_string(list_transform(
             {_chars("reference")}, lambda c: CASE WHEN c = ' ' THEN '<sp>' ELSE c END), ' ') AS tokens FROM dialogue""",
-        "inventory_names": """WITH n AS (SELECT p_partkey, ['conv1.', 'gru2.', 'FC.', 'pool.', 'conv3.'][p_size % 5 + 1]
+        "inventory_names": """WITH n AS (SELECT p_partkey, ['conv1.', 'gru2.', 'FC.', 'pool.', 'conv3.', 'gru1.', 'conv2.'][p_size % 7 + 1]
               || p_partkey AS name FROM part)
-            SELECT p_partkey, name, CASE WHEN name[1:4] = 'conv' THEN 'conv' WHEN name[1:3] = 'gru' THEN 'gru'
-              WHEN name[1:3] = 'FC.' THEN 'head' ELSE 'error' END AS grouped FROM n""",
+            SELECT p_partkey, name, CASE WHEN name[1:6] IN ('conv1.', 'conv2.') THEN 'conv_early'
+              WHEN name[1:6] = 'conv3.' THEN 'conv3' WHEN name[1:5] = 'gru1.' THEN 'gru1' WHEN name[1:5] = 'gru2.'
+              THEN 'gru2' WHEN name[1:3] = 'FC.' THEN 'head' ELSE 'error' END AS grouped FROM n""",
         "nfc_text": "SELECT doc_id, sha256(nfc_normalize(text)) AS nfc_sha256 FROM documents",
         "media_pairing": """SELECT coalesce(d.doc_id, l.doc_id) AS sample_id, d.source AS speaker_id,
             d.n_chars AS num_frames, l.quality, l.toxic, CASE WHEN l.doc_id IS NULL THEN 'no_annotation'
@@ -520,11 +521,13 @@ def statements() -> dict[str, str]:
               round_even(num_frames / 25e0 * 1e6, 0) / 1e6 AS duration_s, num_frames::INTEGER AS num_frames,
               25e0 AS fps, 128 AS width, 64 AS height, len(c)::INTEGER AS target_length,
               (len(c) + {_repeats("c")})::INTEGER AS min_ctc_frames FROM listed""",
-        "results_log": """SELECT user_id::VARCHAR AS sample_id, arg_max(event_type, event_id) AS speaker, 'v' AS video,
-            'o' AS output, max(event_id) AS decoded_frames, max(event_id) AS landmark_frames,
-            0::BIGINT AS dropped_frames FROM events GROUP BY 1""",
+        "results_log": """WITH e AS (SELECT *, event_id % 2 = 0 AS late,
+              CASE WHEN event_id % 2 = 0 THEN -event_id ELSE event_id END AS position FROM events)
+            SELECT user_id::VARCHAR AS sample_id, event_type AS speaker, 'v' AS video, 'o' AS output,
+              event_id AS decoded_frames, event_id AS landmark_frames, 0::BIGINT AS dropped_frames
+            FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY late DESC, position DESC) = 1""",
         "incremental_intake": """SELECT event_id, user_id, event_type, value,
-            CASE WHEN event_type = 'error' THEN 'failure' ELSE 'result' END AS status FROM events""",
+            CASE WHEN event_type <> 'error' AND value > 10 THEN 'result' ELSE 'failure' END AS status FROM events""",
         "frame_boxes": f"WITH {BOXES} SELECT clip_id, speaker_id, picture, points, {FOUR} FROM boxes",
         "clip_boxes": f"""WITH {BOXES} SELECT clip_id, speaker_id, valid_detections, sampled_frames, {FOUR}
             FROM clip_boxes""",
@@ -641,6 +644,9 @@ def statements() -> dict[str, str]:
             n AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws('|', 'epoch', epoch + 42,
               o_orderkey)), o_orderkey) AS position FROM e)
             SELECT o_orderkey, epoch, position, (position - 1) // 2 AS batch_id FROM n""",
+        "ordered_batches": """WITH e AS (SELECT c_name, unnest([0, 1]) AS epoch FROM customer),
+            n AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY c_name) AS position FROM e)
+            SELECT c_name, epoch, position, (position - 1) // 3 AS batch_id FROM n""",
         "batch_lengths": f"""WITH {SEQUENCES} SELECT batch_id, max(len(seq))::INTEGER AS max_length FROM batched
             GROUP BY 1""",
         "padded_batches": f"""WITH {SEQUENCES}, m AS (SELECT *, max(len(seq)) OVER (PARTITION BY batch_id) AS n FROM batched)

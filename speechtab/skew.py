@@ -116,6 +116,21 @@ def number_rows(
     )
 
 
+def number_by_range(
+    df: DataFrame, order: Sequence[str], name: str = "position", within: Sequence[str] = ()
+) -> DataFrame:
+    """Number rows 1..n by columns of any type over the table (or inside each ``within`` group).
+
+    Rows are dealt by ranges of the order, so one count per range (and group) meets in one place. The
+    deal is written, as two samplings of the ranges may differ.
+    """
+    part = "__part"
+    dealt = cut_lineage(
+        df.repartitionByRange(*[F.col(c) for c in (*order, *within)]).withColumn(part, F.spark_partition_id())
+    )
+    return number_rows(dealt, _columns(order), F.col(part), name, within).drop(part)
+
+
 def hash_bucket(key: Column, digits: int = 3) -> Column:
     """Leading hex digits of an md5 key as a number; uniform, and monotone in the key."""
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
@@ -150,9 +165,8 @@ def exact_median(
         return rows.groupBy(*group).agg(*medians).select(*keys, *values)
     light = rows.join(heavy, group, "left_anti").groupBy(*group).agg(*medians)
     big = rows.join(heavy, group, "left_semi")
-    return light.unionByName(_narrowed_median(big, group, values, bins, rounds)).select(
-        *keys, *values
-    )
+    narrowed = heavy.join(_narrowed_median(big, group, values, bins, rounds), group, "left")
+    return light.unionByName(narrowed.select(*group, *values)).select(*keys, *values)
 
 
 def _narrowed_median(

@@ -13,17 +13,23 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def _below(spark: SparkSession, root: str) -> Column:
+    """The part of ``path`` below the root, whatever the folders in it are called."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = system.makeQualified(place).toString().rstrip("/")
+    return F.expr(f"substring(path, {len(whole) + 2})")
+
+
 def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(path, relative_path, bytes, modified) of matching files; no content is loaded.
 
     Empty files are not listed.
     """
-    prefix = root.rstrip("/")
-    files = spark.read.format("binaryFile").load(f"{prefix}/{glob}")
-    plain = F.regexp_replace("path", r"^file:/*", "/")
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}")
     return files.select(
         "path",
-        F.substring_index(plain, prefix.rstrip("/").split("/")[-1] + "/", -1).alias("relative_path"),
+        _below(spark, root).alias("relative_path"),
         F.col("length").alias("bytes"),
         F.col("modificationTime").alias("modified"),
     )
@@ -101,11 +107,9 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
 
 def inventory(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Relative path, size and SHA-256 of the content."""
-    prefix = root.rstrip("/")
-    files = spark.read.format("binaryFile").load(f"{prefix}/{glob}")
-    plain = F.regexp_replace("path", r"^file:/*", "/")
+    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}")
     return files.select(
-        F.substring_index(plain, prefix.split("/")[-1] + "/", -1).alias("relative_path"),
+        _below(spark, root).alias("relative_path"),
         F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"),
     )

@@ -23,7 +23,9 @@ RESULT_SCHEMA = (
 def write_csv(df: DataFrame, path: str, schema: str) -> None:
     """Columns of ``schema`` in order, with a header, one file per partition."""
     names = [part.split()[0] for part in schema.split(", ")]
-    df.select(*names).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.select(*names).write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -56,15 +58,18 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def append_log(results: DataFrame, path: str) -> None:
-    results.write.mode("append").json(path)
+def append_log(results: DataFrame, path: str, run: int, position: Column) -> None:
+    """Append results; ``run`` grows with every append and ``position`` orders the rows of one."""
+    results.withColumns({"run": F.lit(run).cast("bigint"), "position": position.cast("bigint")}).write.mode(
+        "append"
+    ).json(path)
 
 
 def read_log(spark: SparkSession, path: str, schema: str = RESULT_SCHEMA) -> DataFrame:
-    """Result log in JSON Lines with the file time, oldest entries included."""
-    return spark.read.schema(schema).json(path).withColumn(
-        "logged_at", F.col("_metadata.file_modification_time")
-    )
+    """Result log in JSON Lines with the place of each entry, oldest entries included."""
+    return spark.read.schema(f"{schema}, run bigint, position bigint").json(path).withColumn(
+        "logged_at", F.struct("run", "position")
+    ).drop("run", "position")
 
 
 def latest_results(log: DataFrame, key: str = "sample_id", at: Column | str = "logged_at"
@@ -72,8 +77,9 @@ def latest_results(log: DataFrame, key: str = "sample_id", at: Column | str = "l
     """Last write wins per key; the aggregate combines before the shuffle."""
     names = [c for c in log.columns if c != key]
     order = F.col(at) if isinstance(at, str) else at
+    kept = [n for n in names if n != "logged_at"]
     return log.groupBy(key).agg(
-        F.max_by(F.struct(*names), F.struct(order, *[n for n in names if n != at])).alias("r")
+        F.max_by(F.struct(*kept), F.struct(order, *[n for n in names if n != at])).alias("r")
     ).select(key, "r.*")
 
 

@@ -14,6 +14,7 @@ class Intake:
 
     The results and rejects folders are the state: a batch leaves out keys that other batches have
     already recorded, and writing the same batch again after a failure replaces its own folders.
+    Rows with a null key and rows for which ``failed`` is null are kept among the rejects.
     Nothing grows in memory with the age of the stream.
     """
 
@@ -29,12 +30,10 @@ class Intake:
         schema = T.StructType([
             T.StructField(self.key, like), T.StructField("batch_id", T.LongType()),
         ])
-        try:
-            seen = spark.read.schema(schema).parquet(path)
-        except Exception as missing:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return spark.createDataFrame([], schema)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            return spark.createDataFrame([], schema)  # nothing has been written yet
+        seen = spark.read.schema(schema).parquet(path)
         # Partition pruning keeps the current batch out.
         return seen.filter(F.col("batch_id") != batch_id)
 
@@ -45,12 +44,20 @@ class Intake:
         """One micro-batch."""
         spark, key = batch.sparkSession, self.key
         like = batch.schema[key].dataType
-        fresh = batch.dropDuplicates([key])
+        # Of rows with one key the same is taken however often the batch is computed.
+        row = F.struct(*batch.columns)
+        known = batch.filter(F.col(key).isNotNull())
+        fresh = known.groupBy(key).agg(
+            F.min_by(row, F.struct(F.xxhash64(*batch.columns), F.to_json(row))).alias("__row")
+        ).select("__row.*")
         for path in (self.results, self.rejects):
             fresh = fresh.join(
                 self._earlier(spark, path, batch_id, like).select(key), key, "left_anti"
             )
-        done = self.process(fresh.withColumn("failed", self.failed)).persist()
+        # A row whose outcome can't be told has failed, and so has a row without a key.
+        nameless = batch.filter(F.col(key).isNull())
+        judged = fresh.withColumn("failed", F.coalesce(self.failed, F.lit(True)))
+        done = self.process(judged.unionByName(nameless.withColumn("failed", F.lit(True)))).persist()
         try:
             self._write(done.filter("NOT failed").drop("failed"), self.results, batch_id)
             self._write(done.filter("failed").drop("failed"), self.rejects, batch_id)

@@ -81,14 +81,15 @@ def test_tables_round_trip(spark, tmp_path):
 
 
 def test_log_keeps_the_latest(spark, tmp_path):
-    for frames in (10, 12):
+    for frames in (12, 10):
         result = spark.createDataFrame(
             [("a", "s", "v", "o", frames, frames, 0), ("b", "s", "v", "o", 1, 1, 0)],
             tables.RESULT_SCHEMA)
-        tables.append_log(result.limit(2 if frames == 10 else 1), str(tmp_path / "log"))
-    log = tables.read_log(spark, str(tmp_path / "log")).withColumn("logged_at", F.col("decoded_frames"))
+        # The later append has the smaller values.
+        tables.append_log(result.limit(2 if frames == 12 else 1), str(tmp_path / "log"), 12 - frames, F.lit(0))
+    log = tables.read_log(spark, str(tmp_path / "log"))
     latest = tables.latest_results(log).collect()
-    assert {r["sample_id"]: r["decoded_frames"] for r in latest} == {"a": 12, "b": 1}
+    assert {r["sample_id"]: r["decoded_frames"] for r in latest} == {"a": 10, "b": 1}
 
 
 def test_intake_is_incremental(spark, tmp_path):
