@@ -16,7 +16,8 @@ HEADLINE = (
     "error_rates_by_split", "feasibility_report", "manifest", "transcripts_from_lines",
     "interval_checks", "split_assignment", "media_pairing", "fallback_boxes", "gap_fill",
     "similarity_fit", "greedy_decode_by_steps", "ngram_counts", "kneser_ney_model", "grid_rates",
-    "early_stopping", "epoch_batches", "padded_batches", "inventory_reconciliation",
+    "early_stopping", "epoch_batches", "padded_batches", "inventory_reconciliation", "sentence_scores",
+    "incremental_intake",
 )
 
 
