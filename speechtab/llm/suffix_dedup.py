@@ -13,7 +13,7 @@ function of its bytes alone, so equal windows meet. Consecutive windows of one b
 3. Each document joins its segments with the owners, and the covered bytes go.
 
 The segments of a document are found anew in each pass instead of being moved. Passes after the first
-leave out what a bit map of the buckets rules out; it has a fixed size and may let others through, which
+leave out what bit maps rule out; it has a fixed size and may let others through, which
 the joins then drop. Passages in very many documents are aggregated before the shuffle.
 
 A null text counts as the empty one. Documents below ``WIDTH`` bytes lose nothing, nor do rows with a
@@ -180,8 +180,11 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     shared = cut(
         outlined.groupBy("bucket").agg(
             F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"),
-            (F.min("content") != F.max("content")).alias("mixed"),
-        ).filter("owner < last").select("bucket", "owner", "mixed"),
+            F.min("content").alias("content"), (F.min("content") != F.max("content")).alias("mixed"),
+        ).filter("owner < last").select(
+            # The only segment of a bucket stands for it.
+            F.when(F.col("mixed"), F.col("bucket")).otherwise(F.col("content")).alias("key"), "owner", "mixed"
+        ),
         "shared",
     )
     sent = texts.sparkSession.sparkContext.broadcast([_bit_map(shared.filter(m)) for m in ("NOT mixed", "mixed")])
@@ -195,20 +198,22 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                     continue
                 data = text.encode()
                 places, keys = segments(data)
-                spot = keys[0] & (1 << MAP_BITS) - 1
-                plain, mixed = ((m[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool) for m in maps)
+                spots = keys[::-1] & (1 << MAP_BITS) - 1
+                plain, mixed = (
+                    (m[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool) for m, s in zip(maps, spots)
+                )
                 take = np.flatnonzero(plain | mixed)
                 take = take[np.unique(keys[1][take], return_index=True)[1]]
                 for start, size, bucket, content, more in zip(*places[:, take].tolist(), *keys[:, take].tolist(), mixed[take].tolist()):
-                    rows.append((doc, bucket, content, data[start:start + size + WIDTH - 1] if more else None))
+                    rows.append((doc, content, bucket, data[start:start + size + WIDTH - 1]) if more else (doc, content, None, None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             columns = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "bucket", "content", "bytes"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "content", "bucket", "bytes"]
             )
 
-    found = cut(map_batches(texts, members, "doc_id long, bucket long, content long, bytes binary"), "members")
-    whole = found.join(shared.filter("NOT mixed").select("bucket", "owner"), "bucket").filter(
+    found = cut(map_batches(texts, members, "doc_id long, content long, bucket long, bytes binary"), "members")
+    whole = found.join(shared.filter("NOT mixed").select(F.col("key").alias("content"), "owner"), "content").filter(
         "doc_id > owner"
     ).select("doc_id", "content", F.lit(-1).cast("long").alias("mask"))
     mixed = found.filter("bytes IS NOT NULL")
@@ -226,20 +231,23 @@ def find_repeats(docs: DataFrame) -> DataFrame:
             F.get("owners", i) < F.col("doc_id"), mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
         ).otherwise(mask),
     )
-    parts = mixed.join(owners, "content").select("doc_id", "content", earlier.alias("mask")).filter("mask <> 0")
+    parts = cut(
+        mixed.join(owners, "content").select("doc_id", "content", earlier.alias("mask")).filter("mask <> 0"), "parts"
+    )
+    discard(owners)
     lists = cut(
         whole.unionByName(parts).groupBy(F.col("doc_id").alias("id")).agg(
             F.collect_list("content").alias("contents"), F.collect_list("mask").alias("masks")
         ),
         "marks",
     )
-    discard(shared, found, owners)
+    discard(shared, found, parts)
     return lists
 
 
-def _bit_map(buckets: DataFrame) -> bytes:
-    """A bit for each bucket, of a fixed size whatever their number."""
-    spot = F.col("bucket").bitwiseAND((1 << MAP_BITS) - 1)
+def _bit_map(keys: DataFrame) -> bytes:
+    """A bit for each ``key``, of a fixed size whatever their number."""
+    spot = F.col("key").bitwiseAND((1 << MAP_BITS) - 1)
     size = 1 << MAP_BITS - 6  # bits of one of 64 parts
 
     def step(batches):
@@ -256,7 +264,7 @@ def _bit_map(buckets: DataFrame) -> bytes:
         )
 
     made = map_batches(
-        buckets.select(spot.alias("spot")).distinct().repartition(F.shiftright("spot", MAP_BITS - 6)),
+        keys.select(spot.alias("spot")).distinct().repartition(F.shiftright("spot", MAP_BITS - 6)),
         step, "part long, bits binary",
     )
     whole = bytearray(1 << MAP_BITS - 3)
