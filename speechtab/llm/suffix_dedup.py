@@ -9,7 +9,8 @@ function of its bytes alone, so equal windows meet. Consecutive windows of one b
 2. The distinct segments of each mixed bucket are suffix sorted, from each window's start to the
    windows' width, by deep-shallow sorting: multikey quicksort, eight bytes at a time, to a shallow
    depth, then blind tries order the groups that still have a common prefix. Neighbours that are equal
-   are one string, and the smallest id among them owns it.
+   are one string, and the smallest id among them owns it. Buckets of many segments don't go to one
+   task: each of their windows is a string of its own, whose smallest id is aggregated before the shuffle.
 3. Each document joins its segments with the owners, and the covered bytes go.
 
 The segments of a document are found anew in each pass instead of being moved. Passes after the first
@@ -38,6 +39,8 @@ GRAM = 24
 #: Windows of a segment at most; their marks fill a long.
 SEGMENT = 32
 SHALLOW = 24
+#: Segments of a bucket, counted once a document, beyond which its windows are aggregated one by one.
+CROWDED = 2_000
 #: log2 of the bits of a bit map: 8 MiB.
 MAP_BITS = 26
 
@@ -181,13 +184,14 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         outlined.groupBy("bucket").agg(
             F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"),
             F.min("content").alias("content"), (F.min("content") != F.max("content")).alias("mixed"),
+            (F.count("*") > CROWDED).alias("crowded"),
         ).filter("owner < last").select(
             # The only segment of a bucket stands for it.
-            F.when(F.col("mixed"), F.col("bucket")).otherwise(F.col("content")).alias("key"), "owner", "mixed"
+            F.when(F.col("mixed"), F.col("bucket")).otherwise(F.col("content")).alias("key"), "owner", "mixed", "crowded"
         ),
         "shared",
     )
-    sent = texts.sparkSession.sparkContext.broadcast([_bit_map(shared.filter(m)) for m in ("NOT mixed", "mixed")])
+    sent = texts.sparkSession.sparkContext.broadcast([_bit_map(shared.filter(m)) for m in ("NOT mixed", "mixed", "mixed AND crowded")])
 
     def members(batches):
         maps = [np.frombuffer(m, np.uint8) for m in sent.value]
@@ -198,33 +202,41 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                     continue
                 data = text.encode()
                 places, keys = segments(data)
-                spots = keys[::-1] & (1 << MAP_BITS) - 1
-                plain, mixed = (
+                spots = keys[[1, 0, 0]] & (1 << MAP_BITS) - 1
+                plain, mixed, crowded = (
                     (m[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool) for m, s in zip(maps, spots)
                 )
                 take = np.flatnonzero(plain | mixed)
                 take = take[np.unique(keys[1][take], return_index=True)[1]]
-                for start, size, bucket, content, more in zip(*places[:, take].tolist(), *keys[:, take].tolist(), mixed[take].tolist()):
-                    rows.append((doc, content, bucket, data[start:start + size + WIDTH - 1]) if more else (doc, content, None, None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = zip(*rows) if rows else [()] * 4
+                for start, size, bucket, content, more, many in zip(
+                    *places[:, take].tolist(), *keys[:, take].tolist(), mixed[take].tolist(), crowded[take].tolist()
+                ):
+                    rows.append(
+                        (doc, content, bucket, data[start:start + size + WIDTH - 1], many) if more
+                        else (doc, content, None, None, False)
+                    )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            columns = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "content", "bucket", "bytes"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "content", "bucket", "bytes", "crowded"]
             )
 
-    found = cut(map_batches(texts, members, "doc_id long, content long, bucket long, bytes binary"), "members")
+    found = cut(
+        map_batches(texts, members, "doc_id long, content long, bucket long, bytes binary, crowded boolean"), "members"
+    )
     whole = found.join(shared.filter("NOT mixed").select(F.col("key").alias("content"), "owner"), "content").filter(
         "doc_id > owner"
     ).select("doc_id", "content", F.lit(-1).cast("long").alias("mask"))
     mixed = found.filter("bytes IS NOT NULL")
-    distinct = mixed.groupBy("bucket", "content").agg(F.min("doc_id").alias("owner"), F.min("bytes").alias("bytes"))
-    owners = cut(
-        map_batches(
-            distinct.repartition("bucket").sortWithinPartitions("bucket", "content"), _own_windows,
-            "content long, owners array<long>",
-        ),
-        "owners",
+    distinct, many = (
+        mixed.filter(m).groupBy("bucket", "content").agg(F.min("doc_id").alias("owner"), F.min("bytes").alias("bytes"))
+        for m in ("NOT crowded", "crowded")
     )
+    sorted_ = map_batches(
+        distinct.repartition("bucket").sortWithinPartitions("bucket", "content"), _own_windows,
+        "content long, owners array<long>",
+    )
+    owners = cut(sorted_.unionByName(_crowded_windows(many)), "owners")
     earlier = F.aggregate(
         F.sequence(F.lit(0), F.size("owners") - 1), F.lit(0).cast("long"),
         lambda mask, i: F.when(
@@ -295,6 +307,19 @@ def _own_windows(batches):
         )
 
 
+def _crowded_windows(distinct: DataFrame) -> DataFrame:
+    """The same for buckets of any number of segments, by aggregates and joins that can be split."""
+    at = F.sequence(F.lit(1), F.octet_length("bytes") - WIDTH + 1)
+    windows = distinct.select(
+        "content", "owner", F.posexplode(F.transform(at, lambda i: F.substring("bytes", i, WIDTH))).alias("at", "window")
+    )
+    least = windows.groupBy("window").agg(F.min("owner").alias("least"))
+    found = windows.join(least, "window").groupBy("content").agg(
+        F.array_sort(F.collect_list(F.struct("at", "least"))).alias("owners")  # ``SEGMENT`` windows at most
+    )
+    return found.select("content", F.col("owners.least").alias("owners"))
+
+
 def suffix_sort(text: bytes, starts: np.ndarray, group: np.ndarray, width: int = WIDTH, shallow: int = SHALLOW):
     """Order of the suffixes at ``starts`` by group and their first ``width`` bytes, and where a new
     string begins in that order. Every suffix has ``width`` bytes; ``shallow`` is a multiple of eight.

@@ -205,7 +205,9 @@ def brute_repeats(texts):
     return out
 
 
-def test_suffix_dedup(docs, rows, empty):
+@pytest.mark.parametrize("crowded", [2_000, 3, 0])
+def test_suffix_dedup(docs, rows, empty, monkeypatch, crowded):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
     want = brute_repeats([(r[0], (r[1] or "").encode()) for r in rows])
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == want
