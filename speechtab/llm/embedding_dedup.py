@@ -160,6 +160,18 @@ def _groups(rows: pa.Table, limit: float):
         )
 
 
+def _join(label, x, y):
+    """Join the groups of x and y; ``label`` has each row's smallest row, that of earlier pairs as well."""
+    while len(x):
+        # Only these stand for their groups, so what joined earlier moves along.
+        a, b = label[x], label[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != (up := label[label])).any():
+            label[:] = up
+
+
 def _pairs(vectors, ids, members, keys, number, part, across, limit):
     """Triples of arrays a, b, links; b equal to a stands for a count."""
     count, size = vectors.shape
@@ -186,12 +198,7 @@ def _pairs(vectors, ids, members, keys, number, part, across, limit):
         x, y = x[new], y[new]
         np.add.at(total, x, members[y])
         np.add.at(total, y, members[x])
-        while len(x) and (label[x] != label[y]).any():
-            low = np.minimum(label[x], label[y])
-            np.minimum.at(label, label[x], low)
-            np.minimum.at(label, label[y], low)
-            np.minimum.at(label, x, low)
-            np.minimum.at(label, y, low)
+        _join(label, x, y)
     out = []
     seen = np.flatnonzero(total)
     if len(seen):

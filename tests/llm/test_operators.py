@@ -356,6 +356,27 @@ def test_embedding_links(spark, monkeypatch, part):
     assert embedding_dedup.link_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 16, 3])
+def test_embedding_links_of_several_blocks(monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "_BLOCK", block)
+    draw = np.random.default_rng(6)
+    # Chains of 30 on a circle: only neighbours are alike; the rows are mixed.
+    place = draw.permutation(1200)
+    angle = (place + place // 30) * 0.005
+    vectors = np.zeros((1200, 12))
+    vectors[:, 0], vectors[:, 1] = np.cos(angle), np.sin(angle)
+    limit = np.cos(0.0075)
+    close = vectors @ vectors.T >= limit
+    ids, ones, zeros = np.arange(1200), np.ones(1200, np.int64), np.zeros(1200, np.int64)
+    out = embedding_dedup._pairs(vectors, ids, ones, zeros[:, None], 0, zeros, False, limit)
+    a, b, links = (np.concatenate(x) for x in zip(*out))
+    counted = np.bincount(a, weights=links * (a == b), minlength=1200)
+    assert counted.tolist() == (close.sum(axis=1) - 1).tolist()
+    found = np.eye(1200, dtype=bool)
+    found[a, b] = found[b, a] = True
+    assert brute_components(found).tolist() == brute_components(close).tolist()
+
+
 def test_pipeline(spark):
     root = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{root}/documents.parquet")
