@@ -8,7 +8,8 @@ equal sums, and a paragraph is inserted or deleted by adding or subtracting its
 
 Lanes that only differ where paragraphs differ measure likeness: over the levels that are sparse enough
 for a lane to hold few paragraphs, twice the equal lanes against those and the lanes that either text
-uses (1 for the same paragraphs, 0 for none in common).
+uses (1 for the same paragraphs, 0 for none in common). Texts of any size have sparse levels; for short
+texts the upper levels are zero.
 
 A null text counts as the empty one (one empty paragraph). Repeated rows keep a row each and equal
 doc_ids follow each other in the order of their texts. An empty table gives no rows. Other columns are
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from speechtab.llm.common import whole_text
 from speechtab.llm.neighbours import with_next
 
-LEVELS = 7
+#: The last level has one of 2^23 paragraphs, so it is sparse in the longest text that a row can hold.
+LEVELS = 24
 #: Lanes of a level; a level counts for likeness if either text leaves a third of them free.
 WIDTH = 12
 MODULUS = 1 << 32
@@ -38,29 +40,52 @@ def paragraphs(text: Column) -> Column:
 
 def lane_sums(parts: DataFrame, keys: list[str], part: str, kept: list[str]) -> DataFrame:
     """``lanes`` of the multiset of ``part`` of each ``keys``: sums, combined before the shuffle."""
-    hashed = parts.withColumn("hashed", F.xxhash64(part)).withColumn("other", F.xxhash64(part, F.lit(1)))
-    valued = hashed.withColumn("lane", _lane(F.col("hashed"))).withColumn(
-        "value", F.shiftrightunsigned("hashed", 32).bitwiseAND(MODULUS - 1)
+    summed = level_sums(parts, keys, part, kept)
+    levels = F.collect_list(F.struct("level", "sums"))
+    return summed.groupBy(*keys).agg(levels.alias("levels"), *[F.first(c, True).alias(c) for c in kept]).select(
+        *keys, *kept, lanes_of(F.col("levels")).alias("lanes")
     )
-    names = [f"lane_{i}" for i in range(LANES)]
+
+
+def level_sums(parts: DataFrame, keys: list[str], part: str, kept: list[str]) -> DataFrame:
+    """``sums`` of each ``level`` that occurs: its share of the totals, then its lanes."""
+    valued = parts.withColumn("hashed", F.xxhash64(part)).withColumn("other", F.xxhash64(part, F.lit(1))).select(
+        *keys, *kept, _level(F.col("hashed")).alias("level"), "other",
+        # Level and value use the first hash up.
+        (F.shiftrightunsigned("other", 8).bitwiseAND(0xFFFFFF) % WIDTH).alias("lane"),
+        F.shiftrightunsigned("hashed", 32).bitwiseAND(MODULUS - 1).alias("value"),
+    )
+    names = [f"sum_{i}" for i in range(TOTALS + WIDTH)]
     sums = [
         F.sum(F.col("other").bitwiseAND(MODULUS - 1)), F.sum(F.shiftrightunsigned("other", 32).bitwiseAND(MODULUS - 1)),
-        *[F.sum(F.when(F.col("lane") == i, F.col("value")).otherwise(0)) for i in range(LEVELS * WIDTH)],
+        *[F.sum(F.when(F.col("lane") == i, F.col("value")).otherwise(0)) for i in range(WIDTH)],
     ]
-    summed = valued.groupBy(*keys).agg(
-        *[s.alias(n) for s, n in zip(sums, names)], *[F.first(c).alias(c) for c in kept]
+    return valued.groupBy(*keys, "level").agg(
+        *[s.alias(n) for s, n in zip(sums, names)], *[F.first(c, True).alias(c) for c in kept]
+    ).select(
+        *keys, *kept, "level", F.array(*[F.col(n).bitwiseAND(MODULUS - 1) for n in names]).alias("sums")
     )
-    return summed.select(
-        *keys, *kept, F.array(*[F.col(n).bitwiseAND(MODULUS - 1) for n in names]).alias("lanes")
+
+
+def lanes_of(levels: Column) -> Column:
+    """Lanes of a text from the (level, sums) that it has."""
+    by_level = F.map_from_entries(levels)
+    total = lambda i: F.aggregate(
+        levels, F.lit(0).cast("long"), lambda s, x: (s + x["sums"][i]).bitwiseAND(MODULUS - 1)
+    )
+    none = F.array_repeat(F.lit(0).cast("long"), WIDTH)
+    lanes = F.transform(
+        F.sequence(F.lit(0), F.lit(LEVELS - 1)),
+        lambda k: F.coalesce(F.slice(F.try_element_at(by_level, k), TOTALS + 1, WIDTH), none),
     )
+    return F.concat(F.array(*[total(i) for i in range(TOTALS)]), F.flatten(lanes))
 
 
-def _lane(hashed: Column) -> Column:
+def _level(hashed: Column) -> Column:
     # Level k with a chance of 2^-(k+1); the last takes the rest.
-    level = F.lit(LEVELS - 1)
-    for k in reversed(range(LEVELS - 1)):
-        level = F.when(hashed.bitwiseAND((2 << k) - 1) == 1 << k, F.lit(k)).otherwise(level)
-    return level * WIDTH + (F.shiftrightunsigned(hashed, 8).bitwiseAND(0xFFFFFF) % WIDTH).cast("int")
+    last = 1 << LEVELS - 1
+    marked = hashed.bitwiseAND(last - 1).bitwiseOR(F.lit(last).cast("long"))
+    return F.bit_count(marked.bitwiseAND(-marked) - 1)
 
 
 def add(a: Column, b: Column) -> Column:
@@ -120,8 +145,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         "row", "which", *[F.when(F.col("which") == 0, F.col(c)).alias(c) for c in kept],
         F.explode(paragraphs(F.col("whole"))).alias("part"),
     )
-    summed = lane_sums(split, ["row", "which"], "part", kept)
-    of = lambda which: F.first(F.when(F.col("which") == which, F.col("lanes")), ignorenulls=True)
+    summed = level_sums(split, ["row", "which"], "part", kept)
+    of = lambda which: lanes_of(F.collect_list(
+        F.when(F.col("which") == which, F.struct("level", "sums"))
+    ))
     beside = summed.groupBy("row").agg(
         *[F.max(c).alias(c) for c in kept], of(0).alias("own"), of(1).alias("changed"), of(2).alias("next")
     )

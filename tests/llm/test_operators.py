@@ -189,6 +189,22 @@ def test_fingerprints_are_sums(spark):
     assert both.select((fingerprint.add(F.col("x"), F.col("y")) == F.col("a")) & (fingerprint.subtract(F.col("a"), F.col("y")) == F.col("x"))).first()[0]
 
 
+@pytest.mark.parametrize("n_parts, texts", [(50, 24), (5_000, 8), (50_000, 6)])
+def test_likeness_is_the_common_share(spark, n_parts, texts):
+    draw = random.Random(n_parts)
+    data = [(i, "\n".join(f"{draw.getrandbits(40):010x}" for _ in range(n_parts))) for i in range(texts)]
+    got = fingerprint.fingerprint_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    off = []
+    for r in got:
+        text, n = data[r["doc_id"]][1], len(data[r["doc_id"]][1]) // 4
+        edited = text[:len(text) - n] + data[(r["doc_id"] + 1) % texts][1][:n]
+        common = sum((collections.Counter(text.split("\n")) & collections.Counter(edited.split("\n"))).values())
+        off.append(r["near_edited"] - 2 * common / (text.count("\n") + edited.count("\n") + 2))
+        assert r["near_next"] < 0.1
+    assert abs(np.mean(off)) < 0.15, off
+    assert np.abs(off).max() < 0.5, off
+
+
 def brute_repeats(texts):
     first, out = {}, {}
     for d, t in sorted(texts):
