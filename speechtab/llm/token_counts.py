@@ -7,7 +7,8 @@ between the first and the last such place equal on either side. If an overlap ha
 or the sides differ, the document's overlaps (and chunks with them) are doubled until they agree or
 one chunk holds it all.
 
-A null text counts as the empty one: 0 tokens. Repeated rows and repeated ``doc_id`` keep a row each.
+A null text counts as the empty one: 0 tokens. Repeated rows and repeated ``doc_id`` keep a row each,
+and so does a null ``doc_id``.
 An empty table gives no rows. Other columns are ignored.
 """
 
@@ -47,12 +48,19 @@ def count_tokens(
     )
     long = texts.filter(F.length("text") > chunk).withColumn("text_hash", F.xxhash64("text"))
     counts = _count_long(long, tokenizer, chunk, overlap)
-    spliced = long.select(*_KEY).join(counts, _KEY)
+    spliced = _join(long.select(*_KEY), counts, "inner")
     return short.unionByName(spliced.select("doc_id", "n_bytes", "n_tokens")).withColumn(
         "over_limit", F.col("n_tokens") > limit
     )
 
 
+def _join(rows: DataFrame, by_key: DataFrame, how: str) -> DataFrame:
+    """Join by the key; a null doc_id is one like any other."""
+    other = by_key.withColumnsRenamed({k: f"other_{k}" for k in _KEY})
+    same = [F.col(k).eqNullSafe(F.col(f"other_{k}")) for k in _KEY]
+    return rows.join(other, same, how)
+
+
 def _count_short(tokenizer: str):
     def step(batches):
         encoder = tokens.word_encoder(tokenizer)
@@ -75,7 +83,7 @@ def _count_long(long: DataFrame, tokenizer: str, chunk: int, overlap: int) -> Da
         failed = found.filter("NOT agreed").select(*_KEY)
         if failed.isEmpty():
             break
-        rest = rest.join(failed, _KEY, "left_semi")
+        rest = _join(rest, failed, "left_semi")
         chunk, overlap = 2 * chunk, 2 * overlap
     counts = done[0]
     for more in done[1:]:

@@ -114,6 +114,17 @@ def test_token_counts(docs, rows, empty, chunk, overlap):
     assert token_counts.count_tokens(empty, WORD_TOKENIZER, 100, chunk, overlap).count() == 0
 
 
+def test_token_counts_without_id(spark):
+    library = Tokenizer.from_file(WORD_TOKENIZER)
+    texts = ["some words, and more. " * 40, "z" * 900, "short", None]
+    data = [(i, t) for i in (None, 1) for t in texts] + [(None, texts[0])]
+    frame = spark.createDataFrame(data, "doc_id long, text string")
+    count = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    # The second text is encoded anew with wider overlaps.
+    got = token_counts.count_tokens(frame, WORD_TOKENIZER, 100, 200, 16).collect()
+    assert sorted((str(r[0]), r[1], r[2]) for r in got) == sorted((str(i), len(t or ""), count(t)) for i, t in data)
+
+
 def test_byte_bpe_round_trip(docs, rows, empty):
     library = tiktoken.Encoding(
         "own", pat_str=public.PATTERN, special_tokens={},
