@@ -762,10 +762,10 @@ def sentence_scores(spark, root):
 
 @query
 def beam_candidates(spark, root):
-    model = dialogue_model(spark, root, 3)
+    model = dialogue_model(spark, root)
     return rounded(beam.beam_decode(
-        B.logits(spark, root), model, width=20, alpha=0.5, beta=0.5, letters=B.LOGIT_LETTERS,
-        order=3))
+        B.logits(spark, root), model, width=100, alpha=0.5, beta=0.5, letters=B.LOGIT_LETTERS,
+        order=K.LM_ORDER))
 
 
 @query

@@ -254,3 +254,43 @@ def test_beam_forms_agree(spark, model):
     far = sorted(map(row, beam.beam_decode(logits, model, broadcast_ngrams=1, **options).collect()))
     assert near == far and len(near) == 18
     assert len({r[0] for r in near}) == 3 and K.LM_ORDER == 5
+
+
+def test_beam_query_has_the_reference_width_and_order(spark, monkeypatch):
+    from speechtab.plans import catalog
+
+    seen = {}
+    monkeypatch.setattr(catalog, "dialogue_model", lambda spark, root, order=K.LM_ORDER: seen.update(model=order))
+    monkeypatch.setattr(catalog.B, "logits", lambda spark, root: None)
+    monkeypatch.setattr(catalog.beam, "beam_decode", lambda logits, model, **options: seen.update(options))
+    monkeypatch.setattr(catalog, "rounded", lambda df: df)
+    catalog.QUERIES["beam_candidates"](spark, "")
+    assert (seen["width"], seen["order"], seen["model"]) == (100, 5, 5)
+
+
+def test_beam_of_100_with_order_5_is_exact_on_short_clips():
+    draw = np.random.default_rng(11)
+    tokens = ["<s>", "a", "b", K.LM_SPACE, "</s>"]
+    table = {K.LM_UNKNOWN: (-3.0, None)}
+    for n in range(1, 6):
+        for gram in itertools.product(tokens, repeat=n):
+            if n == 1 or draw.random() < 0.4:
+                table[" ".join(gram)] = (-draw.random(), -draw.random())
+
+    def log10(context, token):
+        hit = table.get(" ".join([*context, token]))
+        if hit or not context:
+            return hit[0] if hit else table[K.LM_UNKNOWN][0]
+        return (table.get(" ".join(context)) or (0, 0.0))[1] + log10(context[1:], token)
+
+    for _ in range(4):
+        lp = draw.normal(size=(3, 4))
+        lp = lp - np.log(np.exp(lp).sum(1, keepdims=True))
+        want = {}
+        for out, score in brute_force(lp, " ab").items():
+            line = ["<s>", *[K.LM_SPACE if c == " " else c for c in out], "</s>"]
+            lm = sum(log10(line[max(0, i - 4):i], line[i]) for i in range(1, len(line)))
+            want[out] = (score, lm * np.log(10))
+        found = {p: (a, m) for p, a, m in beam._search(lp, " ab", beam._Scorer(table, 5), 100, 0.5, 0.5)}
+        assert found.keys() == want.keys()
+        assert all(found[p] == pytest.approx(want[p]) for p in want)
