@@ -24,7 +24,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays; rows without an id stay."""
+    """The document with the smallest id of each group of near copies stays; rows without an id stay.
+
+    Near copies are those of ``op7``, within 3 bits over three words; the README has what that misses.
+    """
     first = simhash.link_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
 
