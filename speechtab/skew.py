@@ -163,10 +163,15 @@ def exact_median(
     medians = [F.median(v).alias(v) for v in values]
     if heavy.isEmpty():
         return rows.groupBy(*group).agg(*medians).select(*keys, *values)
+    # As a struct, a null key equals itself in the joins.
+    rows, heavy = (x.withColumn("__key", F.struct(*group)) for x in (rows, heavy.select(*group)))
+    heavy, group = heavy.select("__key"), ["__key"]
     light = rows.join(heavy, group, "left_anti").groupBy(*group).agg(*medians)
-    big = rows.join(heavy, group, "left_semi")
+    big = rows.join(heavy, group, "left_semi").select("__key", *values)
     narrowed = heavy.join(_narrowed_median(big, group, values, bins, rounds), group, "left")
-    return light.unionByName(narrowed.select(*group, *values)).select(*keys, *values)
+    return light.unionByName(narrowed.select(*group, *values)).select(
+        *[F.col("__key")[k].alias(k) for k in keys], *values
+    )
 
 
 def _narrowed_median(
