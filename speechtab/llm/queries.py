@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from speechtab.llm import (
-    byte_bpe, embedding_dedup, fingerprint, packing, sharding, simhash, suffix_dedup, token_counts,
-    token_output, toxicity,
+    alignment, byte_bpe, chat_format, collocations, embedding_dedup, fingerprint, packing, sharding, simhash,
+    suffix_dedup, token_counts, token_output, toxicity,
 )
 from speechtab.llm.common import table
 from speechtab.llm.sql import ORACLE_SQL  # noqa: F401
@@ -15,6 +16,7 @@ from speechtab.session import scratch_path
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -64,10 +66,31 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    path = scratch_path(spark, "chats")
+    chat_format.write_conversations(told.unionByName(more), path)
+    return chat_format.read_digests(spark, path)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_output, op2_packing, op3_fingerprint, op4_token_counts, op5_suffix_dedup,
         op6_toxicity, op7_simhash, op8_byte_bpe, op9_sharding, op10_embedding_dedup,
+        op11_alignment, op12_chat_format, op13_collocations,
     )
 }
