@@ -2,156 +2,93 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from speechtab.operators import text
-
-# Bands tried before the full table.
-_BANDS = (8, 24, 72, 216, 648, 1944, 5832)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it by name in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _banded_distance(left: Column, right: Column) -> Column:
-    """String distance in widening bands: a wide enough band gives the exact distance.
-
-    The cost is proportional to length times distance instead of length squared.
-    """
-
-    def banded(pair: Column) -> Column:
-        widest = F.greatest(F.length(pair["l"]), F.length(pair["r"]))
-        limits = F.array(*[F.least(F.lit(b), widest) for b in _BANDS], widest)
-        return F.aggregate(
-            limits,
-            F.lit(-1),
-            lambda found, k: F.when(found >= 0, found).otherwise(
-                F.call_function("levenshtein", pair["l"], pair["r"], k)
-            ),
-        )
-
-    return let(
-        F.struct(left.alias("l"), right.alias("r")),
-        lambda pair: F.when(pair["l"] == pair["r"], 0).otherwise(banded(pair)),
-    )
+from speechtab.functions import distance
 
 
 def char_distance(left: Column, right: Column) -> Column:
     """Unit-cost edit distance over characters; one form, exact for every length."""
-    return _banded_distance(left, right)
-
-
-def _as_symbols(words: Column, shared: Column, own: int) -> Column:
-    """Spell a word sequence with one code point per word.
-
-    Words of one side only match nothing, so all of a side's have the code point ``own``. Surrogates and
-    the byte-order mark, which decoders swallow, stand for no word.
-    """
-
-    def symbol(word: Column) -> Column:
-        n = F.array_position(shared, word)
-        point = n + F.when(n + 2 > 0xD7FF, 2 + 2048).otherwise(2)
-        point = F.when(n == 0, own).otherwise(point + F.when(point >= 0xFEFF, 1).otherwise(0))
-        return F.lpad(F.hex(point), 8, "0")
-
-    return F.decode(F.unhex(F.array_join(F.transform(words, symbol), "")), "UTF-32")
+    return distance.string_distance(left, right)
 
 
 def word_distance(left: Column, right: Column) -> Column:
-    """Unit-cost edit distance over two word arrays, without a Python function.
-
-    Words become code points, so the built-in string distance applies. Only words of both sides need a
-    code point of their own; there are over a million.
-    """
-
-    def spelled(pair: Column) -> Column:
-        return let(
-            F.array_intersect(pair["l"], pair["r"]),
-            lambda v: _banded_distance(_as_symbols(pair["l"], v, 1), _as_symbols(pair["r"], v, 2)),
-        )
-
-    return let(
-        F.struct(left.alias("l"), right.alias("r")),
-        lambda pair: F.when(pair["l"] == pair["r"], 0).otherwise(spelled(pair)),
-    )
+    """Unit-cost edit distance over two word arrays."""
+    return distance.array_distance(left, right)
 
 
 def score_pairs(
     pairs: DataFrame, prediction: str = "prediction", reference: str = "reference"
 ) -> DataFrame:
-    """Distances and lengths per pair, under both word conventions.
+    """Distances and lengths per pair, under both word conventions, all in one pass over Arrow batches.
+
+    Hand over only the columns that are needed later.
 
     ``*_macro`` splits at single spaces (the empty text is one word), ``*_micro`` at whitespace.
     """
+    schema = T.StructType([*pairs.schema.fields, *distance.PAIR_FIELDS])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [distance.pair_distances(*x) for x in zip(batch[prediction].to_pylist(), batch[reference].to_pylist())]
+            columns = zip(*rows) if rows else [()] * len(distance.PAIR_FIELDS)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(c, pa.int32()) for c in columns)], names=schema.names
+            )
+
     p, r = F.col(prediction), F.col(reference)
+    return pairs.mapInArrow(measure, schema).withColumns({"chars": F.length(r), "exact": p == r})
 
-    def words(w: Column) -> Column:
-        plain = (w["pm"] == w["pu"]) & (w["rm"] == w["ru"])
-        return let(word_distance(w["pm"], w["rm"]), lambda m: F.struct(
-            m.alias("macro"),
-            F.when(plain, m).otherwise(word_distance(w["pu"], w["ru"])).alias("micro"),
-            F.size(w["rm"]).alias("n_macro"),
-            F.size(w["ru"]).alias("n_micro"),
-        ))
-
-    split = F.struct(
-        text.words_macro(p).alias("pm"), text.words_macro(r).alias("rm"),
-        text.words_micro(p).alias("pu"), text.words_micro(r).alias("ru"),
-    )
-    return pairs.withColumns({
-        "__w": let(split, words),
-        "char_errors": char_distance(p, r),
-        "chars": F.length(r),
-        "exact": p == r,
-    }).withColumns({
-        "word_errors_macro": F.col("__w.macro"),
-        "words_macro": F.col("__w.n_macro"),
-        "word_errors_micro": F.col("__w.micro"),
-        "words_micro": F.col("__w.n_micro"),
-    }).drop("__w")
-
-
-def _macro() -> list[Column]:
+
+def rate_sums(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sums from which both kinds of rates follow; sums of groups may be added up again."""
     def per_clip(errors: str, length: str) -> Column:
-        return F.avg(F.col(errors) / F.greatest(length, F.lit(1)))
+        return F.sum(F.col(errors) / F.greatest(length, F.lit(1)))
 
-    return [
-        per_clip("word_errors_macro", "words_macro").alias("macro_wer"),
-        per_clip("char_errors", "chars").alias("macro_cer"),
-        F.avg(F.col("exact").cast("double")).alias("sentence_exact_match"),
+    return scored.groupBy(*by).agg(
+        per_clip("word_errors_macro", "words_macro").alias("wer_sum"),
+        per_clip("char_errors", "chars").alias("cer_sum"),
+        F.sum(F.col("exact").cast("double")).alias("exact_sum"),
         F.count("*").alias("clips"),
-    ]
+        F.sum("word_errors_micro").alias("word_errors"), F.sum("words_micro").alias("words"),
+        F.sum("char_errors").alias("char_errors"), F.sum("chars").alias("chars"),
+    )
+
+
+_MACRO = {"macro_wer": "wer_sum", "macro_cer": "cer_sum", "sentence_exact_match": "exact_sum"}
+_MICRO = {"micro_wer": ("word_errors", "words"), "micro_cer": ("char_errors", "chars")}
 
 
-def _micro() -> list[Column]:
-    return [
-        F.try_divide(F.sum("word_errors_micro"), F.sum("words_micro")).alias("micro_wer"),
-        F.try_divide(F.sum("char_errors"), F.sum("chars")).alias("micro_cer"),
-        F.sum("word_errors_micro").alias("word_errors"),
-        F.sum("words_micro").alias("words"),
-        F.sum("char_errors").alias("char_errors"),
-        F.sum("chars").alias("chars"),
-    ]
+def rates_of(sums: DataFrame, by: Sequence[str] = (), macro: bool = True, micro: bool = True) -> DataFrame:
+    """Rates per group of sums of ``rate_sums``, for groups as fine as those or wider."""
+    columns = []
+    if macro:
+        columns += [F.try_divide(F.sum(total), F.sum("clips")).alias(name) for name, total in _MACRO.items()]
+        columns.append(F.sum("clips").alias("clips"))
+    if micro:
+        columns += [F.try_divide(F.sum(a), F.sum(b)).alias(name) for name, (a, b) in _MICRO.items()]
+        columns += [F.sum(c).alias(c) for pair in _MICRO.values() for c in pair]
+    return sums.groupBy(*by).agg(*columns)
 
 
 def macro_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean over clips of distance / max(length, 1), and the share of exact matches."""
-    return scored.groupBy(*by).agg(*_macro())
+    return rates_of(rate_sums(scored, by), by, micro=False)
 
 
 def micro_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Total distance over total reference length; null where the total is zero."""
-    return scored.groupBy(*by).agg(*_micro())
+    return rates_of(rate_sums(scored, by), by, macro=False)
 
 
 def error_rates(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Macro and micro rates in one pass."""
-    return scored.groupBy(*by).agg(*_macro(), *_micro())
+    return rates_of(rate_sums(scored, by), by)
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: Sequence[str] = ()) -> DataFrame:

@@ -80,20 +80,13 @@ def grid_rates(
     rows = complete.select(key, "reference", F.explode("texts").alias("t")).select(
         key, "reference", "t.prediction", "t.cells"
     ).filter(F.size("cells") > 0)
-    p, r = F.col("prediction"), F.col("reference")
-    measured = rows.select(
-        "cells",
-        metrics.word_distance(text.words_micro(p), text.words_micro(r)).alias("we"),
-        F.size(text.words_micro(r)).alias("wn"),
-        metrics.char_distance(p, r).alias("ce"),
-        F.length(r).alias("cn"),
-    )
+    measured = metrics.score_pairs(rows.select("cells", "prediction", "reference"))
     return (
         measured.withColumn("cell", F.explode("cells"))
         .groupBy(F.col("cell.alpha").alias("alpha"), F.col("cell.beta").alias("beta"))
         .agg(
-            F.try_divide(F.sum("we"), F.sum("wn")).alias("wer"),
-            F.try_divide(F.sum("ce"), F.sum("cn")).alias("cer"),
+            F.try_divide(F.sum("word_errors_micro"), F.sum("words_micro")).alias("wer"),
+            F.try_divide(F.sum("char_errors"), F.sum("chars")).alias("cer"),
         )
     )
 

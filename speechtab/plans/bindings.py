@@ -56,18 +56,35 @@ def clips(spark: SparkSession, root: str) -> DataFrame:
 
 
 def hypothesis(transcript: Column, *ids: Column | str, seed: str = "0") -> Column:
-    """A repeatable imperfect copy: about 1/16 of the words lost, 1/16 blotted out."""
-    numbered = F.transform(text.words_micro(transcript), lambda w, i: F.struct(
-        w.alias("w"),
-        F.substring(F.md5(F.concat_ws("|", F.lit(seed), *ids, (i + 1).cast("string"))), 1, 1)
-        .alias("h"),
-    ))
-    kept = F.filter(numbered, lambda p: p["h"] != "0")
-    spoken = F.transform(
-        kept, lambda p: F.when(p["h"] == "1", F.repeat(F.lit(BLOT), F.length(p["w"])))
-        .otherwise(p["w"])
+    """A repeatable imperfect copy.
+
+    By the digits of one hash a sixteenth of the words each is lost, blotted out, said twice, followed by two
+    spaces, replaced by the word that follows, or turned round; one text in 256 is empty.
+    """
+    digits = F.md5(F.concat_ws("|", F.lit(seed), *ids))
+
+    def heard(said: Column) -> Column:
+        spoken = F.transform(said["words"], lambda w, i: _heard_word(
+            w, F.coalesce(F.get(said["words"], i + 1), w), F.substring(said["digits"], (i * 7 + 7) % 32 + 1, F.lit(1))
+        ))
+        return F.when(F.startswith(said["digits"], F.lit("00")), "").otherwise(
+            F.array_join(F.filter(spoken, lambda w: w.isNotNull()), " ")
+        )
+
+    said = F.struct(text.words_micro(transcript).alias("words"), digits.alias("digits"))
+    return F.get(F.transform(F.array(said), heard), F.lit(0))
+
+
+def _heard_word(word: Column, following: Column, digit: Column) -> Column:
+    return (
+        F.when(digit == "0", F.lit(None).cast("string"))
+        .when(digit == "1", F.repeat(F.lit(BLOT), F.length(word)))
+        .when(digit == "2", F.concat_ws(" ", word, word))
+        .when(digit == "3", F.concat(word, F.lit(" ")))
+        .when(digit == "4", following)
+        .when(digit == "5", F.concat(F.substring(word, F.lit(2), F.length(word)), F.substring(word, 1, 1)))
+        .otherwise(word)
     )
-    return F.array_join(spoken, " ")
 
 
 def predictions(spark: SparkSession, root: str, seed: str = "0") -> DataFrame:

@@ -46,21 +46,21 @@ def joined(values: Column) -> Column:
 # --- transcripts, error rates ---------------------------------------------------------------
 
 
-def scored_by_split(spark: SparkSession, root: str) -> DataFrame:
-    pairs = B.predictions(spark, root)
-    speakers = B.table(spark, root, "documents").select(F.col("source").alias("speaker_id"))
-    return metrics.score_pairs(corpus.assign_split(pairs, corpus.split_speakers(speakers)))
+def scored_pairs(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    return metrics.score_pairs(B.predictions(spark, root).select(*columns, "prediction", "reference"))
 
 
 @query
 def error_rates_by_split(spark, root):
-    scored = scored_by_split(spark, root)
-    return rounded(metrics.error_rates(scored, ["split"]))
+    """Sums per speaker come before the join with the speakers' splits."""
+    sums = metrics.rate_sums(scored_pairs(spark, root, "speaker_id"), ["speaker_id"])
+    speakers = B.table(spark, root, "documents").select(F.col("source").alias("speaker_id"))
+    return rounded(metrics.rates_of(corpus.assign_split(sums, corpus.split_speakers(speakers)), ["split"]))
 
 
 @query
 def error_counts_by_clip(spark, root):
-    return metrics.score_pairs(B.predictions(spark, root)).select(
+    return scored_pairs(spark, root, "sample_id").select(
         "sample_id", "word_errors_macro", "words_macro", "word_errors_micro", "words_micro",
         "char_errors", "chars", "exact",
     )
@@ -68,13 +68,12 @@ def error_counts_by_clip(spark, root):
 
 @query
 def macro_error_rates(spark, root):
-    return rounded(metrics.macro_rates(metrics.score_pairs(B.predictions(spark, root)),
-                                       ["speaker_id"]))
+    return rounded(metrics.macro_rates(scored_pairs(spark, root, "speaker_id"), ["speaker_id"]))
 
 
 @query
 def micro_error_rates(spark, root):
-    return rounded(metrics.micro_rates(metrics.score_pairs(B.predictions(spark, root)), ["lang"]))
+    return rounded(metrics.micro_rates(scored_pairs(spark, root, "lang"), ["lang"]))
 
 
 @query

@@ -35,24 +35,34 @@ def _tokens(words: str, silence) -> str:
     )
 
 
-def _lost(left: str, right: str) -> str:
-    """Distance of a text and its damaged copy, for characters.
+#: Codes of one byte each, because DuckDB's distance counts bytes.
+_CODES = "(SELECT string_agg(chr(i::INTEGER), '' ORDER BY i) FROM range(1, 127) AS t(i))"
 
-    A copy that only loses parts and blots out others, sign by sign, cannot match more than what is
-    left unblotted, and deleting plus replacing reaches that bound: distance = lost + blotted.
-    """
-    return f"(length({right}) - length({left}) + length({left}) - length(replace({left}, '{B.BLOT}', '')))"
 
+def _char_edit(left: str, right: str, signs: str) -> str:
+    """Characters spelled in codes of one byte; null, which no row should be, if they are too many."""
+    spelled = [f"translate({x}, {signs}, {_CODES}[1:length({signs})])" for x in (left, right)]
+    return f"(CASE WHEN length({signs}) <= 126 THEN levenshtein({spelled[0]}, {spelled[1]}) END)"
 
-def _char_edit(left: str, right: str) -> str:
-    """Characters spelled in ASCII first, because levenshtein counts bytes; long texts by the bound."""
-    signs = f"array_to_string(list_distinct(string_split({left} || {right}, '')), '')"
-    ascii_ = "'" + "".join(chr(c) for c in range(40, 127)) + "'"
-    return (
-        f"(CASE WHEN {left} = '' OR length({right}) > 120 THEN {_lost(left, right)} "
-        f"ELSE levenshtein(translate({left}, {signs}, {ascii_}[1:length({signs})]), "
-        f"translate({right}, {signs}, {ascii_}[1:length({signs})])) END)"
-    )
+
+def _signs(left: str, right: str) -> str:
+    return f"array_to_string(list_distinct(string_split({left} || {right}, '')), '')"
+
+
+def _word_edit(left: str, right: str, shared: str) -> str:
+    """As for characters; words of one side only match nothing and share a code."""
+    def spelled(words: str, own: int) -> str:
+        # An empty list joins to null.
+        return (
+            f"coalesce(array_to_string(list_transform({words}, "
+            f"lambda w: chr((coalesce(list_position({shared}, w), {own - 2}) + 2)::INTEGER)), ''), '')"
+        )
+
+    return f"(CASE WHEN len({shared}) <= 124 THEN levenshtein({spelled(left, 1)}, {spelled(right, 2)}) END)"
+
+
+def _shared(left: str, right: str) -> str:
+    return f"list_distinct(list_intersect({left}, {right}))"
 
 
 def _repeats(items: str) -> str:
@@ -72,19 +82,22 @@ clips AS (SELECT * FROM (
          length(raw) AS num_frames FROM said) WHERE transcript <> '')
 """
 PAIRS = CLIPS + f""",
-marked AS (SELECT *, list_transform({_micro("transcript")}, lambda w, i:
-             {{'w': w, 'h': md5(concat_ws('|', '0', doc_id, part, i))[1]}}) AS marks FROM clips),
+spoken AS (SELECT *, {_micro("transcript")} AS said, md5(concat_ws('|', '0', doc_id, part)) AS h FROM clips),
+marked AS (SELECT *, list_transform(said, lambda w, i: CASE h[(i * 7) % 32 + 1]
+             WHEN '0' THEN NULL WHEN '1' THEN repeat('{B.BLOT}', length(w)) WHEN '2' THEN w || ' ' || w
+             WHEN '3' THEN w || ' ' WHEN '4' THEN coalesce(said[i + 1], w)
+             WHEN '5' THEN substring(w, 2) || substring(w, 1, 1) ELSE w END) AS heard FROM spoken),
 pairs AS (SELECT sample_id, speaker_id, lang, doc_id, part, transcript AS reference,
-            len(list_filter(marks, lambda m: m.h = '0')) AS lost,
-            len(list_filter(marks, lambda m: m.h = '1')) AS swapped,
-            coalesce(array_to_string(list_transform(list_filter(marks, lambda m: m.h <> '0'),
-              lambda m: CASE WHEN m.h = '1' THEN repeat('{B.BLOT}', length(m.w)) ELSE m.w END), ' '), '') AS prediction
+            CASE WHEN starts_with(h, '00') THEN ''
+              ELSE coalesce(array_to_string(list_filter(heard, lambda w: w IS NOT NULL), ' '), '') END AS prediction
           FROM marked),
-split_words AS (SELECT *, string_split(reference, ' ') AS rw, {_micro("reference")} AS ru FROM pairs),
--- Lost and newly coined words alone give a distance of lost + swapped.
-scored AS (SELECT *, lost + swapped AS word_errors_macro, lost + swapped AS word_errors_micro,
-             {_char_edit("prediction", "reference")} AS char_errors, len(rw) AS words_macro,
-             len(ru) AS words_micro, length(reference) AS chars, prediction = reference AS exact FROM split_words)
+split_words AS (SELECT *, string_split(reference, ' ') AS rw, {_micro("reference")} AS ru,
+                  string_split(prediction, ' ') AS pw, {_micro("prediction")} AS pu,
+                  {_signs("prediction", "reference")} AS signs FROM pairs),
+common AS (SELECT *, {_shared("pw", "rw")} AS sw, {_shared("pu", "ru")} AS su FROM split_words),
+scored AS (SELECT *, {_word_edit("pw", "rw", "sw")} AS word_errors_macro, {_word_edit("pu", "ru", "su")} AS word_errors_micro,
+             {_char_edit("prediction", "reference", "signs")} AS char_errors, len(rw) AS words_macro,
+             len(ru) AS words_micro, length(reference) AS chars, prediction = reference AS exact FROM common)
 """
 SPLIT = f"""
 speakers AS (SELECT DISTINCT source AS speaker_id FROM documents),
@@ -247,9 +260,11 @@ everything AS (SELECT sample_id, reference, alpha, beta FROM dialogue,
 completed AS (SELECT e.sample_id, e.reference, e.alpha, e.beta, coalesce(c.prediction, '') AS prediction
   FROM everything e LEFT JOIN chosen c USING (sample_id, alpha, beta)),
 distinct_pairs AS (SELECT DISTINCT sample_id, reference, prediction FROM completed),
-measured AS (SELECT sample_id, prediction, len({_micro("reference")}) AS wn, length(reference) AS cn,
-   len({_micro("reference")}) - len({_micro("prediction")}) + len(list_filter({_micro("prediction")},
-     lambda w: contains(w, '{B.BLOT}'))) AS we, {_char_edit("prediction", "reference")} AS ce FROM distinct_pairs),
+listed AS (SELECT *, {_micro("prediction")} AS pu, {_micro("reference")} AS ru, {_signs("prediction", "reference")} AS signs
+   FROM distinct_pairs),
+common AS (SELECT *, {_shared("pu", "ru")} AS su FROM listed),
+measured AS (SELECT sample_id, prediction, len(ru) AS wn, length(reference) AS cn,
+   {_word_edit("pu", "ru", "su")} AS we, {_char_edit("prediction", "reference", "signs")} AS ce FROM common),
 rates AS (SELECT alpha, beta, round(sum(we) / sum(wn), 9) + 0.0 AS wer, round(sum(ce) / sum(cn), 9) + 0.0 AS cer
   FROM completed JOIN measured USING (sample_id, prediction) GROUP BY 1, 2)
 """

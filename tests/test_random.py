@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from speechtab import constants as K
 from speechtab import skew
-from speechtab.functions import beam
+from speechtab.functions import beam, distance
 from speechtab.operators import batching, boxes, ctc, history, keypoints, metrics, ngram
 
 
@@ -24,15 +24,6 @@ def table_distance(a, b):
     return row[-1]
 
 
-def test_many_symbols(spark):
-    places = [0, 55_290, 55_295, 65_275, 65_276, 65_277, 65_999]
-    shared = F.transform(F.sequence(F.lit(0), F.lit(65_999)), lambda i: i.cast("string"))
-    words = F.array(*[F.lit(str(p)) for p in [*range(63_220, 63_240), *places]])
-    spelled = one(spark, metrics._as_symbols(words, shared, 1))
-    assert len(spelled) == 27 and len(set(spelled)) == 27
-    assert len(one(spark, metrics._as_symbols(F.array(F.lit("63231")), shared, 1))) == 1
-
-
 def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
@@ -54,6 +45,21 @@ def test_distances(spark):
         assert r["c"] == table_distance(" ".join(a), " ".join(b))
 
 
+def test_distances_over_blocks(monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK", 7)
+    draw = random.Random(8)
+    for _ in range(300):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randrange(40))] for _ in range(2))
+        assert distance.edit_distance(a, b) == table_distance(a, b)
+
+
+def test_distances_of_nulls(spark):
+    rows = spark.createDataFrame([(None, "a b"), ("a", None), (None, None)], "prediction string, reference string")
+    scored = metrics.score_pairs(rows).collect()
+    assert [(r["word_errors_macro"], r["char_errors"], r["words_micro"]) for r in scored] == [
+        (None, None, 2), (None, None, None), (None, None, None)]
+
+
 def test_collapse_forms_agree(spark):
     draw = random.Random(3)
     clips = [(i, [draw.choice((0, 0, 1, 1, 2, 3)) for _ in range(draw.randrange(1, 30))]) for i in range(80)]
