@@ -13,7 +13,9 @@ count and links that connect its group. Equal vectors are one class with a multi
 rows are split into parts, and every two parts meet in a task of their own.
 
 Null vectors, zero vectors and vectors with null or non-finite components link with nothing; vectors of
-different length neither. Repeated rows are vectors of their own. An empty table gives no rows. Other
+different length neither. Repeated rows are vectors of their own, and so are different vectors of one vec_id.
+A row without vec_id links as any other and gives its component no id; a component of such rows alone has a
+null id and keeps them all. An empty table gives no rows. Other
 columns are ignored.
 """
 
@@ -48,8 +50,8 @@ def link_vectors(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     classes = cut(
         rows.filter(usable(F.col("vector"))).groupBy("vector").agg(
-            F.min("vec_id").alias("class_id"), F.count("*").alias("members")
-        ),
+            F.min("vec_id").alias("first_id"), F.count("*").alias("members")
+        ).withColumn("class_id", F.monotonically_increasing_id()),
         "classes",
     )
     found = cut(_meetings(classes, limit), "met")
@@ -59,16 +61,18 @@ def link_vectors(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
         classes.join(counted, "class_id", "left")
         .join(named.withColumnRenamed("node", "class_id"), "class_id", "left")
         .select(
-            "vector", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "class_id").alias("component_id"),
+            "vector", "first_id", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
+            F.coalesce("component", "class_id").alias("component"),
         ),
         "known",
     )
+    firsts = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = known.join(firsts, "component").select("vector", "n_links", "component_id", F.lit(True).alias("used"))
     # A vector that can't be used equals none of the classes.
     return rows.join(known, "vector", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-    ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        F.when(F.col("used"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
+    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def table_shape(rows: int, limit: float) -> tuple[int, int]:
