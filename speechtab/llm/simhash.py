@@ -67,14 +67,17 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 def link_documents(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     prints = cut(fingerprints(docs, width), "fingerprints")
-    classes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "classes")
-    joined = components(close_pairs(classes))
-    named = cut(
-        classes.join(joined, F.col("first_id") == F.col("node"), "left").select(
-            "fingerprint", F.coalesce("component", "first_id").alias("component_id")
+    classes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")), "classes")
+    # A fingerprint stands for its documents, which may all be without an id.
+    joined = components(close_pairs(classes.select(F.col("fingerprint").alias("first_id"), "fingerprint")))
+    grouped = cut(
+        classes.join(joined, F.col("fingerprint") == F.col("node"), "left").select(
+            "fingerprint", "smallest", F.coalesce("component", "fingerprint").alias("component")
         ),
-        "named",
+        "grouped",
     )
+    firsts = grouped.groupBy("component").agg(F.min("smallest").alias("component_id"))
+    named = cut(grouped.join(firsts, "component").select("fingerprint", "component_id"), "named")
     return prints.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
