@@ -2,7 +2,7 @@
 
 Documents with equal texts are an atom, and atoms are ordered by the digest of the text. The smallest
 feasible shard capacity is found by binary search with a greedy check over atom sizes, and the shards
-are cut there, as ranges of digests; so a document's shard needs no join.
+are cut within it, as even ranges of digests; so a document's shard needs no join.
 
 The search sees sizes by prefixes of the digests, a bounded table. A prefix with several atoms may hide
 a cut, so bounds come from two checks: cutting at prefixes only (feasible for atoms too) and cutting
@@ -11,13 +11,14 @@ ways of each cut are then split by a longer prefix, until both bounds meet. Ever
 aggregation; hot atoms are summed before the shuffle.
 
 A null text has no bytes and counts as equal to the empty one. Repeated rows are documents of their own.
-With fewer atoms than shards, or one atom beyond its share, some shards are empty. An empty table gives
+An atom beyond an even share is a shard of its own. With fewer
+atoms than shards some shards are empty. An empty table gives
 no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +42,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, extra_bytes: int = 16) ->
         ),
         "sized",
     )
-    edges = cut_points(sized, shards)
+    edges = shard_edges(sized, shards)
     placed = sized.withColumn("shard", _rank(F.col("digest"), edges))
     return _numbered(placed, sized.count(), shards).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -49,6 +50,43 @@ def shard_documents(docs: DataFrame, shards: int = 40, extra_bytes: int = 16) ->
     )
 
 
+def shard_edges(sized: DataFrame, shards: int) -> list[str]:
+    """Digests at which each shard but the first begins.
+
+    An atom above an even share of all bytes has a shard of its own, as its size would otherwise be the
+    capacity of all. The others are dealt to the stretches between such atoms by size, and each stretch is cut
+    by a search of its own.
+    """
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    # Fewer than there are shards.
+    heavy = sorted(tuple(r) for r in sized.groupBy("digest").agg(F.sum("size").alias("size")).filter(
+        F.col("size") * shards > total
+    ).collect())
+    while True:
+        digests = [d for d, _ in heavy]
+        stretch = _rank(F.col("digest"), digests)
+        sizes = dict(map(tuple, sized.filter(~F.col("digest").isin(digests) if digests else F.lit(True)).groupBy(
+            stretch.alias("stretch")
+        ).agg(F.sum("size")).collect()))
+        if len(sizes) <= shards - len(heavy):
+            break
+        heavy.remove(min(heavy, key=lambda a: a[1]))
+    given = {s: 1 for s in sizes}
+    for _ in range(shards - len(heavy) - len(sizes) if sizes else 0):
+        given[max(sizes, key=lambda s: sizes[s] / given[s])] += 1
+    edges = []
+    for s in range(len(heavy) + 1):
+        if s in sizes:
+            if s:
+                edges.append(digests[s - 1] + "0")  # behind the atom, before any other
+            inside = sized.filter((stretch == s) & ~F.col("digest").isin(digests)) if digests else sized
+            edges += cut_points(inside, given[s])
+        if s < len(heavy):
+            edges.append(digests[s])
+    # The first shard begins with the first atom.
+    return edges[1:] if heavy and 0 not in sizes else edges
+
+
 def cut_points(sized: DataFrame, shards: int) -> list[str]:
     """The prefix of digests at which each shard but the first begins (``size``, ``digest``)."""
     atoms = _by_prefix(sized, DIGITS)
@@ -65,7 +103,7 @@ def cut_points(sized: DataFrame, shards: int) -> list[str]:
             if not a[2] and any(early < starts[i + 1] and starts[i] <= late for early, late in ends)
         ]
         if not split:
-            return [atoms[i][0] for i in _greedy(starts, high, shards)]
+            return [atoms[i][0] for i in _even(starts, high, shards)]
         digits += 1
         finer = sized.filter(_prefix_in(split, digits - 1))
         kept = [a for a in atoms if a[0] not in set(split)]
@@ -112,15 +150,27 @@ def _least_capacity(starts: list[int], solid: list[bool], shards: int) -> int:
     return low
 
 
-def _greedy(starts: list[int], capacity: int, shards: int) -> list[int]:
-    """Atoms at which the shards after the first begin; the empty ones at the end begin nowhere."""
-    at, cuts = 0, []
-    solid = [True] * (len(starts) - 1)
+def _even(starts: list[int], capacity: int, shards: int) -> list[int]:
+    """Atoms at which the shards after the first begin; the empty ones at the end begin nowhere.
+
+    Each shard ends near an even share of what remains, within the capacity and so that the others can hold
+    the rest within it.
+    """
+    end = len(starts) - 1
+    # The first atom from which so many shards reach the end.
+    behind = [end]
     for _ in range(shards - 1):
-        at = _reach(starts, solid, at, capacity)
-        if at == starts[-1]:
+        behind.append(bisect_left(starts, starts[behind[-1]] - capacity))
+    at, cuts = 0, []
+    for left in range(shards - 1, 0, -1):
+        goal = starts[at] + (starts[end] - starts[at]) / (left + 1)
+        near = bisect_left(starts, goal)
+        if near and goal - starts[near - 1] < starts[near] - goal:
+            near -= 1
+        at = min(max(near, behind[left], at + 1), bisect_right(starts, starts[at] + capacity) - 1)
+        if at >= end:
             break
-        cuts.append(bisect_right(starts, at) - 1)
+        cuts.append(at)
     return cuts
 
 
