@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechtab.llm import packing, simhash, suffix_dedup, toxicity
@@ -24,12 +24,15 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies stays; rows without an id stay.
+    """The document with the smallest id of each group of near copies stays, once; rows without an id stay.
 
     Near copies are those of ``op7``, within 3 bits over three words; the README has what that misses.
     """
     first = simhash.link_documents(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    # Of rows that repeat as well; rows of one id with different texts may belong to different groups.
+    same = Window.partitionBy("doc_id", "text").orderBy("doc_id")
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("__place", F.row_number().over(same))
+    return kept.filter("__place = 1").drop("__place").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
