@@ -24,9 +24,10 @@ def test_intake_keeps_rows_without_key_or_outcome(spark, tmp_path):
     sink = intake.Intake(str(tmp_path / "out"), "id", ~F.col("ok"))
     for _ in range(2):
         sink.run(intake.file_stream(spark, str(tmp_path / "in"), schema, "*.parquet"))
-    good, bad = (spark.read.parquet(p).collect() for p in (sink.results, sink.rejects))
+    good, bad = (read(spark, schema).collect() for read in (sink.results, sink.rejects))
     assert len([r for r in good + bad if r["id"] == 1]) == 1
     assert {r["id"] for r in good} <= {1, 3} and {r["note"] for r in bad} >= {"x", "y", "z"}
+    assert len(good + bad) == 5
 
 
 def test_paths_below_a_root_whose_name_comes_again(spark, tmp_path):
