@@ -1,8 +1,10 @@
 """CTC prefix beam search with a character language model.
 
-The time axis of a clip is sequential, so the work is parallel over clips. With a model that is
-small enough to broadcast (its size is checked) every clip is decoded inside its task. Larger models
-stay a table: all clips advance one step at a time by joins and aggregates.
+The time axis of a clip is sequential, so the work is parallel over clips: each is decoded inside its task.
+Whatever the size of the model, a task needs of it what a letter costs behind the last letters of a prefix.
+That table has one row for each context of the decoder's alphabet, so its size follows from the alphabet and
+the order alone; it is computed from the model by joins and broadcast. For alphabets whose table is
+too large for that, ``beam_decode_by_joins`` keeps the model a table and advances all clips by joins.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from speechtab import constants as K
 from speechtab import session
 from speechtab.operators import ctc, ngram, text
 
-BROADCAST_NGRAMS = 500_000
+#: Cells of a table of letter costs that may be broadcast, 128 MiB: 27 letters and order 5 need 15.5 million.
+TABLE_CELLS = 1 << 24
 _LN10 = math.log(10.0)
 _CANDIDATES = T.StructType([
     T.StructField("text", T.StringType()),
@@ -30,110 +33,137 @@ _CANDIDATES = T.StructType([
 ])
 
 
-class _Scorer:
-    """Back-off lookups in a plain dictionary, remembered per (context, token)."""
+def _context_offsets(letters: int, order: int) -> list[int]:
+    """Number of the first context of each length; the longest have no start of sentence before them."""
+    offsets = [0]
+    for length in range(order):
+        offsets.append(offsets[-1] + letters ** length)
+    return offsets
 
-    def __init__(self, table: dict[str, tuple[float | None, float | None]], order: int):
-        self.table, self.order, self.seen = table, order, {}
-        self.unknown = table[K.LM_UNKNOWN][0]
 
-    def ln(self, prefix: str, token: str) -> float:
-        tail = prefix[-(self.order - 1):] if self.order > 1 else ""
-        context = [K.LM_SPACE if c == " " else c for c in tail]
-        if len(prefix) < self.order - 1:
-            context.insert(0, K.LM_START)
-        key = (tuple(context), token)
-        if key not in self.seen:
-            self.seen[key] = _LN10 * self._log10(context, token)
-        return self.seen[key]
+def letter_costs(model: DataFrame, letters: str, order: int) -> DataFrame:
+    """(cell, ln_prob) for each context of up to ``order`` - 1 letters and each letter or end behind it.
 
-    def _log10(self, context: list[str], token: str) -> float:
-        penalty = 0.0
-        for skip in range(len(context) + 1):
-            hit = self.table.get(" ".join([*context[skip:], token]))
-            if hit is not None and hit[0] is not None:
-                return hit[0] + penalty
-            if skip < len(context):
-                back = self.table.get(" ".join(context[skip:]))
-                penalty += (back[1] if back is not None else None) or 0.0
-        return self.unknown + penalty
+    Contexts are numbered by length, then as digits in the base of the alphabet; cell = context number times
+    (letters + 1) + letter, the end last.
+    """
+    size, offsets = len(letters), _context_offsets(len(letters), order)
+    cell = F.col("cell")
+    number = F.floor(cell / (size + 1))
+    length = sum(((number >= o).cast("int") for o in offsets[1:-1]), F.lit(0))
+    digits = number - F.element_at(F.array(*[F.lit(o) for o in offsets]), length + 1)
+    symbols = text.string_array([K.LM_SPACE if c == " " else c for c in letters] + [K.LM_END])
+    spelled = [
+        F.when(length > k, F.get(symbols, (F.floor(digits / size ** k) % size).cast("int")))
+        for k in reversed(range(order - 1))
+    ]
+    start = F.when(length < order - 1, K.LM_START)
+    windows = model.sparkSession.range(offsets[-1] * (size + 1)).withColumnRenamed("id", "cell").select(
+        "cell", F.concat_ws(" ", start, *spelled, F.get(symbols, (cell % (size + 1)).cast("int"))).alias("w")
+    )
+    scored = ngram.score_windows(windows.select("w"), model)
+    return windows.join(scored, "w").select("cell", (F.col("log10_prob") * _LN10).alias("ln_prob"))
+
+
+def cost_table(model: DataFrame, letters: str, order: int) -> np.ndarray:
+    """The costs of ``letter_costs``, a row for each context."""
+    cells = _context_offsets(len(letters), order)[-1] * (len(letters) + 1)
+    if cells > TABLE_CELLS:
+        raise ValueError(f"{cells} cells of letter costs are too many to broadcast; use beam_decode_by_joins")
+    _require_unknown(model)
+    found = letter_costs(model, letters, order).toArrow()
+    table = np.empty(cells)
+    table[found["cell"].to_numpy()] = found["ln_prob"].to_numpy()
+    return table.reshape(-1, len(letters) + 1)
 
 
 def _search(
-    log_probs: np.ndarray, letters: str, scorer: _Scorer | None, width: int, alpha: float,
+    log_probs: np.ndarray, letters: str, costs: np.ndarray | None, order: int, width: int, alpha: float,
     beta: float,
 ) -> list[tuple[str, float, float]]:
-    """(prefix, acoustic, language) of the surviving hypotheses, best first."""
-    prefixes, ends_blank, ends_symbol, language = [""], np.zeros(1), np.full(1, -np.inf), [0.0]
-    index = {c: i + 1 for i, c in enumerate(letters)}
-
-    def rank(rows: dict[str, list[float]]) -> list[str]:
-        def total(p: str) -> float:
-            blank, symbol, lm = rows[p]
-            return np.logaddexp(blank, symbol) + alpha * lm + beta * len(p.split())
-        return sorted(rows, key=lambda p: (-total(p), p))[:width]
-
+    """(prefix, acoustic, language) of the surviving hypotheses, best first; all of a step at once."""
+    size, offsets = len(letters), _context_offsets(len(letters), order)
+    spaces = np.array([c == " " for c in letters])
+    prefixes = [""]
+    blank, symbol, language = np.zeros(1), np.full(1, -np.inf), np.zeros(1)
+    # Last letter (0: none), number of words, length and digits of the context.
+    last, words, length, digits = (np.zeros(1, np.int64) for _ in range(4))
     for row in log_probs:
-        both = np.logaddexp(ends_blank, ends_symbol)
-        last = np.array([index[p[-1]] if p else 0 for p in prefixes])
+        both = np.logaddexp(blank, symbol)
+        some = np.flatnonzero(last)
+        stay_blank, stay_symbol = both + row[0], np.full(len(prefixes), -np.inf)
+        stay_symbol[some] = symbol[some] + row[last[some]]
         grown = both[:, None] + row[None, 1:]
-        rows: dict[str, list[float]] = {}
-        for k, p in enumerate(prefixes):
-            repeated = -np.inf
-            if last[k]:
-                repeated = ends_symbol[k] + row[last[k]]
-                # The same symbol again only counts as new after a blank.
-                grown[k, last[k] - 1] = ends_blank[k] + row[last[k]]
-            rows[p] = [both[k] + row[0], repeated, language[k]]
-        for k, p in enumerate(prefixes):
-            for c in np.flatnonzero(grown[k] > -np.inf):
-                letter = letters[c]
-                longer = p + letter
-                if longer in rows:
-                    rows[longer][1] = np.logaddexp(rows[longer][1], grown[k, c])
-                else:
-                    token = K.LM_SPACE if letter == " " else letter
-                    lm = language[k] + (scorer.ln(p, token) if scorer else 0.0)
-                    rows[longer] = [-np.inf, grown[k, c], lm]
-        prefixes = rank(rows)
-        kept = np.array([rows[p] for p in prefixes])
-        ends_blank, ends_symbol, language = kept[:, 0], kept[:, 1], list(kept[:, 2])
-    final = [
-        (p, float(np.logaddexp(b, s)), float(lm + (scorer.ln(p, K.LM_END) if scorer else 0.0)))
-        for p, b, s, lm in zip(prefixes, ends_blank, ends_symbol, language)
-    ]
+        # The same symbol again only counts as new after a blank.
+        grown[some, last[some] - 1] = blank[some] + row[last[some]]
+        place = {p: k for k, p in enumerate(prefixes)}
+        for k in some.tolist():
+            parent = place.get(prefixes[k][:-1])
+            if parent is not None:
+                stay_symbol[k] = np.logaddexp(stay_symbol[k], grown[parent, last[k] - 1])
+                grown[parent, last[k] - 1] = -np.inf
+        longer = language[:, None] + (costs[np.array(offsets)[length] + digits, :size] if costs is not None else np.zeros(size))
+        begins = (last == 0) | spaces[last - 1]
+        more_words = words[:, None] + (begins[:, None] & ~spaces[None, :])
+        parents, letter = np.nonzero(grown > -np.inf)
+        totals = np.concatenate([
+            np.logaddexp(stay_blank, stay_symbol) + alpha * language + beta * words,
+            (grown + alpha * longer + beta * more_words)[parents, letter],
+        ])
+        kept = np.arange(len(totals))
+        if len(totals) > width:
+            least = np.partition(totals, len(totals) - width)[len(totals) - width]
+            kept = np.flatnonzero(totals > least)
+            spelled = lambda i: prefixes[i] if i < len(prefixes) else (
+                prefixes[parents[i - len(prefixes)]] + letters[letter[i - len(prefixes)]]
+            )
+            ties = sorted(np.flatnonzero(totals == least).tolist(), key=spelled)
+            kept = np.concatenate([kept, np.array(ties[:width - len(kept)], np.int64)])
+        old = kept[kept < len(prefixes)]
+        new = kept[kept >= len(prefixes)] - len(prefixes)
+        origin, added = parents[new], letter[new]
+        inside = length[origin] < order - 1
+        moved = digits[origin] * size + added if order > 1 else digits[origin]
+        if order > 1:
+            moved = np.where(inside, moved, moved % size ** (order - 1))
+        prefixes = [prefixes[k] for k in old.tolist()] + [
+            prefixes[k] + letters[c] for k, c in zip(origin.tolist(), added.tolist())
+        ]
+        blank = np.concatenate([stay_blank[old], np.full(len(new), -np.inf)])
+        symbol = np.concatenate([stay_symbol[old], grown[origin, added]])
+        language = np.concatenate([language[old], longer[origin, added]])
+        words = np.concatenate([words[old], more_words[origin, added]])
+        last = np.concatenate([last[old], added + 1])
+        digits = np.concatenate([digits[old], moved])
+        length = np.concatenate([length[old], length[origin] + inside])
+    if costs is not None:
+        language = language + costs[np.array(offsets)[length] + digits, size]
+    final = list(zip(prefixes, np.logaddexp(blank, symbol).tolist(), language.tolist()))
     return sorted(final, key=lambda f: (-(f[1] + alpha * f[2] + beta * len(f[0].split())), f[0]))
 
 
 def beam_decode(
     logits: DataFrame, model: DataFrame | None = None, *, key: str = "sample_id",
     width: int = 100, alpha: float = 1.0, beta: float = 0.0, letters: str = K.SERBIAN_LETTERS,
-    order: int = K.LM_ORDER, broadcast_ngrams: int = BROADCAST_NGRAMS,
+    order: int = K.LM_ORDER,
 ) -> DataFrame:
     """N-best table (key, alpha, text, am_score, lm_score, word_count) of clip rows.
 
     ``logits`` has (key, length, steps). ``width`` is the beam itself, not a cap on the output.
     """
-    if model is not None and model.limit(broadcast_ngrams + 1).count() > broadcast_ngrams:
-        return beam_decode_by_joins(
-            logits, model, key=key, width=width, alpha=alpha, beta=beta, letters=letters,
-            order=order,
-        )
     shared = None
     if model is not None:
-        _require_unknown(model)
-        rows = model.select("ngram", "log10_prob", "log10_backoff").collect()
-        shared = logits.sparkSession.sparkContext.broadcast({r[0]: (r[1], r[2]) for r in rows})
+        shared = logits.sparkSession.sparkContext.broadcast(cost_table(model, letters, order))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _Scorer(shared.value, order) if shared is not None else None
+        costs = shared.value if shared is not None else None
         for batch in batches:
             for name, length, steps in zip(batch[key], batch["length"], batch["steps"]):
                 scores = np.array([np.asarray(s, dtype=float) for s in steps[: int(length)]])
                 if len(scores):
                     peak = scores.max(axis=1, keepdims=True)
                     scores -= peak + np.log(np.exp(scores - peak).sum(axis=1, keepdims=True))
-                found = _search(scores, letters, scorer, width, alpha, beta)
+                found = _search(scores, letters, costs, order, width, alpha, beta)
                 texts = [" ".join(p.split()) for p, _, _ in found]
                 yield pd.DataFrame({
                     key: [name] * len(found), "text": texts,

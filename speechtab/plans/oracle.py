@@ -329,8 +329,8 @@ model AS (SELECT "order"::INTEGER AS "order", ngram, log10(prob) AS log10_prob,
 """
 
 
-def _score_sentences(order: int) -> str:
-    """Walk each position from the longest context to the shortest."""
+def _walk(order: int) -> tuple[str, str]:
+    """Joins and value that walk each window ``w`` from the longest context to the shortest."""
     joins, total, back = "", "", []
     for n in range(order, 0, -1):
         joins += f"""
@@ -342,13 +342,66 @@ def _score_sentences(order: int) -> str:
         total += f" WHEN m{n}.ngram IS NOT NULL THEN m{n}.log10_prob{penalty}"
         back.append(n)
     rest = "".join(f" + coalesce(b{k}.log10_backoff, 0)" for k in range(2, order + 1))
+    return joins, f"CASE{total} ELSE (SELECT log10_prob FROM model WHERE ngram = '<unk>'){rest} END"
+
+
+def _ln_sum(a: str, b: str) -> str:
+    """ln(e^a + e^b); null stands for minus infinity."""
+    return (
+        f"(CASE WHEN {a} IS NULL THEN {b} WHEN {b} IS NULL THEN {a} "
+        f"ELSE greatest({a}, {b}) + ln(1 + exp(-abs({a} - {b}))) END)"
+    )
+
+
+def _beam(order: int, letters: str, width: int, alpha: float, beta: float, steps: int = 8) -> str:
+    """The search step by step, over a table of what each letter costs behind each context."""
+    joins, value = _walk(order)
+    spelled = "list_transform(string_split({}, ''), lambda c: CASE WHEN c = ' ' THEN '<sp>' ELSE c END)"
+    context = f"(CASE WHEN length(prefix) >= {order - 1} THEN right(prefix, {order - 1}) ELSE prefix END)"
+    words = "len(list_filter(string_split(prefix, ' '), lambda x: x <> ''))"
+    total = f"{_ln_sum('pb', 'pnb')} + {_double(alpha)} * lm + {_double(beta)} * {words}"
+    sql = "RECURSIVE " + _model(order).lstrip() + f""",
+letters AS (SELECT unnest(range(1, {len(letters) + 1})) AS i, unnest(string_split('{letters}', '')) AS c),
+contexts_of AS (SELECT '' AS p UNION ALL SELECT p || c FROM contexts_of, letters WHERE length(p) < {order - 1}),
+asked AS (SELECT p, token, list_concat(list_concat(CASE WHEN length(p) < {order - 1} THEN ['<s>'] ELSE []::VARCHAR[] END,
+    CASE WHEN p = '' THEN []::VARCHAR[] ELSE {spelled.format('p')} END), [CASE WHEN token = ' ' THEN '<sp>' ELSE token END]) AS w
+  FROM contexts_of, (SELECT c AS token FROM letters UNION ALL SELECT '</s>')),
+costs AS MATERIALIZED (SELECT p, token, {value} * ln(10::DOUBLE) AS cost FROM asked{joins}),
+{LOGITS.strip()},
+peaks AS (SELECT sample_id, length, t, list_transform(scores, lambda x: x::DOUBLE - list_max(scores)::DOUBLE) AS s FROM logits),
+log_probs AS MATERIALIZED (SELECT sample_id, length, t,
+    list_transform(s, lambda x: x - ln(list_sum(list_transform(s, lambda y: exp(y))))) AS lp FROM peaks),
+beam0 AS (SELECT DISTINCT sample_id, '' AS prefix, 0::DOUBLE AS pb, NULL::DOUBLE AS pnb, 0::DOUBLE AS lm FROM logits)"""
+    for t in range(steps):
+        sql += f""",
+live{t} AS (SELECT b.*, lp, right(prefix, 1) AS final, {_ln_sum('pb', 'pnb')} AS merged
+  FROM beam{t} b JOIN log_probs r ON b.sample_id = r.sample_id AND r.t = {t} AND r.length > {t}),
+moves{t} AS (SELECT sample_id, prefix, merged + lp[1] AS b, pnb + lp[i + 1] AS s, lm, true AS stays
+    FROM live{t} LEFT JOIN letters ON c = final
+  UNION ALL SELECT sample_id, prefix || c, NULL, (CASE WHEN final = c THEN pb ELSE merged END) + lp[i + 1], lm + cost, false
+    FROM live{t} CROSS JOIN letters JOIN costs ON p = {context} AND token = c
+    WHERE final <> c OR pb IS NOT NULL),
+met{t} AS (SELECT sample_id, prefix, max(b) AS pb, max(s) FILTER (stays) AS s1, max(s) FILTER (NOT stays) AS s2,
+    coalesce(max(lm) FILTER (stays), max(lm)) AS lm FROM moves{t} GROUP BY 1, 2),
+summed{t} AS (SELECT sample_id, prefix, pb, {_ln_sum('s1', 's2')} AS pnb, lm FROM met{t}),
+beam{t + 1} AS MATERIALIZED (
+  SELECT sample_id, prefix, pb, pnb, lm FROM summed{t}
+  QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY {total} DESC, prefix) <= {width}
+  UNION ALL SELECT b.* FROM beam{t} b JOIN log_probs r ON b.sample_id = r.sample_id AND r.t = {t} AND r.length <= {t})"""
+    return sql + f"""
+SELECT sample_id, {_double(alpha)} AS alpha, array_to_string(list_filter(string_split(prefix, ' '), lambda x: x <> ''), ' ') AS text,
+  round({_ln_sum('pb', 'pnb')}, 6) + 0.0 AS am_score, round(lm + cost, 6) + 0.0 AS lm_score, {words}::INTEGER AS word_count
+FROM beam{steps} JOIN costs ON p = {context} AND token = '</s>'"""
+
+
+def _score_sentences(order: int) -> str:
+    joins, value = _walk(order)
     return _model(order) + f""",
 asked AS (SELECT item_id, list_concat(list_concat(['<s>'], list_transform({_chars("lower(text)")},
     lambda c: CASE WHEN c = ' ' THEN '<sp>' ELSE c END)), ['</s>']) AS t FROM benchmark),
 ends AS (SELECT item_id, t, unnest(range(2, len(t) + 1)) AS i FROM asked),
 windows AS (SELECT item_id, t[greatest(i - {order - 1}, 1) : i] AS w FROM ends),
-scored AS (SELECT item_id, CASE{total}
-    ELSE (SELECT log10_prob FROM model WHERE ngram = '<unk>'){rest} END AS lp FROM windows{joins})
+scored AS (SELECT item_id, {value} AS lp FROM windows{joins})
 SELECT item_id, round(sum(lp), 6) + 0.0 AS log10_prob, count(*) AS tokens,
   round(sum(lp) * ln(10), 6) + 0.0 AS ln_prob FROM scored GROUP BY 1
 """
@@ -624,6 +677,7 @@ def statements() -> dict[str, str]:
         "ngram_counts": f"""WITH {_counts(K.LM_ORDER)} SELECT "order", ngram, count FROM counts""",
         "kneser_ney_model": f"""WITH {_model(K.LM_ORDER)} SELECT "order", ngram, round(log10_prob, 8) + 0.0 AS log10_prob,
             round(log10_backoff, 8) + 0.0 AS log10_backoff FROM model""",
+        "beam_candidates": f"WITH {_beam(K.LM_ORDER, B.LOGIT_LETTERS, 100, 0.5, 0.5)}",
         "sentence_scores": f"WITH {_score_sentences(K.LM_ORDER)}",
         "words_per_sentence": f"""WITH {DIALOGUE} SELECT len({_micro("reference")})::INTEGER AS n_words,
             count(*) AS sentences FROM dialogue GROUP BY 1""",

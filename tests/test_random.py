@@ -257,11 +257,27 @@ def test_beam_forms_agree(spark, model):
     row = lambda r: (r["sample_id"], r["text"], r["word_count"], round(r["am_score"], 6),
                      round(r["lm_score"], 6))
     near = sorted(map(row, beam.beam_decode(logits, model, **options).collect()))
-    far = sorted(map(row, beam.beam_decode(logits, model, broadcast_ngrams=1, **options).collect()))
+    far = sorted(map(row, beam.beam_decode_by_joins(logits, model, **options).collect()))
     assert near == far and len(near) == 18
     assert len({r[0] for r in near}) == 3 and K.LM_ORDER == 5
 
 
+def test_too_large_alphabets_are_refused(spark, model, monkeypatch):
+    monkeypatch.setattr(beam, "TABLE_CELLS", 10)
+    with pytest.raises(ValueError, match="by_joins"):
+        beam.cost_table(model, " ab", 3)
+
+
+def test_beam_keeps_the_best_of_a_narrow_width():
+    draw = np.random.default_rng(12)
+    for _ in range(20):
+        lp = np.log(draw.dirichlet(np.ones(4), size=5))
+        wide = beam._search(lp, " ab", None, 3, 10_000, 0.5, 0.3)
+        assert len({p for p, _, _ in wide}) == len(wide)
+        narrow = beam._search(lp, " ab", None, 3, 12, 0.5, 0.3)
+        assert len(narrow) == 12 and narrow[0][0] == wide[0][0]
+
+
 def test_beam_query_has_the_reference_width_and_order(spark, monkeypatch):
     from speechtab.plans import catalog
 
@@ -289,6 +305,12 @@ def test_beam_of_100_with_order_5_is_exact_on_short_clips():
             return hit[0] if hit else table[K.LM_UNKNOWN][0]
         return (table.get(" ".join(context)) or (0, 0.0))[1] + log10(context[1:], token)
 
+    spelled = [" " if t == K.LM_SPACE else t for t in (K.LM_SPACE, "a", "b", "</s>")]
+    assert spelled[:3] == list(" ab")
+    costs = np.array([
+        [log10([*["<s>"] * (n < 4), *(K.LM_SPACE if c == " " else c for c in context)], K.LM_SPACE if t == " " else t) for t in spelled]
+        for n in range(5) for context in itertools.product(" ab", repeat=n)
+    ]) * np.log(10)
     for _ in range(4):
         lp = draw.normal(size=(3, 4))
         lp = lp - np.log(np.exp(lp).sum(1, keepdims=True))
@@ -297,6 +319,6 @@ def test_beam_of_100_with_order_5_is_exact_on_short_clips():
             line = ["<s>", *[K.LM_SPACE if c == " " else c for c in out], "</s>"]
             lm = sum(log10(line[max(0, i - 4):i], line[i]) for i in range(1, len(line)))
             want[out] = (score, lm * np.log(10))
-        found = {p: (a, m) for p, a, m in beam._search(lp, " ab", beam._Scorer(table, 5), 100, 0.5, 0.5)}
+        found = {p: (a, m) for p, a, m in beam._search(lp, " ab", costs, 5, 100, 0.5, 0.5)}
         assert found.keys() == want.keys()
         assert all(found[p] == pytest.approx(want[p]) for p in want)
