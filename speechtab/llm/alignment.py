@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -42,8 +43,9 @@ _CUT = re.compile(r"(?<=[^ ])(?= .)", re.DOTALL)
 
 
 class Vocabularies(NamedTuple):
-    encode_a: object
-    encode_b: object
+    #: Ids of a text with a space before it.
+    encode_a: Callable[[str], np.ndarray]
+    encode_b: Callable[[str], list[int]]
     bytes_a: list[bytes]
     bytes_b: list[bytes]
     #: For each id of A the id of B with the same bytes, or -1.
@@ -96,13 +98,21 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
         spaces_matter=True,
     )
 
+    def encode_a(text: str) -> np.ndarray:
+        """Ids of a space and the text, so each of its chunks stands behind a space."""
+        try:
+            found = b"".join(map(encoder.words.__getitem__, text.split(" ")))
+        except TypeError:  # white space in a row
+            found = encoder(" " + text)
+        return np.frombuffer(found, np.uint32).astype(np.int64)
+
     def encode_b(text: str) -> list[int]:
         # B puts a space before each part, so a part goes without its own.
         parts = _parts(text)
         return [i for ids in b.encode(parts[:1] + [p[1:] for p in parts[1:]], num_threads=1) for i in ids]
 
     same = np.array([by_bytes.get(t, -1) for t in bytes_a], np.int64)
-    return Vocabularies(lambda text: np.frombuffer(encoder(text), np.uint32).astype(np.int64), encode_b, bytes_a, bytes_b, same)
+    return Vocabularies(encode_a, encode_b, bytes_a, bytes_b, same)
 
 
 def _parts(text: str) -> list[str]:
@@ -145,7 +155,7 @@ def align(vocabulary: Vocabularies, texts: list[str | None]) -> Aligned:
         a, b = np.zeros(0, np.int64), []
         if text:
             spaced = " " + text
-            a, b, whole = vocabulary.encode_a(spaced), vocabulary.encode_b(text), spaced.encode()
+            a, b, whole = vocabulary.encode_a(text), vocabulary.encode_b(text), spaced.encode()
             if (
                 b"".join(map(vocabulary.bytes_a.__getitem__, a.tolist())) != whole
                 or b"".join(map(vocabulary.bytes_b.__getitem__, b)) != whole
@@ -163,7 +173,7 @@ def align(vocabulary: Vocabularies, texts: list[str | None]) -> Aligned:
     groups = int(last_a.sum())
     count_a, count_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
     # Two tokens overlap in one run of bytes, and it ends where one of them does.
-    stops = np.union1d(ends_a, ends_b)
+    stops = np.sort(np.concatenate((ends_a, ends_b[~last_b])), kind="stable")
     in_a, in_b = np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
     linked_a, linked_b, group = a[in_a], b[in_b], group_a[in_a]
     mapped = (count_a[group] == 1) & (count_b[group] == 1) & (vocabulary.same[linked_a] == linked_b)
