@@ -44,25 +44,25 @@ def frame_boxes(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "
     )
 
 
-def clip_boxes(frames: DataFrame, clip: Sequence[str], **tuning: int) -> DataFrame:
+def clip_boxes(frames: DataFrame, clip: Sequence[str]) -> DataFrame:
     """Median box per clip and how many frames had a detection; all-null clips keep null."""
     counts = frames.groupBy(*clip).agg(
         F.count("x1").alias("valid_detections"), F.count("*").alias("sampled_frames")
     )
     found = frames.filter("x1 IS NOT NULL").select(*clip, *COORDINATES)
-    return counts.join(skew.exact_median(found, clip, COORDINATES, **tuning), list(clip), "left")
+    return counts.join(skew.exact_median(found, clip, COORDINATES), list(clip), "left")
 
 
-def fallback_boxes(clips: DataFrame, speaker: str = "speaker_id", **tuning: int) -> DataFrame:
+def fallback_boxes(clips: DataFrame, speaker: str = "speaker_id") -> DataFrame:
     """Clip box, else the speaker's median, else the global median; ``source`` says which.
 
     ``source`` is null when no clip at all has a box, which callers treat as an error.
     """
     found = clips.filter("x1 IS NOT NULL").select(speaker, *COORDINATES)
-    per_speaker = skew.exact_median(found, [speaker], COORDINATES, **tuning).select(
+    per_speaker = skew.exact_median(found, [speaker], COORDINATES).select(
         speaker, *[F.col(c).alias(f"s_{c}") for c in COORDINATES]
     )
-    overall = skew.exact_median(found, [], COORDINATES, **tuning)
+    overall = skew.exact_median(found, [], COORDINATES)
     everywhere = overall.select(F.struct(*COORDINATES).alias("__g")).scalar()
     joined = clips.join(per_speaker, speaker, "left").withColumn("__g", everywhere)
     source = (
@@ -77,13 +77,12 @@ def fallback_boxes(clips: DataFrame, speaker: str = "speaker_id", **tuning: int)
     )
 
 
-def speaker_and_global_medians(clips: DataFrame, speaker: str = "speaker_id", **tuning: int
-                               ) -> DataFrame:
-    """Medians of the clip medians per speaker, and overall (null speaker)."""
+def speaker_and_global_medians(clips: DataFrame, speaker: str = "speaker_id") -> DataFrame:
+    """Medians of the clip medians per speaker and overall; ``scope`` tells them apart."""
     found = clips.filter("x1 IS NOT NULL").select(speaker, *COORDINATES)
-    overall = skew.exact_median(found, [], COORDINATES, **tuning)
-    return skew.exact_median(found, [speaker], COORDINATES, **tuning).unionByName(
-        overall.withColumn(speaker, F.lit(None).cast(clips.schema[speaker].dataType))
+    overall = skew.exact_median(found, [], COORDINATES)
+    return skew.exact_median(found, [speaker], COORDINATES).withColumn("scope", F.lit("speaker")).unionByName(
+        overall.withColumn(speaker, F.lit(None).cast(clips.schema[speaker].dataType)).withColumn("scope", F.lit("overall"))
     )
 
 

@@ -6,9 +6,11 @@ characters (the space spelled out), so the form is unambiguous.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechtab import constants as K
@@ -105,54 +107,46 @@ def discounts(adjusted: DataFrame) -> DataFrame:
     )
 
 
+def _by_order(column: str, values: dict[int, float]) -> Column:
+    """The value of the row's order, as a literal."""
+    found = F.lit(None).cast("double")
+    for order, value in values.items():
+        found = F.when(F.col(column) == order, F.lit(value)).otherwise(found)
+    return found
+
+
 def estimate(counts: DataFrame, order: int = K.LM_ORDER) -> DataFrame:
     """Interpolated modified Kneser-Ney model: (order, ngram, log10_prob, log10_backoff).
 
-    An n-gram's probability folds the shares of its suffixes, so all orders need one join on the
-    suffixes instead of one per order. The adjusted counts are written once; everything after them
-    is as small as the model, not as the corpus.
+    Discounts are a few numbers for each order and become literals. What a context owns is summed over its own
+    rows. Probabilities are built one order after the other, each from the written one below: an n-gram's suffix
+    has at most as many longer n-grams as there are tokens, so no key of these joins is hot.
     """
     adjusted = session.cut_lineage(adjusted_counts(counts, order))
     c = F.col("count")
-    discount = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-    discounted = adjusted.join(discounts(adjusted), "order").select(
-        "order", "ngram", "context", "count", discount.alias("discount")
-    )
-    contexts = discounted.groupBy("order", "context").agg(
-        F.sum("count").alias("total"),
-        (F.sum(F.least(F.col("discount"), c.cast("double"))) / F.sum("count")).alias("gamma"),
-    )
-    shares = discounted.join(contexts, ["order", "context"]).select(
-        "ngram", (F.greatest(c - F.col("discount"), F.lit(0.0)) / F.col("total")).alias("share"),
-        "gamma",
-    )
+    found = {r["order"]: r for r in discounts(adjusted).collect()}  # a row for each order
+    d1, d2, d3 = (_by_order("order", {n: r[f"d{k}"] for n, r in found.items()}) for k in (1, 2, 3))
+    discount = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
+    inside = Window.partitionBy("order", "context")
+    shares = session.cut_lineage(adjusted.withColumn("discount", discount).select(
+        "order", "ngram", "context",
+        (F.greatest(c - F.col("discount"), F.lit(0.0)) / F.sum(c).over(inside)).alias("share"),
+        (F.sum(F.least(F.col("discount"), c.cast("double"))).over(inside) / F.sum(c).over(inside)).alias("gamma"),
+    ))
     # The unknown token counts as one more word.
-    uniform = 1.0 / (
-        adjusted.filter("order = 1").agg(F.count("*").alias("n")).scalar() + 1
-    )
-    parts = F.split("ngram", " ")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.col("order")),
-        lambda k: F.struct(
-            k.alias("k"),
-            F.array_join(F.slice(parts, F.col("order") - k + 1, k), " ").alias("suffix"),
-        ),
-    )
-    folded = (
-        adjusted.select("order", "ngram", F.explode(suffixes).alias("s"))
-        .select("order", F.col("ngram").alias("whole"), "s.k", F.col("s.suffix").alias("ngram"))
-        .join(shares, "ngram")
-        .groupBy("order", "whole")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "share", "gamma"))).alias("levels"))
-        .withColumn("uniform", uniform)
-        .select(
-            "order", F.col("whole").alias("ngram"),
-            F.aggregate(
-                "levels", F.col("uniform").cast("double"),
-                lambda acc, level: level["share"] + level["gamma"] * acc,
-            ).alias("prob"),
-        )
-    )
+    uniform = 1.0 / (shares.filter("order = 1").agg(F.count("*").alias("n")).scalar() + 1)
+    of_order = lambda n: shares.filter(F.col("order") == n)
+    below = session.cut_lineage(of_order(1).withColumn("uniform", uniform).select(
+        "order", "ngram", (F.col("share") + F.col("gamma") * F.col("uniform")).alias("prob")
+    ))
+    probabilities = [below]
+    for n in range(2, order + 1):
+        shorter = below.select(F.col("ngram").alias("suffix"), F.col("prob").alias("below"))
+        below = session.cut_lineage(of_order(n).withColumn("suffix", _suffix(F.col("ngram"))).join(shorter, "suffix").select(
+            "order", "ngram", (F.col("share") + F.col("gamma") * F.col("below")).alias("prob")
+        ))
+        probabilities.append(below)
+    contexts = shares.groupBy("order", "context").agg(F.max("gamma").alias("gamma"))
     unknown = contexts.filter("order = 1").withColumn("uniform", uniform).select(
         "order", F.lit(K.LM_UNKNOWN).alias("ngram"), (F.col("gamma") * F.col("uniform")).alias("prob")
     )
@@ -161,11 +155,22 @@ def estimate(counts: DataFrame, order: int = K.LM_ORDER) -> DataFrame:
         (F.col("order") - 1).alias("order"), F.col("context").alias("ngram"),
         F.log10("gamma").alias("log10_backoff"),
     )
-    return folded.unionByName(unknown).join(backoff, ["order", "ngram"], "full_outer").select(
+    known = reduce(DataFrame.unionByName, [*probabilities, unknown])
+    return known.join(backoff, ["ngram", "order"], "full_outer").select(
         "order", "ngram", F.log10("prob").alias("log10_prob"), "log10_backoff"
     )
 
 
+def store_model(model: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """Write a model in buckets by n-gram, so that joins with it leave it where it is."""
+    spark = model.sparkSession
+    name = f"ngrams_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The rows of a bucket come from one task, so each bucket is one sorted file.
+    model.repartition(buckets, "ngram").write.bucketBy(buckets, "ngram").sortBy("ngram").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def score_sentences(
     sentences: DataFrame, key: Sequence[str], sentence: str, model: DataFrame,
     order: int = K.LM_ORDER,
@@ -201,32 +206,38 @@ def score_sentences(
 
 
 def score_windows(windows: DataFrame, model: DataFrame) -> DataFrame:
-    """log10 probability of the last token of each window given the tokens before it."""
+    """log10 probability of the last token of each window given the tokens before it.
+
+    Each ending of a window looks for its probability, and each but the last token alone for the back-off of its
+    context; both are one join with the model on the n-gram, which a stored model answers in place.
+    """
     parts = F.split("w", " ")
     unknown = (
         model.filter((F.col("order") == 1) & (F.col("ngram") == K.LM_UNKNOWN))
         .agg(F.max("log10_prob")).scalar()
     )
-    tails = F.transform(
+    # (k, false, ending of k tokens) and, for k > 1, (k, true, the same without its last token).
+    ending = lambda k, n: F.array_join(F.slice("p", F.size("p") - k + 1, n), " ")
+    asked = F.flatten(F.transform(
         F.sequence(F.lit(1), F.size("p")),
-        lambda k: F.struct(
-            k.alias("k"),
-            F.array_join(F.slice("p", F.size("p") - k + 1, k), " ").alias("ngram"),
-            F.when(k > 1, F.array_join(F.slice("p", F.size("p") - k + 1, k - 1), " "))
-            .alias("context"),
+        lambda k: F.filter(
+            F.array(
+                F.struct(k.alias("k"), F.lit(False).alias("is_context"), ending(k, k).alias("ngram")),
+                F.struct(k.alias("k"), F.lit(True).alias("is_context"), ending(k, k - 1).alias("ngram")),
+            ),
+            lambda a: ~a["is_context"] | (a["k"] > 1),
         ),
-    )
-    pieces = windows.select("w", parts.alias("p")).select("w", F.explode(tails).alias("t")).select(
-        "w", "t.k", "t.ngram", "t.context"
-    )
-    probs = model.filter("log10_prob IS NOT NULL").select("ngram", "log10_prob")
-    backoffs = model.filter("log10_backoff IS NOT NULL").select(
-        F.col("ngram").alias("context"), "log10_backoff"
-    )
-    found = pieces.join(probs, "ngram", "left").join(backoffs, "context", "left")
+    ))
+    pieces = windows.select("w", parts.alias("p")).select("w", F.explode(asked).alias("a")).select("w", "a.*")
+    # Equal n-grams of many windows are looked up once.
+    looked_up = pieces.select("ngram").distinct().join(model.select("ngram", "log10_prob", "log10_backoff"), "ngram")
+    found = pieces.join(looked_up, "ngram", "left")
+    hit = ~F.col("is_context") & F.col("log10_prob").isNotNull()
     gathered = found.groupBy("w").agg(
-        F.max(F.when(F.col("log10_prob").isNotNull(), F.struct("k", "log10_prob"))).alias("hit"),
-        F.collect_list(F.struct("k", F.coalesce("log10_backoff", F.lit(0.0)).alias("b"))).alias("bs"),
+        F.max(F.when(hit, F.struct("k", "log10_prob"))).alias("hit"),
+        F.collect_list(F.when(
+            F.col("is_context"), F.struct("k", F.coalesce("log10_backoff", F.lit(0.0)).alias("b"))
+        )).alias("bs"),
     )
     longest = F.coalesce(F.col("hit.k"), F.lit(1))
     penalty = F.aggregate(

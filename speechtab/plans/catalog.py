@@ -576,9 +576,9 @@ def fallback_counts(spark, root):
 
 @query
 def heavy_medians(spark, root):
-    """The exact median on the path for oversized groups (every group counts as oversized)."""
+    """Medians over all frames of a clip, however many they are."""
     rows = B.frames(spark, root).filter("x IS NOT NULL")
-    return rounded(skew.exact_median(rows, ["clip"], ["x", "y"], heavy_rows=0, bins=16, rounds=2), 10)
+    return rounded(skew.exact_median(rows, ["clip"], ["x", "y"]), 10)
 
 
 @query
@@ -744,9 +744,9 @@ def ngram_counts(spark, root):
 
 
 def dialogue_model(spark: SparkSession, root: str, order: int = K.LM_ORDER) -> DataFrame:
-    """Model of the conversations, written once and then reused."""
+    """Model of the conversations, stored once and then reused."""
     counts = ngram.count_ngrams(B.sentences(spark, root), "sentence", order)
-    return session.cut_lineage(ngram.estimate(counts, order))
+    return ngram.store_model(ngram.estimate(counts, order), session.scratch_path(spark, "model"))
 
 
 @query

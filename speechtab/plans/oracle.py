@@ -599,8 +599,9 @@ def statements() -> dict[str, str]:
         "frame_boxes": f"WITH {BOXES} SELECT clip_id, speaker_id, picture, points, {FOUR} FROM boxes",
         "clip_boxes": f"""WITH {BOXES} SELECT clip_id, speaker_id, valid_detections, sampled_frames, {FOUR}
             FROM clip_boxes""",
-        "speaker_medians": f"""WITH {BOXES}, m AS (SELECT speaker_id, {MEDIANS} FROM clip_boxes WHERE x1 IS NOT NULL
-            GROUP BY GROUPING SETS ((speaker_id), ())) SELECT speaker_id, {FOUR} FROM m""",
+        "speaker_medians": f"""WITH {BOXES}, m AS (SELECT speaker_id, CASE grouping(speaker_id) WHEN 1 THEN 'overall' ELSE 'speaker' END AS scope, {MEDIANS}
+            FROM clip_boxes WHERE x1 IS NOT NULL GROUP BY GROUPING SETS ((speaker_id), ()))
+            SELECT speaker_id, scope, {FOUR} FROM m""",
         "fallback_boxes": f"""WITH {FALLBACK} SELECT clip_id, speaker_id, valid_detections, sampled_frames, {FOUR}, source
             FROM placed""",
         "fallback_counts": f"WITH {FALLBACK} SELECT source, count(*) AS clips FROM placed GROUP BY 1",

@@ -3,8 +3,7 @@
 * ``running`` evaluates prefix aggregates over (key, chunk) windows and carries one summary row per
   chunk forward, so no task ever sorts a whole hot key.
 * ``number_rows`` numbers a whole table without a single-partition sort.
-* ``exact_median`` leaves ordinary groups to the built-in median and narrows oversized groups
-  through mergeable histograms.
+* ``exact_median`` ranks counted values in pieces.
 """
 
 from __future__ import annotations
@@ -136,104 +135,39 @@ def hash_bucket(key: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("int")
 
 
-def exact_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    values: Sequence[str],
-    *,
-    heavy_rows: int = 2_000_000,
-    bins: int = 65_536,
-    rounds: int = 1,
-) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Exact median of every value column per key (mean of the middle two for even counts).
 
-    Group sizes are checked first. While no group has more than ``heavy_rows`` rows the built-in
-    median does, in one shuffle. Bigger groups are narrowed: a histogram between the group's
-    extremes (mergeable, at most ``bins`` rows per group) tells which bins hold the middle ranks,
-    only those bins are kept, and after ``rounds`` passes the few values left are ranked. Both ways
-    are exact. Give a written or cheap input: the check reads the keys once more.
+    Equal values of a key are counted before they are shuffled; a running count over them, in pieces by magnitude,
+    tells the values of the middle ranks. No task sorts a whole key, whatever its share of the rows. Null values
+    don't count; a key without others has a null median. A null key is a key.
     """
-    keys = list(keys)
-    rows = df if keys else df.withColumn("__all", F.lit(0))
-    group = keys or ["__all"]
-    heavy = (
-        rows.groupBy(*group).agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") > heavy_rows).select(*group)
-    )
-    medians = [F.median(v).alias(v) for v in values]
-    if heavy.isEmpty():
-        return rows.groupBy(*group).agg(*medians).select(*keys, *values)
-    # As a struct, a null key equals itself in the joins.
-    rows, heavy = (x.withColumn("__key", F.struct(*group)) for x in (rows, heavy.select(*group)))
-    heavy, group = heavy.select("__key"), ["__key"]
-    light = rows.join(heavy, group, "left_anti").groupBy(*group).agg(*medians)
-    big = rows.join(heavy, group, "left_semi").select("__key", *values)
-    narrowed = heavy.join(_narrowed_median(big, group, values, bins, rounds), group, "left")
-    return light.unionByName(narrowed.select(*group, *values)).select(
-        *[F.col("__key")[k].alias(k) for k in keys], *values
-    )
-
-
-def _narrowed_median(
-    df: DataFrame, keys: list[str], values: Sequence[str], bins: int, rounds: int
-) -> DataFrame:
-    names = F.array(*[
-        F.struct(F.lit(v).alias("__name"), F.col(v).cast("double").alias("__v")) for v in values
+    group = ["__key", "__which"]
+    named = F.array(*[
+        F.struct(F.lit(i).alias("__which"), F.col(v).cast("double").alias("__v")) for i, v in enumerate(values)
     ])
-    data = (
-        df.select(*keys, F.explode(names).alias("__s"))
-        .select(*keys, "__s.__name", "__s.__v")
-        .filter("__v IS NOT NULL")
-        .withColumn("__seg", F.lit(0).cast("long"))
+    # As a struct, a null key equals itself in joins.
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    counts = df.select(key.alias("__key"), F.inline(named)).groupBy(*group, "__v").agg(F.count("*").alias("__n"))
+    ranked = running(
+        counts.filter("__v IS NOT NULL"), group, ["__v"], _magnitude(F.col("__v")), {"__upto": ("sum", F.col("__n"))}
     )
-    group = [*keys, "__name"]
-    # One row per live segment: its extremes, the rows before it and the two ranks looked for.
-    segments = data.groupBy(*group, "__seg").agg(
-        F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
-    ).withColumns({
-        "__skip": F.lit(0).cast("long"),
-        "__r1": F.floor((F.col("__n") + 1) / 2),
-        "__r2": F.floor((F.col("__n") + 2) / 2),
-    })
-    # Segments are a few rows per oversized group; writing them keeps the plan short.
-    segments = cut_lineage(segments)
-    for _ in range(rounds):
-        span = F.col("__hi") - F.col("__lo")
-        bin_no = F.when(span <= 0, F.lit(0)).otherwise(
-            F.least(F.lit(bins - 1), F.floor((F.col("__v") - F.col("__lo")) / span * bins))
-        )
-        placed = data.join(segments, [*group, "__seg"]).withColumn(
-            "__next", (F.col("__seg") * bins + bin_no).cast("long")
-        )
-        before = (
-            Window.partitionBy(*group, "__seg")
-            .orderBy("__next")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        histogram = placed.groupBy(*group, "__seg", "__next", "__skip", "__r1", "__r2").agg(
-            F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
-        ).withColumn("__skip", F.col("__skip") + F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        middle_bins = histogram.filter("__skip < __r2 AND __skip + __n >= __r1")
-        segments = cut_lineage(middle_bins.select(
-            *group, F.col("__next").alias("__seg"), "__n", "__lo", "__hi", "__skip", "__r1", "__r2"
-        ))
-        data = placed.select(*group, F.col("__next").alias("__seg"), "__v").join(
-            segments.select(*group, "__seg"), [*group, "__seg"], "left_semi"
-        )
-    ranked = (
-        data.groupBy(*group, "__seg", "__v")
-        .agg(F.count("*").alias("__n"))
-        .join(segments.select(*group, "__seg", "__skip", "__r1", "__r2"), [*group, "__seg"])
-        .withColumn(
-            "__upto",
-            F.col("__skip")
-            + F.sum("__n").over(Window.partitionBy(*group, "__seg").orderBy("__v")),
-        )
+    totals = counts.groupBy(*group).agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).alias("__total"))
+    low, high = F.floor((F.col("__total") + 1) / 2), F.floor((F.col("__total") + 2) / 2)
+    middle = totals.join(ranked, group, "left").groupBy(*group).agg(
+        F.min(F.when(F.col("__upto") >= low, F.col("__v"))).alias("__a"),
+        F.min(F.when(F.col("__upto") >= high, F.col("__v"))).alias("__b"),
+    ).withColumn("__m", F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(0.5 * F.col("__a") + 0.5 * F.col("__b")))
+    return middle.groupBy("__key").agg(*[
+        F.max(F.when(F.col("__which") == i, F.col("__m"))).alias(v) for i, v in enumerate(values)
+    ]).select(*[F.col("__key")[k].alias(k) for k in keys], *values)
+
+
+def _magnitude(value: Column) -> Column:
+    """Whole number that never falls as the value rises: 256 for each power of two, either sign."""
+    size = F.floor(F.log2(F.abs(value)) * 256) + 300_000
+    beyond = F.lit(1 << 40)
+    return (
+        F.when(F.isnan(value) | (value == float("inf")), beyond).when(value == float("-inf"), -beyond)
+        .when(value == 0, 0).when(value > 0, size).otherwise(-size)
     )
-    middle = ranked.groupBy(*group).agg(
-        F.min(F.when(F.col("__upto") >= F.col("__r1"), F.col("__v"))).alias("__a"),
-        F.min(F.when(F.col("__upto") >= F.col("__r2"), F.col("__v"))).alias("__b"),
-    ).withColumn("__m", (F.col("__a") + F.col("__b")) / 2)
-    return middle.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("__name") == v, F.col("__m"))).alias(v) for v in values
-    ])

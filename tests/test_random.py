@@ -91,20 +91,30 @@ def test_running_equals_plain_loop(spark):
         assert r["latest"] == (known[-1] if known else None)
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_medians_of_hot_groups(spark, rounds):
+def test_medians(spark):
     draw = random.Random(5)
-    rows = [(draw.choice("aaaab"), draw.choice([draw.random(), 0.5, draw.random() * 1e6, None]))
-            for _ in range(501)] + [("c", 1.0), ("d", 2.0), ("d", 4.0), ("e", None)]
-    df = spark.createDataFrame(rows, "k string, v double")
-    want = {k: statistics.median(v for kk, v in rows if kk == k and v is not None) for k in "abcd"} | {"e": None}
-    for heavy in (0, 100, 10**6):
-        got = skew.exact_median(df, ["k"], ["v"], heavy_rows=heavy, bins=8, rounds=rounds)
-        found = {r["k"]: r["v"] for r in got.collect()}
-        assert found.pop("e", 0) is None
-        assert found == pytest.approx({k: v for k, v in want.items() if k != "e"})
-    overall = skew.exact_median(df, [], ["v"], heavy_rows=3, bins=8, rounds=rounds).first()["v"]
-    assert overall == pytest.approx(statistics.median(v for _, v in rows if v is not None))
+    value = lambda: draw.choice([draw.random(), 0.5, -draw.random() * 1e6, draw.random() * 1e-300, 0.0, -0.0, None])
+    rows = [(draw.choice(["a", "a", "a", "b", None]), value(), value()) for _ in range(700)] + [
+        ("c", 1.0, None), ("d", 2.0, 1.0), ("d", 4.0, 3.0), ("e", None, None), ("f", math.inf, -math.inf), ("f", 1.0, -math.inf),
+        ("g", math.nan, 1.0), ("g", math.nan, math.inf), ("g", 7.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
+
+    def middle(values):
+        values = sorted((v for v in values if v is not None), key=lambda v: (math.isnan(v), v))
+        if not values:
+            return None
+        a, b = values[(len(values) - 1) // 2], values[len(values) // 2]
+        return a if a == b or math.isnan(a) else (a + b) / 2
+
+    same = lambda x, y: x == y or (x is not None and y is not None and (x == pytest.approx(y, rel=1e-12, nan_ok=True)))
+    got = skew.exact_median(df, ["k"], ["v", "w"]).collect()
+    assert len(got) == 8
+    for r in got:
+        assert same(r["v"], middle(v for k, v, _ in rows if k == r["k"])), r
+        assert same(r["w"], middle(w for k, _, w in rows if k == r["k"])), r
+    overall = skew.exact_median(df, [], ["v"]).collect()
+    assert len(overall) == 1 and same(overall[0]["v"], middle(v for _, v, _ in rows))
+    assert skew.exact_median(df.limit(0), ["k"], ["v"]).collect() == []
 
 
 def test_row_numbers(spark):
