@@ -34,6 +34,14 @@ def unpaired_examples(paired: DataFrame, key: str = "sample_id", n: int = 5) ->
     return sides[0].unionByName(sides[1])
 
 
+def speaker_disagreements(media: DataFrame, annotations: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Pairs whose media and annotation lie in folders of different speakers; a missing speaker differs."""
+    named = annotations.select(key, F.col("speaker_id").alias("annotation_speaker"))
+    return media.select(key, F.col("speaker_id").alias("media_speaker")).join(named, key).filter(
+        ~F.col("media_speaker").eqNullSafe(F.col("annotation_speaker"))
+    )
+
+
 def assemble_manifest(pairs: DataFrame, transcripts: DataFrame, media: DataFrame,
                       key: str = "sample_id") -> DataFrame:
     """Pairs, transcripts and media measures in one row per clip."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,20 @@ HISTORY_SCHEMA = T.StructType([
 ])
 
 
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """Histories in JSON: a line for each epoch of a stage, its metrics nested, learning rates by group."""
+    return spark.read.schema(HISTORY_SCHEMA).json(path)
+
+
+def stitch_stages(history: DataFrame, first: str, second: str) -> DataFrame:
+    """One run of epochs: those of the second stage, counted from 0, follow the last of the first stage."""
+    ends = history.groupBy("run_id").agg(F.max(F.when(F.col("stage") == first, F.col("epoch"))).alias("__end"))
+    shift = F.when(F.col("stage") == second, F.coalesce(F.col("__end") + 1, F.lit(0))).otherwise(0)
+    return history.filter(F.col("stage").isin(first, second)).join(ends, "run_id").withColumn(
+        "epoch", F.col("epoch") + shift
+    ).drop("__end")
+
+
 def track(
     history: DataFrame, *, patience: int, warmup: int = 0, run: str = "run_id",
     epoch: str = "epoch", wer: str = "wer", chunk_size: int = 4096,

@@ -16,7 +16,7 @@ from speechtab.operators import (
     validate,
 )
 from speechtab.plans import bindings as B
-from speechtab.sources import alignment, files, tables
+from speechtab.sources import alignment, files, listing, tables
 from speechtab.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,6 +470,80 @@ def frame_folders(spark, root):
     return files.frame_folders(pages)
 
 
+def file_tree(spark: SparkSession, root: str) -> str:
+    """Documents as files in speakers' folders, every third one empty and every tenth in a second folder as well."""
+    name = F.concat(F.lit("/ser/video_a/"), F.col("doc_id"), F.lit(".mp4"))
+    folders = F.array_compact(F.array(
+        F.concat(F.lit("spk"), "source", name), F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("spk~"), name))))
+    content = F.when(F.col("n_chars") % 3 != 0, F.col("text")).otherwise("").cast("binary")
+    path = session.scratch_path(spark, "files")
+    rows = B.table(spark, root, "documents").select(F.explode(folders).alias("relative_path"), content.alias("content"))
+    listing.write_files(rows, path).agg(F.sum("bytes")).collect()
+    return path
+
+
+@query
+def listed_files(spark, root):
+    found = files.list_files(spark, file_tree(spark, root), files.MEDIA_GLOB)
+    return found.select("relative_path", "bytes")
+
+
+@query
+def discovered_files(spark, root):
+    return files.discover_files(spark, file_tree(spark, root))
+
+
+@query
+def file_inventory(spark, root):
+    return files.inventory(spark, file_tree(spark, root), files.MEDIA_GLOB)
+
+
+@query
+def folder_disagreements(spark, root):
+    media, notes = media_and_annotations(spark, root)
+    named = notes.withColumn("speaker_id", F.concat(F.lit("src"), (F.col("sample_id") + F.col("toxic")) % 20))
+    return corpus.speaker_disagreements(media, named)
+
+
+# --- documents ------------------------------------------------------------------------------
+
+
+@query
+def vocabulary_documents(spark, root):
+    """Symbols and ids of each language's characters, as one document a language."""
+    seen = B.documents(spark, root, "lang", "text").select(
+        "lang", F.explode(F.array_distinct(text.characters(F.lower("text")))).alias("symbol")).distinct()
+    symbols = seen.groupBy("lang").agg(F.sort_array(F.collect_list("symbol")).alias("symbols"))
+    made = symbols.select(
+        "lang", F.lit(K.BLANK_SYMBOL).alias("blank"), "symbols",
+        F.map_from_arrays("symbols", F.sequence(F.lit(1), F.size("symbols"))).alias("ids"))
+    path = session.scratch_path(spark, "vocabulary")
+    tables.write_documents(made, path)
+    read = tables.read_documents(spark, path, {
+        "lang": ("$.lang", "string"), "blank": ("$.blank", "string"), "symbols": ("$.symbols", "array<string>"),
+        "id_of_e": ("$.ids.e", "int"), "id_of_zero": ("$.ids['0']", "int")})
+    return read.select("lang", "blank", F.size("symbols").alias("n_symbols"),
+                       F.array_join("symbols", "").alias("symbols"), "id_of_e", "id_of_zero")
+
+
+@query
+def quality_documents(spark, root):
+    path = session.scratch_path(spark, "quality")
+    tables.write_documents(quality_sample(spark, root), path)
+    return tables.read_documents(spark, path, {
+        "sample_id": ("$.sample_id", "bigint"), "speaker_id": ("$.speaker_id", "string"),
+        "num_frames": ("$.num_frames", "bigint"), "role": ("$.role", "string"), "quality": ("$.quality", "int")})
+
+
+@query
+def audit_documents(spark, root):
+    path = session.scratch_path(spark, "audit")
+    tables.write_documents(feasibility_report(spark, root), path)
+    return tables.read_documents(spark, path, {
+        "speaker_id": ("$.speaker_id", "string"), "valid": ("$.valid", "bigint"),
+        "invalid": ("$.invalid", "bigint"), "usable": ("$.usable", "boolean")})
+
+
 # --- blocks, logs, streaming ----------------------------------------------------------------
 
 
@@ -485,10 +559,19 @@ def block_summary(spark, root):
 
 @query
 def restored_blocks(spark, root):
+    """All blocks are written, then every second one again with other rows, which take the place of the first."""
+    rows, even = document_blocks(spark, root), F.col("block_id") % 2 == 0
+    path = session.scratch_path(spark, "blocks")
+    tables.write_blocks(rows.withColumn("n_chars", F.when(even, -1).otherwise(F.col("n_chars"))), path)
+    tables.write_blocks(rows.filter(even), path)
+    return tables.read_blocks(spark, path).select("doc_id", "source", "n_chars", "position", "block_id")
+
+
+@query
+def block_index(spark, root):
     path = session.scratch_path(spark, "blocks")
     tables.write_blocks(document_blocks(spark, root), path)
-    return tables.read_blocks(spark, path).select(
-        "doc_id", "source", "n_chars", "position", F.col("block_id").cast("bigint").alias("block_id"))
+    return tables.block_index(spark, path).drop("attempt")
 
 
 @query
@@ -569,6 +652,13 @@ def fallback_boxes(spark, root):
     return rounded(located(spark, root), 10)
 
 
+@query
+def box_roundtrip(spark, root):
+    path = session.scratch_path(spark, "boxes")
+    tables.write_boxes(located(spark, root).withColumnRenamed("clip_id", "sample_id"), path)
+    return rounded(tables.read_boxes(spark, path), 10)
+
+
 @query
 def fallback_counts(spark, root):
     return located(spark, root).groupBy("source").agg(F.count("*").alias("clips"))
@@ -688,7 +778,7 @@ def detector_frames(spark, root):
         def detect(values):
             if values[0] < 0:
                 return []
-            return [[(values[2 * i], values[2 * i + 1]) for i in range(4)], [(0.0, 0.0)]]
+            return [[(values[2 * i], values[2 * i + 1]) for i in range(16)], [(0.0, 0.0)]]
         return detect
 
     found = models.apply_detector(rows, factory, ["vec_id"], "embedding")
@@ -815,6 +905,28 @@ def grid_ranking(spark, root):
 # --- run history, batches, reports ----------------------------------------------------------
 
 
+@query
+def stitched_history(spark, root):
+    """Turns as epochs of two stages with nested metrics, written as JSON, read back and numbered through."""
+    turn = F.col("turn").cast("int")
+    second = turn >= 2
+    size = F.length("text").cast("double")
+    measures = lambda value: F.struct(
+        value.alias("loss"), (value / 2).alias("wer"), (value / 4).alias("cer"), F.lit(0.0).alias("sentence_exact_match"))
+    rows = B.table(spark, root, "conversations").select(
+        F.col("conv_id").cast("string").alias("run_id"), F.when(second, turn - 2).otherwise(turn).alias("epoch"),
+        F.when(second, "second").otherwise("first").alias("stage"),
+        measures(size).alias("train"), measures(size + 1).alias("validation"),
+        F.create_map(F.lit("head"), 1 / (turn + 1), F.lit("role"), F.length("role").cast("double")).alias("learning_rates"))
+    path = session.scratch_path(spark, "history")
+    rows.write.json(path)
+    stitched = history.stitch_stages(history.read_history(spark, path), "first", "second")
+    return rounded(stitched.select(
+        "run_id", "epoch", "stage", F.col("train.loss").alias("train_loss"), F.col("validation.wer").alias("validation_wer"),
+        F.col("validation.cer").alias("validation_cer"), F.col("learning_rates.head").alias("head_rate"),
+        F.col("learning_rates.role").alias("role_rate")), 9)
+
+
 @query
 def early_stopping(spark, root):
     tracked = history.track(B.run_histories(spark, root), patience=2, warmup=1, chunk_size=3)

@@ -577,6 +577,36 @@ def statements() -> dict[str, str]:
               string_split(url, '/')[-1], '[?#].*$', ''), '\.[^.]*$', '') AS stem FROM pages)
             SELECT folder, count(try_cast(stem AS BIGINT)) AS frames,
               count(*) - count(try_cast(stem AS BIGINT)) AS bad_names FROM n GROUP BY 1""",
+        "listed_files": """WITH f AS (SELECT 'spk' || source AS folder, * FROM documents UNION ALL
+              SELECT 'spk~', * FROM documents WHERE doc_id % 10 = 0)
+            SELECT folder || '/ser/video_a/' || doc_id || '.mp4' AS relative_path,
+              CASE WHEN n_chars % 3 <> 0 THEN strlen(text) ELSE 0 END AS bytes FROM f""",
+        "discovered_files": """SELECT doc_id::VARCHAR AS sample_id, 'spk' || source AS speaker_id,
+            'spk' || source || '/ser/video_a/' || doc_id || '.mp4' AS path,
+            (CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END)::BIGINT AS copies FROM documents""",
+        "file_inventory": """WITH f AS (SELECT 'spk' || source AS folder, * FROM documents UNION ALL
+              SELECT 'spk~', * FROM documents WHERE doc_id % 10 = 0),
+            c AS (SELECT folder, doc_id, CASE WHEN n_chars % 3 <> 0 THEN text ELSE '' END AS content FROM f)
+            SELECT folder || '/ser/video_a/' || doc_id || '.mp4' AS relative_path, strlen(content) AS bytes,
+              sha256(content) AS sha256 FROM c""",
+        "folder_disagreements": """SELECT l.doc_id AS sample_id, d.source AS media_speaker,
+              'src' || (l.doc_id + l.toxic) % 20 AS annotation_speaker
+            FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE d.source <> 'src' || (l.doc_id + l.toxic) % 20""",
+        "vocabulary_documents": f"""WITH c AS (SELECT DISTINCT lang, unnest({_chars("lower(text)")}) AS symbol FROM documents),
+            s AS (SELECT lang, list(symbol ORDER BY symbol) AS symbols FROM c GROUP BY 1)
+            SELECT lang, '{K.BLANK_SYMBOL}' AS blank, len(symbols)::INTEGER AS n_symbols, array_to_string(symbols, '') AS symbols,
+              list_position(symbols, 'e')::INTEGER AS id_of_e, list_position(symbols, '0')::INTEGER AS id_of_zero FROM s""",
+        "block_index": """WITH p AS (SELECT row_number() OVER (ORDER BY doc_id) AS position FROM documents)
+            SELECT (position - 1) // 100 AS block_id, min(position) AS first_position, max(position) AS last_position,
+              count(*) AS rows FROM p GROUP BY 1""",
+        "stitched_history": """WITH e AS (SELECT conv_id::VARCHAR AS run_id, turn, role, length(text)::DOUBLE AS size,
+              max(turn) FILTER (turn < 2) OVER (PARTITION BY conv_id) AS last FROM conversations)
+            SELECT run_id, (CASE WHEN turn < 2 THEN turn ELSE turn - 2 + coalesce(last + 1, 0) END)::INTEGER AS epoch,
+              CASE WHEN turn < 2 THEN 'first' ELSE 'second' END AS stage, size AS train_loss,
+              (size + 1) / 2 AS validation_wer, (size + 1) / 4 AS validation_cer,
+              round(1e0 / (turn + 1), 9) AS head_rate, length(role)::DOUBLE AS role_rate FROM e""",
+        "box_roundtrip": f"""WITH {FALLBACK} SELECT clip_id AS sample_id, {FOUR}, valid_detections::INTEGER AS valid_detections,
+            sampled_frames::INTEGER AS sampled_frames, source FROM placed""",
         "block_summary": """WITH p AS (SELECT n_chars, row_number() OVER (ORDER BY doc_id) AS position FROM documents)
             SELECT (position - 1) // 100 AS block_id, min(position) AS first_position, max(position) AS last_position,
               count(*) FILTER (n_chars >= 1000) AS results, count(*) FILTER (n_chars < 1000) AS failures
@@ -660,7 +690,7 @@ def statements() -> dict[str, str]:
               / 4294967296.0e0 > 0.5e0 AS mirrored, unnest(range(0, 64)) AS i FROM embeddings)
             SELECT vec_id, mirrored, i::INTEGER AS i, round(e[CASE WHEN mirrored THEN i // 8 * 8 + 8 - i % 8
               ELSE i + 1 END]::DOUBLE / 255, 9) AS v FROM m""",
-        "detector_frames": """WITH p AS (SELECT vec_id, embedding AS e, unnest(range(0, 4)) AS point FROM embeddings
+        "detector_frames": """WITH p AS (SELECT vec_id, embedding AS e, unnest(range(0, 16)) AS point FROM embeddings
               WHERE embedding[1] >= 0)
             SELECT vec_id, point::INTEGER AS point, round(e[2 * point + 1]::DOUBLE, 6) + 0.0 AS x,
               round(e[2 * point + 2]::DOUBLE, 6) + 0.0 AS y FROM p""",
@@ -731,4 +761,6 @@ def statements() -> dict[str, str]:
         "first_examples": f"""WITH {PAIRS} SELECT sample_id, prediction, reference FROM pairs ORDER BY sample_id
             LIMIT 10""",
     }
+    # The documents hold the rows of these.
+    sql["audit_documents"], sql["quality_documents"] = sql["feasibility_report"], sql["quality_sample"]
     return sql

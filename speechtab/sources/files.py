@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechtab.sources.listing import list_folder
+
 MEDIA_GLOB = "spk*/ser/video_a/*.mp4"
 ANNOTATION_GLOB = "spk*/alignment/*.align"
 
@@ -22,16 +24,10 @@ def _below(spark: SparkSession, root: str) -> Column:
 
 
 def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """(path, relative_path, bytes, modified) of matching files; no content is loaded.
-
-    Empty files are not listed.
-    """
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}")
-    return files.select(
-        "path",
-        _below(spark, root).alias("relative_path"),
-        F.col("length").alias("bytes"),
-        F.col("modificationTime").alias("modified"),
+    """(path, relative_path, bytes, modified) of matching files, empty ones too; no content is read."""
+    base = root.rstrip("/")
+    return list_folder(spark, base, glob).select(
+        F.concat(F.lit(f"{base}/"), "relative_path").alias("path"), "relative_path", "bytes", "modified"
     )
 
 
@@ -106,12 +102,13 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """Relative path, size and SHA-256 of the content."""
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}")
-    return files.select(
-        _below(spark, root).alias("relative_path"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+    """Relative path, size and SHA-256 of the content; empty files have the digest of nothing."""
+    read = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}").select(
+        _below(spark, root).alias("relative_path"), F.sha2("content", 256).alias("sha256")
+    )
+    return list_files(spark, root, glob).select("relative_path", "bytes").join(read, "relative_path", "left").select(
+        "relative_path", "bytes",
+        F.coalesce("sha256", F.when(F.col("bytes") == 0, F.sha2(F.lit(b""), 256))).alias("sha256"),
     )
 
 
