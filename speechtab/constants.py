@@ -56,7 +56,6 @@ TEMPLATE_Y = (
 )
 TEMPLATE_PADDING = 0.25
 TEMPLATE_SIZE = 256
-MOUTH_POINTS = 20
 MOUTH_CROP = (160, 80)
 
 # Parameter groups of a model inventory, by name prefix.
