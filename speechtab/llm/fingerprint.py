@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechtab.llm.common import whole_text
-from speechtab.llm.neighbours import with_next
+from speechtab.llm.neighbours import PART, with_next
 
 #: The last level has one of 2^23 paragraphs, so it is sparse in the longest text that a row can hold.
 LEVELS = 24
@@ -129,27 +129,28 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select("doc_id", whole_text().alias("text"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = with_next(texts, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long")).withColumn(
+    edited = with_next(texts, "doc_id", "text", parts=True).withColumn("n_chars", F.length("text").cast("long")).withColumn(
         "edited", F.concat(
             F.substring("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")),
             F.substring("next_text", F.lit(1), quarter),
         )
     )
     pieces = edited.withColumn("row", F.monotonically_increasing_id()).select(
-        "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        *PART, "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         F.posexplode(F.array("text", "edited", "next_text")).alias("which", "whole"),
     )
     kept = ["doc_id", "n_chars", "edited_sha256"]
     # Only one of a row's three texts carries the other columns through the shuffles.
     split = pieces.select(
-        "row", "which", *[F.when(F.col("which") == 0, F.col(c)).alias(c) for c in kept],
+        *PART, "row", "which", *[F.when(F.col("which") == 0, F.col(c)).alias(c) for c in kept],
         F.explode(paragraphs(F.col("whole"))).alias("part"),
     )
-    summed = level_sums(split, ["row", "which"], "part", kept)
+    # Rows lie parted as their neighbours were found, so these sums need no shuffle.
+    summed = level_sums(split, [*PART, "row", "which"], "part", kept)
     of = lambda which: lanes_of(F.collect_list(
         F.when(F.col("which") == which, F.struct("level", "sums"))
     ))
-    beside = summed.groupBy("row").agg(
+    beside = summed.groupBy(*PART, "row").agg(
         *[F.max(c).alias(c) for c in kept], of(0).alias("own"), of(1).alias("changed"), of(2).alias("next")
     )
     return beside.select(
