@@ -1,11 +1,14 @@
 """Rows without ids, repeated ids, hot texts and tables of many parts."""
 
+import hashlib
 import random
+import re
+import struct
 
-from pyspark.sql import functions as F
+import xxhash
 
 import corpus_pipeline
-from speechtab.llm import embedding_dedup, neighbours, sharding, simhash
+from speechtab.llm import embedding_dedup, fingerprint, neighbours, sharding, simhash
 
 
 def test_vectors_without_or_with_repeated_ids(spark):
@@ -96,3 +99,54 @@ def test_one_of_each_repeated_row_stays(spark):
     rows = [(1, text), (1, text), (2, text), (None, "no id"), (3, "another text"), (3, "quite some more words of another kind")]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], *rows[3:]]))
+
+
+def brute_lanes(text):
+    parts = re.split(r"\n|(?<=[.!?,;|])(?= )", text)
+    totals, lanes = [0, 0], [0] * (fingerprint.LEVELS * fingerprint.WIDTH)
+    for part in parts:
+        first = xxhash.xxh64_intdigest(part.encode(), 42)
+        other = xxhash.xxh64_intdigest(struct.pack("<i", 1), first)
+        low = first & (1 << fingerprint.LEVELS - 1) - 1 | 1 << fingerprint.LEVELS - 1
+        level = (low & -low).bit_length() - 1
+        totals[0] += other
+        totals[1] += other >> 32
+        lanes[level * fingerprint.WIDTH + (other >> 8 & 0xFFFFFF) % fingerprint.WIDTH] += first >> 32
+    return [x % 2 ** 32 for x in totals + lanes]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    dense = [0, 0]
+    sparse = [0, 0]
+    for level in range(fingerprint.LEVELS):
+        at = slice(2 + level * fingerprint.WIDTH, 2 + (level + 1) * fingerprint.WIDTH)
+        pairs = [(x, y) for x, y in zip(a[at], b[at]) if x or y]
+        same = sum(x == y for x, y in pairs)
+        for sums in ([dense, sparse] if len(pairs) <= fingerprint.WIDTH * 2 // 3 else [dense]):
+            sums[0] += same
+            sums[1] += len(pairs)
+    same, used = sparse if sparse[1] else dense
+    return 2 * same / (same + used) if used else 0.0
+
+
+def test_fingerprints_equal_brute_force(spark):
+    draw = random.Random(4)
+    sentence = lambda: " ".join(draw.choice(["der", "wort", "été", "🙂", "x"]) for _ in range(draw.randrange(1, 9))) + draw.choice(".,!|\n")
+    texts = [None, "", "one"] + [" ".join(sentence() for _ in range(draw.randrange(1, 80))) for _ in range(25)]
+    texts += [texts[5], texts[6] + " and more."]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    own = [brute_lanes(t or "") for t in texts]
+    for i, text in enumerate(texts):
+        text, following = text or "", texts[(i + 1) % len(texts)] or ""
+        quarter = len(text) // 4
+        edited = text[:len(text) - quarter] + following[:quarter]
+        changed = brute_lanes(edited)
+        assert got[i]["fingerprint"] == "".join(f"{x:08x}" for x in own[i])
+        assert got[i]["edited_fingerprint"] == "".join(f"{x:08x}" for x in changed)
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(got[i]["near_edited"] - brute_likeness(own[i], changed)) < 1e-12
+        assert abs(got[i]["near_next"] - brute_likeness(own[i], own[(i + 1) % len(own)])) < 1e-12
