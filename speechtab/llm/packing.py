@@ -3,9 +3,9 @@
 Documents are cut into pieces of at most ``capacity`` tokens. Whole pieces fill sequences of their own;
 all others are dealt over partitions of a bounded number of pieces and packed there by best-fit
 decreasing. Dual feasible functions give each partition a lower bound of its bins. A partition that
-meets the bound is certified and closed. The others have gaps: they close the bins that are full enough
-for the bound to leave nothing to gain there, and the pieces of their other bins are exchanged, dealt
-over other partitions, and packed again. The rounds end when no exchange saves a bin.
+meets the bound is certified and closed. The others have gaps: they close their full bins, and the
+pieces of their other bins are exchanged, dealt over other partitions, and packed again. The rounds end
+when no exchange saves a bin, or after ``ROUNDS``.
 
 The best packing so far is kept, so a round never costs bins. Only lengths and ids move, never tokens.
 
