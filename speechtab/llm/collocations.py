@@ -24,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,9 @@ COVERED = 80
 SCALE = 2_000_000
 
 #: Bytes of text that are looked at together, and entries of a table before it is handed on.
-PART_BYTES = 1 << 20
-TABLE_ENTRIES = 1 << 23
-PHRASES = 500_000
+PART_BYTES = 1 << 18
+TABLE_ENTRIES = 1 << 20
+PHRASES = 1 << 17
 #: log2 of the bits of the map of surviving hashes: 8 MiB.
 MAP_BITS = 26
 #: Bytes of text of a hash partition, of which there are as many as shuffle partitions at least.
@@ -140,7 +141,7 @@ class _Words:
         """For each length the first words of phrases and the phrases' hashes."""
         if not len(self.starts):
             return
-        size = 1 << max(22, len(self.codes).bit_length())
+        size = 1 << max(20, len(self.codes).bit_length())
         up, down = (p[:len(self.codes) + 1] for p in _powers(size))
         sums = np.zeros(len(self.codes) + 1, np.uint64)
         np.cumsum(_BYTES[self.codes] * up[:-1], out=sums[1:])
@@ -182,7 +183,9 @@ _SUMMARY_SQL = "part long, kind int, mass long, keys binary, counts binary"
 
 def _hand_on(hashes: list[np.ndarray], partitions: int) -> Iterator[pa.RecordBatch]:
     """A task's counts by hash partition; within one, half of the hash is the key."""
-    all_ = np.sort(np.concatenate(hashes))
+    all_ = np.concatenate(hashes)
+    hashes.clear()
+    all_.sort()
     first = np.flatnonzero(np.concatenate(([True], all_[1:] != all_[:-1])))
     counts = np.diff(np.append(first, len(all_)))
     found = all_[first]
@@ -233,7 +236,7 @@ class Summary:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.waiting.append((keys, counts))
         self.held += len(keys)
-        if self.held >= max(self.capacity, 1 << 20):
+        if self.held >= max(self.capacity, 1 << 18):
             self.merge()
 
     def merge(self) -> None:
@@ -298,32 +301,61 @@ def _bit_map(spots: DataFrame) -> bytes:
     return whole.tobytes()
 
 
-_PHRASES = pa.schema({"lang": pa.string(), "phrase": pa.string(), "f": pa.int64()})
+_PHRASES = pa.schema({"part": pa.int64(), "lang": pa.string(), "phrases": pa.binary(), "counts": pa.binary()})
+_PHRASES_SQL = "part long, lang string, phrases binary, counts binary"
 
 
-def _phrases(counters: dict[str, Counter], words: Counter) -> Iterator[pa.RecordBatch]:
+def _phrases(counters: dict[str, Counter], partitions: int) -> Iterator[pa.RecordBatch]:
+    """A task's exact counts, phrases of a partition together. No phrase is empty; that entry counts all words."""
     for lang, counter in counters.items():
-        yield pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(counter)), pa.array([p.decode() for p in counter], pa.string()),
-            pa.array(list(counter.values()), pa.int64()),
-        ], schema=_PHRASES)
-    yield pa.RecordBatch.from_arrays([
-        pa.array(list(words), pa.string()), pa.array([None] * len(words), pa.string()),
-        pa.array(list(words.values()), pa.int64()),
-    ], schema=_PHRASES)
+        phrases, counts = list(counter), np.array(list(counter.values()), np.int64)
+        parts = np.fromiter(map(crc32, phrases), np.int64, len(phrases)) % partitions
+        order = np.argsort(parts, kind="stable")
+        bounds = np.flatnonzero(np.concatenate(([True], np.diff(parts[order]) != 0, [True]))) if len(order) else []
+        rows = [
+            (int(parts[order[a]]), lang, b"\n".join([phrases[i] for i in order[a:b]]), counts[order[a:b]].tobytes())
+            for a, b in zip(bounds[:-1], bounds[1:])
+        ]
+        yield pa.RecordBatch.from_pylist([dict(zip(_PHRASES.names, r)) for r in rows], _PHRASES)
+
+
+def _add_up(threshold: int):
+    """Counts of a partition's phrases; those below the threshold go."""
+    kinds = pa.schema({"lang": pa.string(), "phrase": pa.string(), "f": pa.int64()})
+
+    def step(batches):
+        part, sums = None, {}
+
+        def kept():
+            rows = [
+                (lang, phrase.decode() or None, n) for lang, counter in sums.items() for phrase, n in counter.items()
+                if n >= threshold or not phrase
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 3, kinds.types)], schema=kinds)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    yield kept()
+                    part, sums = row["part"], {}
+                counter = sums.setdefault(row["lang"], Counter())
+                for phrase, n in zip(row["phrases"].split(b"\n"), np.frombuffer(row["counts"], np.int64).tolist()):
+                    counter[phrase] += n
+        yield kept()
+
+    return step
 
 
 def _count_exactly(partitions: int, bits):
     def step(batches):
         map_ = np.frombuffer(bits.value, np.uint8)
         counters: dict[str, Counter] = {}
-        totals: Counter = Counter()
         for lang, data, starts, ends in _grouped(batches):
             words = _Words(data, starts, ends)
             counter = counters.setdefault(lang, Counter())
             for n, first, hashes in words.hashes(lang):
                 if n == 1:
-                    totals[lang] += len(first)
+                    counter[b""] += len(first)
                 spots = _spots(_partition(hashes, partitions), hashes.astype(np.uint32))
                 first = first[map_[spots >> 3] >> (spots & 7).astype(np.uint8) & 1 == 1]
                 begin, end = words.starts[first], words.ends[first + n - 1]
@@ -334,9 +366,9 @@ def _count_exactly(partitions: int, bits):
                     b" ".join(data[a:b].split()) for a, b in zip(begin[~close].tolist(), end[~close].tolist())
                 ])
             if sum(map(len, counters.values())) >= PHRASES:
-                yield from _phrases(counters, totals)
-                counters, totals = {}, Counter()
-        yield from _phrases(counters, totals)
+                yield from _phrases(counters, partitions)
+                counters = {}
+        yield from _phrases(counters, partitions)
 
     return step
 
@@ -360,9 +392,10 @@ def count_phrases(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ).sortWithinPartitions("part", "kind")
     spots = map_batches(summaries, _merge_summaries(threshold), "spot long")
     bits = spark.sparkContext.broadcast(_bit_map(spots))
-    return map_batches(texts, _count_exactly(partitions, bits), "lang string, phrase string, f long").groupBy(
-        "lang", "phrase"
-    ).agg(F.sum("f").alias("f")).filter((F.col("f") >= threshold) | F.col("phrase").isNull())
+    counted = map_batches(texts, _count_exactly(partitions, bits), _PHRASES_SQL).repartition(
+        partitions, "part"
+    ).sortWithinPartitions("part")
+    return map_batches(counted, _add_up(threshold), "lang string, phrase string, f long")
 
 
 def score(counts: DataFrame, top: int = TOP) -> DataFrame:
