@@ -6,6 +6,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,23 @@ def test_distances_over_blocks(monkeypatch):
         assert distance.edit_distance(a, b) == table_distance(a, b)
 
 
+def test_distances_of_a_batch(monkeypatch):
+    """Pairs of one batch advance together, whatever their lengths; equal, empty, null and long ones are among them."""
+    monkeypatch.setattr(distance, "LONG", 150)
+    monkeypatch.setattr(distance, "LANES", 40)
+    draw = random.Random(9)
+    for letters in ("ab ", "a b\t", "".join(map(chr, range(0x4e00, 0x4f90))), "aé😀 \u3000"):
+        text = lambda: draw.choice([None, "", "".join(draw.choice(letters) for _ in range(draw.choice((1, 7, 64, 65, 129, 170))))])
+        pairs = [(a, b if draw.randrange(9) else a) for a, b in ((text(), text()) for _ in range(60))]
+        found = zip(*(c.to_pylist() for c in distance.pair_distances(
+            pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()))))
+        for (a, b), got in zip(pairs, found):
+            words = (len(b.split(" ")), len(b.split())) if b is not None else (None, None)
+            errors = [None] * 3 if a is None or b is None else [
+                table_distance(a.split(" "), b.split(" ")), table_distance(a.split(), b.split()), table_distance(a, b)]
+            assert got == (errors[0], words[0], errors[1], words[1], errors[2])
+
+
 def test_distances_of_nulls(spark):
     rows = spark.createDataFrame([(None, "a b"), ("a", None), (None, None)], "prediction string, reference string")
     scored = metrics.score_pairs(rows).collect()
