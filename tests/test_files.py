@@ -160,3 +160,17 @@ def test_no_candidates_predict_nothing(spark):
     assert {r["beta"]: round(r["wer"], 6) for r in rates} == {0.0: round(2 / 3, 6), 1.0: round(1 / 3, 6)}
 
 
+
+
+def test_candidates_of_several_weights(spark):
+    """Weights in an array give what one row for each weight gives, and clips that were dealt by id don't move again."""
+    rows = spark.createDataFrame(
+        [("a", "x y", -1.0, -2.0), ("a", "x y", -1.5, -0.5), ("a", "x", -3.0, -1.0), ("a", "", 0.0, 0.0), ("b", "z", -1.0, -1.0)],
+        "sample_id string, text string, am_score double, lm_score double")
+    weights = F.array(F.lit(1.0), F.lit(0.1))
+    dealt = rows.repartition(4, "sample_id").withColumn("alpha", weights)
+    best = tuning.best_per_text(dealt)
+    single = tuning.best_per_text(rows.withColumn("alpha", F.explode(weights)))
+    assert sorted(best.collect()) == sorted(single.select(*best.columns).collect())
+    plan = tuning.select_best(best, [0.0, 1.0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
