@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from speechtab.operators import history
+from speechtab.plans import catalog
 from speechtab.sources import files, tables
 from speechtab.streaming import intake
 
@@ -53,3 +54,9 @@ def test_heavy_medians_of_a_null_key(spark):
     want = {(None, 4.0), ("a", 3.5), ("b", 1.0)}
     got = [tuple(r) for r in skew.exact_median(rows, ["k"], ["v"]).collect()]
     assert len(got) == 3 and set(got) == want
+
+
+def test_words_of_dealt_documents_stay(spark):
+    """Documents move once, before they are taken apart; their words don't move again to become transcripts."""
+    plan = catalog.transcripts_from_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
