@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechtab.sources.listing import list_folder
+from speechtab.sources.listing import hash_files, list_folder
 
 MEDIA_GLOB = "spk*/ser/video_a/*.mp4"
 ANNOTATION_GLOB = "spk*/alignment/*.align"
@@ -15,14 +15,6 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def _below(spark: SparkSession, root: str) -> Column:
-    """The part of ``path`` below the root, whatever the folders in it are called."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    whole = system.makeQualified(place).toString().rstrip("/")
-    return F.expr(f"substring(path, {len(whole) + 2})")
-
-
 def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """(path, relative_path, bytes, modified) of matching files, empty ones too; no content is read."""
     base = root.rstrip("/")
@@ -103,13 +95,7 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
 
 def inventory(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """Relative path, size and SHA-256 of the content; empty files have the digest of nothing."""
-    read = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{glob}").select(
-        _below(spark, root).alias("relative_path"), F.sha2("content", 256).alias("sha256")
-    )
-    return list_files(spark, root, glob).select("relative_path", "bytes").join(read, "relative_path", "left").select(
-        "relative_path", "bytes",
-        F.coalesce("sha256", F.when(F.col("bytes") == 0, F.sha2(F.lit(b""), 256))).alias("sha256"),
-    )
+    return hash_files(list_files(spark, root, glob).select("relative_path", "bytes"), root)
 
 
 def select_paths(files: DataFrame, folder: str = "/alignment/", suffix: str = ".align",

@@ -7,12 +7,15 @@ Folders are reached through Arrow's file systems: local and shared paths, HDFS a
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+#: Bytes of a file that are held at once to hash it.
+READ_BYTES = 1 << 20
 FILE_SCHEMA = "relative_path string, bytes bigint, modified timestamp"
 
 
@@ -104,3 +107,30 @@ def write_files(files: DataFrame, root: str, path: str = "relative_path", conten
             yield pa.RecordBatch.from_arrays([batch[path], pa.array(sizes, pa.int64())], names=[path, "bytes"])
 
     return files.select(path, content).mapInArrow(step, f"{path} string, bytes bigint")
+
+
+def hash_files(listed: DataFrame, root: str, path: str = "relative_path") -> DataFrame:
+    """The files of a listing with the SHA-256 of their contents, read piece by piece in the tasks.
+
+    The driver sees no file: Spark's own readers would first gather the state of each one there.
+    """
+    import pyarrow as pa
+
+    def step(batches):
+        system, base = open_folder(root)
+        for batch in batches:
+            digests = []
+            for name in batch[path].to_pylist():
+                digest = hashlib.sha256()
+                with system.open_input_stream(f"{base.rstrip('/')}/{name}", compression=None) as source:
+                    while piece := source.read(READ_BYTES):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=names)
+
+    schema = T.StructType([*listed.schema.fields, T.StructField("sha256", T.StringType())])
+    names = schema.names
+    # A listing has as many parts as there are top folders, and those may differ a lot. With a number given, Spark
+    # doesn't put parts together for their few bytes of names.
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, path).mapInArrow(step, schema)

@@ -1,5 +1,7 @@
 """Blocks, listings, documents and histories on real files."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,16 @@ def test_listing_finds_empty_files(spark, tmp_path):
         files.require_files(files.discover_files(spark, str(tmp_path), "spk*/none/*/*.mp4"))
 
 
+def test_hashing_brings_no_file_to_the_driver(spark, tmp_path):
+    rows = [(f"spk{i % 3}/ser/video_a/{i}.mp4", bytes([i]) * i) for i in range(90)]
+    listing.write_files(spark.createDataFrame(rows, "relative_path string, content binary"), str(tmp_path)).collect()
+    found = files.inventory(spark, str(tmp_path), files.MEDIA_GLOB)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert "Join" not in plan.toString() and found.inputFiles() == []  # Spark's own readers list each file there
+    assert {(r["relative_path"], r["bytes"], r["sha256"]) for r in found.collect()} == {
+        (p, len(c), hashlib.sha256(c).hexdigest()) for p, c in rows}
+
+
 def test_documents_keep_nulls_and_letters(spark, tmp_path):
     rows = spark.createDataFrame([("čaš", None, [1, 2]), (None, 3, [])], "s string, n int, a array<int>")
     tables.write_documents(rows, str(tmp_path / "d"))
