@@ -202,3 +202,22 @@ def test_names(spark):
     assert one(spark, text.strip_prefix(F.lit("module.conv1.weight"))) == "conv1.weight"
     assert one(spark, text.prefix_group(F.lit("gru2.bias"))) == "gru2"
     assert one(spark, text.prefix_group(F.lit("pool.bias"))) == "error"
+
+
+def test_all_line_ends_part_lines(spark):
+    for end in ("\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"):
+        content = end.join(("\ufeff0\t10\tA", "", "\u3000", "\t ", "\u300020\u3000\t\x0130\t\xa0b", "x\t1\tc", "1\t\ta", "é")) + end
+        rows = alignment.parse_alignment(lit_file(spark, content), silence=["a"]).orderBy("line_no").collect()
+        assert [(r["line_no"], r["start"], r["end"], r["token"], r["error"]) for r in rows] == [
+            (1, 0, 10, "a", None), (5, 20, 30, "b", None), (6, None, 1, "c", "not_a_number"), (7, 1, None, "a", None),
+            (8, None, None, None, "column_count")], end
+        spaced = alignment.parse_spaced(lit_file(spark, end.join((" 1 2 q ", "", "1 2", "3 4 p p"))), silence=["a"])
+        assert [(r["line_no"], r["token"]) for r in spaced.orderBy("line_no").collect()] == [(1, "Q"), (4, "P")], end
+
+
+def test_filters_do_not_split_lines_again(spark):
+    _, bad = alignment.split_rejects(alignment.parse_alignment(lit_file(spark, "1\t2\ta\n1\ta")))
+    spaced = alignment.parse_spaced(lit_file(spark, "1 2 a\n1 a"))
+    for rows in (bad.select("line_no"), spaced):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert all("split(" not in line for line in plan.splitlines() if "Filter" in line), plan
