@@ -1,8 +1,11 @@
 """Cases that once lost or changed rows."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from speechtab.functions.nfc import nfc
 from speechtab.operators import history
 from speechtab.plans import catalog
 from speechtab.sources import files, tables
@@ -60,3 +63,12 @@ def test_words_of_dealt_documents_stay(spark):
     """Documents move once, before they are taken apart; their words don't move again to become transcripts."""
     plan = catalog.transcripts_from_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_plain_texts_stay_out_of_python(spark):
+    texts = ["plain", "", None, "c\u030caš", "\u1100\u1161", "é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", nfc("t").alias("n"))
+    assert [r["n"] for r in rows.collect()] == [t and unicodedata.normalize("NFC", t) for t in texts]
+    assert "octet_length" in rows._jdf.queryExecution().optimizedPlan().toString()
+    catalog.QUERIES["nfc_text"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
