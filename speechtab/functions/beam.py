@@ -10,7 +10,7 @@ too large for that, ``beam_decode_by_joins`` keeps the model a table and advance
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,8 @@ from speechtab.operators import ctc, ngram, text
 
 #: Cells of a table of letter costs that may be broadcast, 128 MiB: 27 letters and order 5 need 15.5 million.
 TABLE_CELLS = 1 << 24
+#: Hypotheses that are handed on together.
+FRAME_ROWS = 10_000
 _LN10 = math.log(10.0)
 _CANDIDATES = T.StructType([
     T.StructField("text", T.StringType()),
@@ -97,11 +99,11 @@ def _search(
         # The same symbol again only counts as new after a blank.
         grown[some, last[some] - 1] = blank[some] + row[last[some]]
         place = {p: k for k, p in enumerate(prefixes)}
-        for k in some.tolist():
-            parent = place.get(prefixes[k][:-1])
-            if parent is not None:
-                stay_symbol[k] = np.logaddexp(stay_symbol[k], grown[parent, last[k] - 1])
-                grown[parent, last[k] - 1] = -np.inf
+        shorter = np.array([place.get(prefixes[k][:-1], -1) for k in some.tolist()], np.int64)
+        child, parent = some[shorter >= 0], shorter[shorter >= 0]
+        ending = last[child] - 1
+        stay_symbol[child] = np.logaddexp(stay_symbol[child], grown[parent, ending])
+        grown[parent, ending] = -np.inf
         longer = language[:, None] + (costs[np.array(offsets)[length] + digits, :size] if costs is not None else np.zeros(size))
         begins = (last == 0) | spaces[last - 1]
         more_words = words[:, None] + (begins[:, None] & ~spaces[None, :])
@@ -142,6 +144,34 @@ def _search(
     return sorted(final, key=lambda f: (-(f[1] + alpha * f[2] + beta * len(f[0].split())), f[0]))
 
 
+def _candidates(batches: Iterator[pd.DataFrame], key: str, search: Callable) -> Iterator[pd.DataFrame]:
+    """Frames of the hypotheses of many clips: a frame of its own for each clip took more time than its rows."""
+    names, found = [], []
+    for batch in batches:
+        for name, length, steps in zip(batch[key], batch["length"], batch["steps"]):
+            scores = np.array([np.asarray(s, dtype=float) for s in steps[: int(length)]])
+            if len(scores):
+                peak = scores.max(axis=1, keepdims=True)
+                scores -= peak + np.log(np.exp(scores - peak).sum(axis=1, keepdims=True))
+            of_clip = search(scores)
+            found += of_clip
+            names += [name] * len(of_clip)
+            if len(found) >= FRAME_ROWS:
+                yield _frame(key, names, found)
+                names, found = [], []
+    if found:
+        yield _frame(key, names, found)
+
+
+def _frame(key: str, names: list, found: list[tuple[str, float, float]]) -> pd.DataFrame:
+    prefixes, acoustic, language = zip(*found)
+    words = [p.split() for p in prefixes]
+    return pd.DataFrame({
+        key: names, "text": [" ".join(w) for w in words], "am_score": acoustic, "lm_score": language,
+        "word_count": [len(w) for w in words],
+    })
+
+
 def beam_decode(
     logits: DataFrame, model: DataFrame | None = None, *, key: str = "sample_id",
     width: int = 100, alpha: float = 1.0, beta: float = 0.0, letters: str = K.SERBIAN_LETTERS,
@@ -157,19 +187,7 @@ def beam_decode(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         costs = shared.value if shared is not None else None
-        for batch in batches:
-            for name, length, steps in zip(batch[key], batch["length"], batch["steps"]):
-                scores = np.array([np.asarray(s, dtype=float) for s in steps[: int(length)]])
-                if len(scores):
-                    peak = scores.max(axis=1, keepdims=True)
-                    scores -= peak + np.log(np.exp(scores - peak).sum(axis=1, keepdims=True))
-                found = _search(scores, letters, costs, order, width, alpha, beta)
-                texts = [" ".join(p.split()) for p, _, _ in found]
-                yield pd.DataFrame({
-                    key: [name] * len(found), "text": texts,
-                    "am_score": [a for _, a, _ in found], "lm_score": [m for _, _, m in found],
-                    "word_count": [len(t.split()) for t in texts],
-                })
+        return _candidates(batches, key, lambda scores: _search(scores, letters, costs, order, width, alpha, beta))
 
     schema = T.StructType([logits.schema[key], *_CANDIDATES.fields])
     decoded = logits.select(key, "length", "steps").mapInPandas(run, schema)

@@ -6,6 +6,7 @@ import random
 import statistics
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -319,6 +320,21 @@ def test_beam_query_has_the_reference_width_and_order(spark, monkeypatch):
     assert (seen["width"], seen["order"], seen["model"]) == (100, 5, 5)
 
 
+def test_clips_share_frames_of_candidates(monkeypatch):
+    draw = np.random.default_rng(4)
+    rows = pd.DataFrame({
+        "sample_id": range(50), "length": [5] * 49 + [0], "steps": [list(draw.normal(size=(5, 4))) for _ in range(50)]})
+    search = lambda scores: beam._search(scores, " ab", None, 3, 10, 0.5, 0.3)
+    (whole,) = beam._candidates(iter([rows[:20], rows[20:]]), "sample_id", search)
+    alone = [f for i in range(50) for f in beam._candidates(iter([rows[i:i + 1]]), "sample_id", search)]
+    assert len(alone) == 50 and set(whole["sample_id"]) == set(range(50))
+    pd.testing.assert_frame_equal(whole, pd.concat(alone, ignore_index=True))
+    monkeypatch.setattr(beam, "FRAME_ROWS", 100)
+    frames = list(beam._candidates(iter([rows]), "sample_id", search))
+    assert max(map(len, frames)) < 110
+    pd.testing.assert_frame_equal(whole, pd.concat(frames, ignore_index=True))
+
+
 def test_beam_of_100_with_order_5_is_exact_on_short_clips():
     draw = np.random.default_rng(11)
     tokens = ["<s>", "a", "b", K.LM_SPACE, "</s>"]
