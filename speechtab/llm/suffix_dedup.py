@@ -10,7 +10,8 @@ function of its bytes alone, so equal windows meet. Consecutive windows of one b
    windows' width, by deep-shallow sorting: multikey quicksort, eight bytes at a time, to a shallow
    depth, then blind tries order the groups that still have a common prefix. Neighbours that are equal
    are one string, and the smallest id among them owns it. Buckets of many segments don't go to one
-   task: each of their windows is a string of its own, whose smallest id is aggregated before the shuffle.
+   task: their segments are cut where windows lie differently about the least gram, and the pieces are dealt
+   by the bytes that all of their windows share. In the largest buckets a piece is a single window.
 3. Each document joins its segments with the owners, and the covered bytes go.
 
 The segments of a document are found anew in each pass instead of being moved. Passes after the first
@@ -28,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechtab.llm.common import cut, discard, map_batches, whole_groups, whole_text
@@ -39,8 +40,12 @@ GRAM = 24
 #: Windows of a segment at most; their marks fill a long.
 SEGMENT = 32
 SHALLOW = 24
-#: Segments of a bucket, counted once a document, beyond which its windows are aggregated one by one.
+#: Segments of a bucket, counted once a document, beyond which they are cut into pieces.
 CROWDED = 2_000
+#: And beyond which each of their windows is a piece.
+TEEMING = 100_000
+#: Windows of a piece at most.
+PIECE = 9
 #: log2 of the bits of a bit map: 8 MiB.
 MAP_BITS = 26
 
@@ -58,17 +63,24 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
-def segments(text: bytes):
-    """First windows, numbers of windows, buckets and content hashes of a text's segments."""
-    windows = len(text) - WIDTH + 1
-    if windows < 1:
-        return np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
+def _grams(text: bytes) -> np.ndarray:
+    """Hashes of a text's grams."""
     words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
     grams = len(text) - GRAM + 1
     x = words[:grams] * _A + (words[8:8 + grams] ^ _D) * _B + words[16:16 + grams] * _C
     x ^= x >> np.uint64(32)
     x *= _D
     x ^= x >> np.uint64(29)
+    return x
+
+
+def segments(text: bytes):
+    """First windows, numbers of windows, buckets and content hashes of a text's segments."""
+    windows = len(text) - WIDTH + 1
+    if windows < 1:
+        return np.zeros((2, 0), np.int64), np.zeros((2, 0), np.int64)
+    x = _grams(text)
+    grams = len(x)
     least, span, need = x, 1, WIDTH - GRAM + 1
     while 2 * span <= need:
         least, span = np.minimum(least[:-span], least[span:]), 2 * span
@@ -184,14 +196,16 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         outlined.groupBy("bucket").agg(
             F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"),
             F.min("content").alias("content"), (F.min("content") != F.max("content")).alias("mixed"),
-            (F.count("*") > CROWDED).alias("crowded"),
+            ((F.count("*") > CROWDED).cast("int") + (F.count("*") > TEEMING).cast("int")).alias("crowd"),
         ).filter("owner < last").select(
             # The only segment of a bucket stands for it.
-            F.when(F.col("mixed"), F.col("bucket")).otherwise(F.col("content")).alias("key"), "owner", "mixed", "crowded"
+            F.when(F.col("mixed"), F.col("bucket")).otherwise(F.col("content")).alias("key"), "owner", "mixed", "crowd"
         ),
         "shared",
     )
-    sent = texts.sparkSession.sparkContext.broadcast([_bit_map(shared.filter(m)) for m in ("NOT mixed", "mixed", "mixed AND crowded")])
+    sent = texts.sparkSession.sparkContext.broadcast([
+        _bit_map(shared.filter(m)) for m in ("NOT mixed", "mixed", "mixed AND crowd > 0", "mixed AND crowd > 1")
+    ])
 
     def members(batches):
         maps = [np.frombuffer(m, np.uint8) for m in sent.value]
@@ -202,41 +216,42 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                     continue
                 data = text.encode()
                 places, keys = segments(data)
-                spots = keys[[1, 0, 0]] & (1 << MAP_BITS) - 1
-                plain, mixed, crowded = (
+                spots = keys[[1, 0, 0, 0]] & (1 << MAP_BITS) - 1
+                plain, mixed, crowded, teeming = (
                     (m[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool) for m, s in zip(maps, spots)
                 )
                 take = np.flatnonzero(plain | mixed)
                 take = take[np.unique(keys[1][take], return_index=True)[1]]
+                crowd = crowded.astype(np.int32) + teeming
                 for start, size, bucket, content, more, many in zip(
-                    *places[:, take].tolist(), *keys[:, take].tolist(), mixed[take].tolist(), crowded[take].tolist()
+                    *places[:, take].tolist(), *keys[:, take].tolist(), mixed[take].tolist(), crowd[take].tolist()
                 ):
                     rows.append(
                         (doc, content, bucket, data[start:start + size + WIDTH - 1], many) if more
-                        else (doc, content, None, None, False)
+                        else (doc, content, None, None, 0)
                     )
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             columns = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "content", "bucket", "bytes", "crowded"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "content", "bucket", "bytes", "crowd"]
             )
 
     found = cut(
-        map_batches(texts, members, "doc_id long, content long, bucket long, bytes binary, crowded boolean"), "members"
+        map_batches(texts, members, "doc_id long, content long, bucket long, bytes binary, crowd int"), "members"
     )
     whole = found.join(shared.filter("NOT mixed").select(F.col("key").alias("content"), "owner"), "content").filter(
         "doc_id > owner"
     ).select("doc_id", "content", F.lit(-1).cast("long").alias("mask"))
     mixed = found.filter("bytes IS NOT NULL")
-    distinct, many = (
+    distinct, crowded, teeming = (
         mixed.filter(m).groupBy("bucket", "content").agg(F.min("doc_id").alias("owner"), F.min("bytes").alias("bytes"))
-        for m in ("NOT crowded", "crowded")
+        for m in ("crowd = 0", "crowd = 1", "crowd > 1")
     )
     sorted_ = map_batches(
         distinct.repartition("bucket").sortWithinPartitions("bucket", "content"), _own_windows,
         "content long, owners array<long>",
     )
-    owners = cut(sorted_.unionByName(_crowded_windows(many)), "owners")
+    owners = cut(sorted_.unionByName(_owners_of_pieces(crowded, teeming)), "owners")
     earlier = F.aggregate(
         F.sequence(F.lit(0), F.size("owners") - 1), F.lit(0).cast("long"),
         lambda mask, i: F.when(
@@ -301,23 +316,68 @@ def _own_windows(batches):
         owners = np.empty(len(order), np.int64)
         owners[order] = least[np.cumsum(fresh) - 1]
         ends = np.concatenate(([0], np.cumsum(counts)))
+        named = [c for c in ("content", "at") if c in rows.column_names]
         yield pa.RecordBatch.from_arrays(
-            [rows["content"].combine_chunks(), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(owners))],
-            names=["content", "owners"],
+            [
+                *(rows[c].combine_chunks() for c in named),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(owners)),
+            ],
+            names=[*named, "owners"],
         )
 
 
-def _crowded_windows(distinct: DataFrame) -> DataFrame:
-    """The same for buckets of any number of segments, by aggregates and joins that can be split."""
-    at = F.sequence(F.lit(1), F.octet_length("bytes") - WIDTH + 1)
-    windows = distinct.select(
-        "content", "owner", F.posexplode(F.transform(at, lambda i: F.substring("bytes", i, WIDTH))).alias("at", "window")
+def _pieces(batches, windows: int):
+    """Segments cut into pieces of at most so many windows; ``at`` is a piece's first window.
+
+    A window's kind is how far its first gram of the bucket's hash lies from its start, in steps of the piece. Equal
+    windows have equal kinds and the same ``shared`` bytes, which lie about the gram in all windows of the kind.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = batch["bytes"].to_pylist()
+        text = b"".join(parts)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        ends = np.cumsum(sizes)
+        first, counts = ends - sizes, sizes - WIDTH + 1
+        hashes = _grams(text).view(np.int64)
+        row = np.repeat(np.arange(len(parts)), sizes)[:len(hashes)]
+        inside = np.arange(len(hashes)) + GRAM <= ends[row]
+        grams = np.flatnonzero(inside & (hashes == batch["bucket"].to_numpy()[row]))
+        segment = np.repeat(np.arange(len(parts)), counts)
+        start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + first[segment]
+        gram = grams[np.searchsorted(grams, start)]
+        kind = (gram - start) // windows
+        edges = np.flatnonzero((np.diff(segment) != 0) | (np.diff(gram) != 0) | (np.diff(kind) != 0)) + 1
+        begin, end = np.append(0, edges), np.append(edges, len(start)) - 1
+        gram, kind, segment = gram[begin], kind[begin], segment[begin]
+        near = gram - kind * windows
+        far = near + WIDTH - windows + 1
+        cuts = lambda a, b: pa.array([text[i:j] for i, j in zip(a.tolist(), b.tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["content"].take(pa.array(segment)), pa.array(start[begin] - first[segment]),
+                batch["owner"].take(pa.array(segment)), pa.array(kind), cuts(near, far), cuts(start[begin], start[end] + WIDTH),
+            ],
+            names=["content", "at", "owner", "kind", "shared", "bytes"],
+        )
+
+
+def _owners_of_pieces(crowded: DataFrame, teeming: DataFrame) -> DataFrame:
+    """The same for crowded buckets; no segment becomes more rows than it has pieces, and no window is joined."""
+    made = "content long, at long, owner long, kind long, shared binary, bytes binary"
+    pieces, single = (
+        map_batches(x, lambda batches, n=n: _pieces(batches, n), made) for x, n in ((crowded, PIECE), (teeming, 1))
+    )
+    dealt = pieces.select("content", "at", "owner", "bytes", F.xxhash64("kind", "shared").alias("bucket"))
+    several = map_batches(
+        dealt.repartition("bucket").sortWithinPartitions("bucket"), _own_windows, "content long, at long, owners array<long>"
     )
-    least = windows.groupBy("window").agg(F.min("owner").alias("least"))
-    found = windows.join(least, "window").groupBy("content").agg(
-        F.array_sort(F.collect_list(F.struct("at", "least"))).alias("owners")  # ``SEGMENT`` windows at most
+    one = single.select("content", "at", F.array(F.min("owner").over(Window.partitionBy("bytes"))).alias("owners"))
+    found = several.unionByName(one).groupBy("content").agg(
+        F.array_sort(F.collect_list(F.struct("at", "owners"))).alias("owners")  # ``SEGMENT`` windows at most
     )
-    return found.select("content", F.col("owners.least").alias("owners"))
+    return found.select("content", F.flatten("owners.owners").alias("owners"))
 
 
 def suffix_sort(text: bytes, starts: np.ndarray, group: np.ndarray, width: int = WIDTH, shallow: int = SHALLOW):

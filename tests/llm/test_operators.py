@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -247,6 +248,44 @@ def test_suffix_dedup(docs, rows, empty, monkeypatch, crowded):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("teeming", [3, 0])
+def test_suffix_dedup_of_single_windows(docs, rows, monkeypatch, teeming):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 0)
+    monkeypatch.setattr(suffix_dedup, "TEEMING", teeming)
+    want = brute_repeats([(r[0], (r[1] or "").encode()) for r in rows])
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()} == want
+
+
+def test_a_common_passage_makes_few_pieces(spark, monkeypatch):
+    """Segments around a common passage are cut into a few pieces; equal windows come to the same piece's bucket."""
+    draw = random.Random(3)
+    some = lambda n: bytes(draw.choice(b"abcdefgh") for _ in range(n))
+    common, ends, of = some(60), [some(3) for _ in range(4)], {}
+    made = []
+    for d in range(200):
+        text = some(40) + draw.choice(ends) + common + draw.choice(ends) + some(40)
+        places, keys = suffix_dedup.segments(text)
+        for start, size, bucket, content in zip(*places.tolist(), *keys.tolist()):
+            made.append((content, bucket, d, text[start:start + size + 49]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*made), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+        names=["content", "bucket", "owner", "bytes"],
+    )
+    (pieces,) = suffix_dedup._pieces([batch], suffix_dedup.PIECE)
+    windows = sum(len(b) - 49 for *_, b in made)
+    assert sum(len(b) - 49 for b in pieces["bytes"].to_pylist()) == windows
+    assert pieces.num_rows <= 4 * len(made) < windows
+    for kind, shared, text in zip(*(pieces[c].to_pylist() for c in ("kind", "shared", "bytes"))):
+        for i in range(len(text) - 49):
+            assert shared in text[i:i + 50]
+            assert of.setdefault(text[i:i + 50], (kind, shared)) == (kind, shared)
+    # No plan joins windows: what it made grew from 44,534 rows to 1,019,157 over five times the documents.
+    table = spark.createDataFrame(
+        [(c, b, o, bytearray(t)) for c, b, o, t in made[:50]], "content long, bucket long, owner long, bytes binary")
+    plan = suffix_dedup._owners_of_pieces(table, table.limit(0))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
 def test_suffix_sort():
     draw = random.Random(1)
     for _ in range(150):
