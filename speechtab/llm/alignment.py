@@ -14,8 +14,11 @@ as long as the vocabulary whatever the corpus, and are broadcast. So no link tra
 
 A null or empty text has no tokens, and neither has one whose bytes A or B doesn't give back (it holds U+2581,
 which B reads as a space). Their counts are zero. Repeated rows keep a row each and count each; a null doc_id
-is kept. An empty table gives no rows. Other columns are ignored. A long text is encoded in parts, cut before
-a space between another character and more text, where B has no token across.
+is kept. An empty table gives no rows. Other columns are ignored.
+
+No token of A or B lies across a space between other characters, so no group does. A text is cut there; each
+distinct chunk is encoded and aligned once while its worker remembers it, and a text is its chunks in a row. A
+text with white space at its ends or in a row is one chunk. Of a long one B encodes parts, cut in the same way.
 """
 
 from __future__ import annotations
@@ -24,28 +27,39 @@ import hashlib
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechtab.llm.common import cut, map_batches
-from speechtab.llm.tokens import ChunkEncoder, byte_characters
+from speechtab.llm.tokens import SPACES, ChunkEncoder, byte_characters
 
 #: Characters of a text that B encodes at a time.
 PART = 1 << 15
 #: Links of a block, after which the next document starts another.
 BLOCK_LINKS = 1 << 25
 
+#: Chunks that A encodes at a time.
+RUN = 1_000
+#: Characters of the chunks that a worker remembers, with ``ROOM`` more for each; beyond it the memory starts anew.
+REMEMBERED = 10_000_000
+ROOM = 16
+
+_ENDS_IN_SPACE = re.compile(f"[{SPACES}]\\Z")
 _CUT = re.compile(r"(?<=[^ ])(?= .)", re.DOTALL)
 
 
 class Vocabularies(NamedTuple):
-    #: Ids of a text with a space before it.
-    encode_a: Callable[[str], np.ndarray]
+    #: Ids of texts with a space before each; A's in a row.
+    encode_a: Callable[[list[str]], np.ndarray]
+    encode_chunks_a: Callable[[list[str]], np.ndarray]
     encode_b: Callable[[str], list[int]]
+    encode_all_b: Callable[[list[str]], list[list[int]]]
     bytes_a: list[bytes]
     bytes_b: list[bytes]
     #: For each id of A the id of B with the same bytes, or -1.
@@ -85,34 +99,32 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
     for number in range(len(bytes_b) - 1, -1, -1):
         if not b.is_byte(number) or bytes_b[number] not in by_bytes:
             by_bytes[bytes_b[number]] = number
-    model = a.model
 
-    def packed(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
+    def encode(chunk: str) -> bytes:
+        return array("I", a.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    encoder = ChunkEncoder(
-        lambda chunk: packed(a.encode(chunk, add_special_tokens=False).ids),
-        lambda chunk: packed([
-            t.id for t in model.tokenize(chunk.encode().decode("latin-1").translate(written))
-        ]),
-        spaces_matter=True,
-    )
+    encoder = ChunkEncoder(encode, encode, spaces_matter=True)
 
-    def encode_a(text: str) -> np.ndarray:
-        """Ids of a space and the text, so each of its chunks stands behind a space."""
-        try:
-            found = b"".join(map(encoder.words.__getitem__, text.split(" ")))
-        except TypeError:  # white space in a row
-            found = encoder(" " + text)
-        return np.frombuffer(found, np.uint32).astype(np.int64)
+    def encode_a(texts: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join([encoder(" " + t) for t in texts if t]), np.uint32).astype(np.int64)
 
-    def encode_b(text: str) -> list[int]:
+    def encode_chunks_a(chunks: list[str]) -> np.ndarray:
+        runs = [" " + " ".join(chunks[i:i + RUN]) for i in range(0, len(chunks), RUN)]
+        return np.array([i for e in a.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], np.int64)
+
+    def encode_all_b(texts: list[str]) -> list[list[int]]:
+        if max(map(len, texts), default=0) <= PART:
+            return b.encode(texts, num_threads=1)
         # B puts a space before each part, so a part goes without its own.
-        parts = _parts(text)
-        return [i for ids in b.encode(parts[:1] + [p[1:] for p in parts[1:]], num_threads=1) for i in ids]
+        split = [_parts(t) for t in texts]
+        ids = iter(b.encode([p if not i else p[1:] for parts in split for i, p in enumerate(parts)], num_threads=1))
+        return [next(ids) if len(parts) == 1 else [i for _ in parts for i in next(ids)] for parts in split]
+
+    def encode_b(text: str) -> list[int]:
+        return encode_all_b([text])[0]
 
     same = np.array([by_bytes.get(t, -1) for t in bytes_a], np.int64)
-    return Vocabularies(encode_a, encode_b, bytes_a, bytes_b, same)
+    return Vocabularies(encode_a, encode_chunks_a, encode_b, encode_all_b, bytes_a, bytes_b, same)
 
 
 def _parts(text: str) -> list[str]:
@@ -134,7 +146,10 @@ class Aligned(NamedTuple):
     n_b: np.ndarray
     n_groups: np.ndarray
     n_links: np.ndarray
-    digests: list[str]
+    #: What each text's digest is of.
+    listed: list[bytes]
+    #: Whether both sides give a text back; it has no tokens otherwise.
+    whole: np.ndarray
     #: For each link its text, its pair and whether the identity map has it as a group of its own.
     text: np.ndarray
     pair: np.ndarray
@@ -149,24 +164,33 @@ def _written(sizes: tuple[int, int]) -> np.ndarray:
     return np.array([f"{i}{sign}".encode() for ids, sign in signs for i in ids], "S")
 
 
-def align(vocabulary: Vocabularies, texts: list[str | None]) -> Aligned:
-    ids_a, ids_b = [], []
-    for text in texts:
-        a, b = np.zeros(0, np.int64), []
-        if text:
-            spaced = " " + text
-            a, b, whole = vocabulary.encode_a(text), vocabulary.encode_b(text), spaced.encode()
-            if (
-                b"".join(map(vocabulary.bytes_a.__getitem__, a.tolist())) != whole
-                or b"".join(map(vocabulary.bytes_b.__getitem__, b)) != whole
-            ):
-                a, b = a[:0], []
-        ids_a.append(a)
-        ids_b.append(np.array(b, np.int64))
-    sizes_a, sizes_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-    a, b = np.concatenate(ids_a), np.concatenate(ids_b)
-    length_a, length_b = (np.array([len(t) for t in side]) for side in vocabulary[2:4])
+def _joined(tokens: list[bytes], ids: list[int]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids))
+
+
+def align(vocabulary: Vocabularies, texts: list[str], chunks: bool = False) -> Aligned:
+    """Each text with a space before it; an empty one has no tokens. ``chunks``: no token of A lies across two texts."""
+    spaced = [(" " + t).encode() if t else b"" for t in texts]
+    expected, stops = b"".join(spaced), np.cumsum(np.fromiter(map(len, spaced), np.int64, len(texts)))
+    lists_b = vocabulary.encode_all_b(texts)
+    sizes_b = np.fromiter(map(len, lists_b), np.int64, len(texts))
+    b = np.fromiter(chain.from_iterable(lists_b), np.int64)
+    a = vocabulary.encode_chunks_a(texts) if chunks else vocabulary.encode_a(texts)
+    length_a, length_b = (np.fromiter(map(len, side), np.int64) for side in (vocabulary.bytes_a, vocabulary.bytes_b))
     ends_a, ends_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
+    # Where A gives all bytes back its tokens are told apart by where texts end.
+    sizes_a = np.diff(np.searchsorted(ends_a, stops, "right"), prepend=0)
+    found_a, found_b = _joined(vocabulary.bytes_a, a.tolist()), _joined(vocabulary.bytes_b, b.tolist())
+    whole = np.ones(len(texts), bool)
+    stops_a, stops_b = (np.append(0, ends)[np.cumsum(n)] for ends, n in ((ends_a, sizes_a), (ends_b, sizes_b)))
+    if found_a != expected or found_b != expected or (stops_a != stops).any() or (stops_b != stops).any():
+        lists_a = [vocabulary.encode_a([t]) for t in texts] if found_a != expected else np.split(a, np.cumsum(sizes_a)[:-1])
+        for i, text in enumerate(spaced):
+            whole[i] = _joined(vocabulary.bytes_a, lists_a[i].tolist()) == text and _joined(vocabulary.bytes_b, lists_b[i]) == text
+        sizes_a = np.fromiter(map(len, lists_a), np.int64, len(texts)) * whole
+        a, b = np.concatenate([x[:n] for x, n in zip(lists_a, sizes_a.tolist())]), b[np.repeat(whole, sizes_b)]
+        sizes_b = sizes_b * whole
+        ends_a, ends_b = np.cumsum(length_a[a]), np.cumsum(length_b[b])
     # Texts end at the same byte on both sides, so no group crosses from one to the next.
     last_a, last_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
@@ -179,7 +203,7 @@ def align(vocabulary: Vocabularies, texts: list[str | None]) -> Aligned:
     mapped = (count_a[group] == 1) & (count_b[group] == 1) & (vocabulary.same[linked_a] == linked_b)
     text_a = np.repeat(np.arange(len(texts)), sizes_a)
     text = text_a[in_a]
-    # What each text's digest is of: the tokens of a group, A's before B's.
+    # The tokens of a group, A's before B's.
     seen_a, seen_b = np.cumsum(count_a), np.cumsum(count_b)
     place_a = np.arange(len(a)) + (seen_b - count_b)[group_a]
     place_b = np.arange(len(b)) + seen_a[group_b]
@@ -187,17 +211,123 @@ def align(vocabulary: Vocabularies, texts: list[str | None]) -> Aligned:
     rows = np.empty(len(a) + len(b), np.int64)
     rows[place_a] = a + last_a * len(vocabulary.bytes_a)
     rows[place_b] = 2 * len(vocabulary.bytes_a) + b + last_b * len(vocabulary.bytes_b)
-    digests, start = [], 0
-    for size in (sizes_a + sizes_b).tolist():
-        listed = table[rows[start:start + size]].tobytes().replace(b"\0", b"")[:-1]
-        digests.append(hashlib.sha256(listed).hexdigest() if size else "")
-        start += size
+    written = table[rows].tobytes().replace(b"\0", b"")
+    cuts = np.append(0, np.cumsum(np.char.str_len(table)[rows]))[np.append(0, np.cumsum(sizes_a + sizes_b))].tolist()
+    listed = [written[i:j - 1] if i < j else b"" for i, j in zip(cuts, cuts[1:])]
     return Aligned(
         sizes_a, sizes_b, np.bincount(text_a[last_a], minlength=len(texts)), np.bincount(text, minlength=len(texts)),
-        digests, text, vocabulary.code(linked_a, linked_b), mapped,
+        listed, whole, text, vocabulary.code(linked_a, linked_b), mapped,
     )
 
 
+class _Rows:
+    """An array that rows are added to."""
+
+    def __init__(self, kind):
+        self.held, self.size = np.zeros(1 << 10, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.held):
+            self.held = np.concatenate((self.held[:self.size], np.zeros(self.size + 2 * len(values), self.held.dtype)))
+        self.held[self.size:self.size + len(values)] = values
+        self.size += len(values)
+
+
+class _Lists:
+    """Lists of numbers in a row, one for each chunk."""
+
+    def __init__(self, kind):
+        self.sizes, self.starts, self.values = _Rows(np.int32), _Rows(np.int64), _Rows(kind)
+
+    def add(self, of: np.ndarray, values: np.ndarray, lists: int) -> None:
+        """``of`` names the list of each value and ascends."""
+        sizes = np.bincount(of, minlength=lists)
+        self.starts.add(self.values.size + np.cumsum(sizes) - sizes)
+        self.sizes.add(sizes)
+        self.values.add(values)
+
+    def rows(self, chunks: np.ndarray, stops: np.ndarray) -> pa.Array:
+        """The lists of ``chunks`` in a row, a new one after each of ``stops`` chunks."""
+        sizes = self.sizes.held[chunks].astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        places = np.arange(ends[-1]) + np.repeat(self.starts.held[chunks] - ends[:-1], sizes)
+        bounds = np.concatenate(([0], ends[stops])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(self.values.held[places]))
+
+
+class Chunks(dict):
+    """The number of each chunk that a worker remembers; -1 if the space beside it is no place to cut."""
+
+    def __init__(self, vocabulary: Vocabularies, remembered: int):
+        super().__init__()
+        self.vocabulary, self.remembered = vocabulary, remembered
+        self._start_anew()
+
+    def _start_anew(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.listed: list[bytes] = []
+        self.characters = self.count = 0
+        self.whole = _Rows(bool)
+        self.sums = [_Rows(np.int32) for _ in range(4)]
+        self.mapped = _Lists(np.int32)
+        self.others = _Lists(np.int32 if self.vocabulary.pair_type() == "int" else np.int64)
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = -1 if not chunk or _ENDS_IN_SPACE.search(chunk) else self._number(chunk)
+        return number
+
+    def _number(self, chunk: str) -> int:
+        self.fresh.append(chunk)
+        self.characters += len(chunk) + ROOM
+        self.count += 1
+        return self.count - 1
+
+    def aligned(self, texts: list[str | None]) -> list[pa.Array]:
+        """n_a, n_b, n_groups, n_links, digest, mapped and other links of each text."""
+        if self.characters > self.remembered:
+            self._start_anew()
+        lists = [list(map(self.__getitem__, text.split(" "))) if text else [] for text in texts]
+        self._align_fresh(chunks=True)
+        for i, text in enumerate(texts):
+            if -1 in lists[i]:
+                lists[i] = [self._number(text)]
+        self._align_fresh(chunks=False)
+        sizes = np.array([len(x) for x in lists], np.int64)
+        chunks = np.array([i for x in lists for i in x], np.int64)
+        broken = np.repeat(np.arange(len(texts)), sizes)[~self.whole.held[chunks]]
+        if len(broken):
+            for i in np.unique(broken).tolist():
+                lists[i] = []
+            sizes = np.array([len(x) for x in lists], np.int64)
+            chunks = np.array([i for x in lists for i in x], np.int64)
+        stops = np.cumsum(sizes)
+        sums = []
+        for rows in self.sums:
+            total = np.concatenate(([0], np.cumsum(rows.held[chunks], dtype=np.int64)))
+            sums.append(total[stops] - total[stops - sizes])
+        listed = self.listed
+        digests = [hashlib.sha256(b";".join([listed[i] for i in x])).hexdigest() if x else "" for x in lists]
+        return [*map(pa.array, sums), pa.array(digests), self.mapped.rows(chunks, stops), self.others.rows(chunks, stops)]
+
+    def _align_fresh(self, chunks: bool) -> None:
+        fresh, self.fresh = self.fresh, []
+        for start, stop in _by_length(fresh):
+            n, found = stop - start, align(self.vocabulary, fresh[start:stop], chunks)
+            for rows, values in zip(self.sums, found):
+                rows.add(values)
+            self.whole.add(found.whole)
+            self.listed += found.listed
+            mapped, b_size = found.mapped, len(self.vocabulary.bytes_b)
+            self.mapped.add(found.text[mapped], found.pair[mapped] // b_size, n)
+            self.others.add(found.text[~mapped], found.pair[~mapped], n)
+
+
+@lru_cache(maxsize=2)
+def _chunks(path_a: str, path_b: str) -> Chunks:
+    return Chunks(vocabularies(path_a, path_b), REMEMBERED)
+
+
 _COLUMNS = ("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "mapped", "others")
 
 
@@ -208,31 +338,20 @@ def _aligned_schema(vocabulary: Vocabularies) -> str:
     )
 
 
-
-def _lists(text: np.ndarray, values: np.ndarray, texts: int, kind) -> pa.Array:
-    """Values of each text as a list; ``text`` ascends."""
-    bounds = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=texts)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, kind))
-
-
 def _align_blocks(path_a: str, path_b: str, block_links: int):
     def step(batches):
         from pyspark import TaskContext
 
-        vocabulary = vocabularies(path_a, path_b)
-        pair_type = pa.int32() if vocabulary.pair_type() == "int" else pa.int64()
+        chunks = _chunks(path_a, path_b)
         block, links = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].to_pylist()
             for start, stop in _by_length(texts):
-                found = align(vocabulary, texts[start:stop])
-                n, b_size = stop - start, len(vocabulary.bytes_b)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * n, pa.int64()), ids.slice(start, n), *map(pa.array, found[:4]),
-                    pa.array(found.digests), _lists(found.text[found.mapped], found.pair[found.mapped] // b_size, n, pa.int32()),
-                    _lists(found.text[~found.mapped], found.pair[~found.mapped], n, pair_type),
-                ], names=_COLUMNS)
-                links += len(found.pair)
+                n, found = stop - start, chunks.aligned(texts[start:stop])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * n, pa.int64()), ids.slice(start, n), *found], names=_COLUMNS
+                )
+                links += pc.sum(found[3]).as_py()
                 if links >= block_links:
                     block, links = block + 1, 0
 

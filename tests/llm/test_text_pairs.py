@@ -101,6 +101,25 @@ def test_alignment_of_nothing(spark, docs):
     }
 
 
+@pytest.mark.parametrize("remembered", [0, 1 << 20])
+def test_chunks_are_aligned_once(monkeypatch, table, remembered):
+    seen, align = [], alignment.align
+    monkeypatch.setattr(alignment, "align", lambda v, texts, *rest: seen.extend(texts) or align(v, texts, *rest))
+    chunks = alignment.Chunks(alignment.vocabularies(BYTE_TOKENIZER, PIECE_MODEL), remembered)
+    texts = [r[1] for r in table] + ["aa bb aa, bb", "bb cc ▁", "bb cc"]
+    expected = [(a, b, g, n, digest) for a, b, g, n, _, _, digest in brute_alignment(texts)]
+    for size in (len(texts), 7):
+        found = []
+        for start in range(0, len(texts), size):
+            arrays = chunks.aligned(texts[start:start + size])
+            found += zip(*(x.to_pylist() for x in arrays[:5]))
+            assert [len(m) + len(o) for m, o in zip(*(x.to_pylist() for x in arrays[5:]))] == arrays[3].to_pylist()
+        assert found == expected
+    if remembered:
+        cut = [t for t in seen if t and " " not in t and not t[-1].isspace()]
+        assert len(cut) > 50 and len(cut) == len(set(cut))
+
+
 def test_parts_of_a_long_text_have_the_ids_of_the_whole(monkeypatch):
     monkeypatch.setattr(alignment, "PART", 5)
     vocabulary = alignment.vocabularies(BYTE_TOKENIZER, PIECE_MODEL)
