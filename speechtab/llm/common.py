@@ -47,6 +47,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
+    del df  # or its plan holds on to the shuffles
     release(spark)
     read = spark.read.parquet(path)
     read.scratch_path = path

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechtab.llm.common import cut, discard, map_batches, whole_groups, whole_text
+from speechtab.llm.common import cut, discard, map_batches, release, whole_groups, whole_text
 
 WIDTH = 50
 #: Bytes of a gram; a window has ``WIDTH - GRAM + 1`` of them.
@@ -105,7 +105,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    return _removed(docs, [F.col("doc_id")]).select(
+    return _removed(docs, [F.col("doc_id")], with_text=False).select(
         F.col("kept_0").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
     )
 
@@ -116,7 +116,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character that lost some of its bytes goes as a whole.
     """
     own = {"text": F.col("text").isNull()}  # the text itself comes back as kept_text
-    done = _removed(docs, [own.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    done = _removed(docs, [own.get(c, F.col(f"`{c}`")) for c in docs.columns], with_text=True)
     lost = F.col("n_removed") > 0
     columns = []
     for i, c in enumerate(docs.columns):
@@ -129,8 +129,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return done.select(*columns)
 
 
-def _removed(docs: DataFrame, kept: list[Column]) -> DataFrame:
-    """``kept`` as kept_0, kept_1 and so on, the counts and what is left of the text."""
+def _removed(docs: DataFrame, kept: list[Column], with_text: bool) -> DataFrame:
+    """``kept`` as kept_0, kept_1 and so on, the counts and, ``with_text``, what is left of the text."""
     lists = find_repeats(docs)
     carried = [f"kept_{i}" for i in range(len(kept))]
     joined = docs.select(
@@ -140,39 +140,51 @@ def _removed(docs: DataFrame, kept: list[Column]) -> DataFrame:
 
     def step(batches):
         for batch in batches:
-            out = []
-            for text, contents, masks in zip(*(batch[c].to_pylist() for c in ("text", "contents", "masks"))):
-                data = text.encode()
-                removed = _covered(data, contents, masks) if contents else np.zeros(len(data), bool)
+            out, texts = [], []
+            bounds = batch["contents"].offsets.to_pylist()
+            contents, masks = (batch[c].values.to_numpy() for c in ("contents", "masks"))
+            for data, i, j in zip(_bytes(batch), bounds, bounds[1:]):
+                removed = _covered(data, contents[i:j], masks[i:j]) if i < j else np.zeros(len(data), bool)
                 rest = np.frombuffer(data, np.uint8)[~removed].tobytes() if removed.any() else data
                 spans = int(np.count_nonzero(removed[1:] & ~removed[:-1]) + (len(removed) > 0 and removed[0]))
-                out.append((len(data), int(removed.sum()), spans, hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore")))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = zip(*out) if out else [()] * 5
+                out.append((len(data), int(removed.sum()), spans, hashlib.sha256(rest).hexdigest()))
+                if with_text:
+                    texts.append(rest.decode(errors="ignore"))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            columns = zip(*out) if out else [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in carried), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=[*carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+                [
+                    *(batch[c] for c in carried), *(pa.array(c, k) for c, k in zip(columns, kinds)),
+                    *([pa.array(texts, pa.string())] if with_text else []),
+                ],
+                names=[*carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])],
             )
 
     return map_batches(
         joined, step,
-        f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string",
+        f"{schema}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text,
     )
 
 
-def _covered(data: bytes, contents: list[int], masks: list[int]) -> np.ndarray:
+def _bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return batch["text"].cast(pa.binary()).to_pylist()
+
+
+def _covered(data: bytes, contents: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Bytes of a text that lie in a marked window."""
-    mask_of: dict[int, int] = {}
-    for content, mask in zip(contents, masks):
-        mask_of[content] = mask_of.get(content, 0) | mask
-    places, keys = segments(data)
-    change = np.zeros(len(data) + 1, np.int64)
-    for start, size, content in zip(*places.tolist(), keys[1].tolist()):
-        mask = mask_of.get(content, 0)
-        if mask:
-            hit = np.flatnonzero((mask >> np.arange(size)) & 1) + start
-            np.add.at(change, hit, 1)
-            np.add.at(change, hit + WIDTH, -1)
+    order = np.argsort(contents)
+    contents = contents[order]
+    fresh = np.flatnonzero(np.append(True, contents[1:] != contents[:-1]))
+    contents, masks = contents[fresh], np.bitwise_or.reduceat(masks[order], fresh)
+    (starts, sizes), keys = segments(data)
+    at = np.minimum(np.searchsorted(contents, keys[1]), len(contents) - 1)
+    found = np.flatnonzero(contents[at] == keys[1])
+    place = np.arange(SEGMENT)
+    segment, within = np.nonzero((masks[at[found], None] >> place & 1).astype(bool) & (place < sizes[found, None]))
+    windows = starts[found[segment]] + within  # each once, as no two segments share a window
+    change = np.zeros(len(data) + 1, np.int32)
+    change[windows] += 1
+    change[windows + WIDTH] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
@@ -183,9 +195,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     def outline(batches):
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for doc, data in zip(batch["doc_id"].to_pylist(), _bytes(batch)):
                 if doc is not None:
-                    _, keys = segments(text.encode())
+                    _, keys = segments(data)
                     keys = keys[:, np.unique(keys[1], return_index=True)[1]]
                     rows.append((np.full(keys.shape[1], doc), *keys))
             columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 3
@@ -207,14 +219,16 @@ def find_repeats(docs: DataFrame) -> DataFrame:
         _bit_map(shared.filter(m)) for m in ("NOT mixed", "mixed", "mixed AND crowd > 0", "mixed AND crowd > 1")
     ])
 
+    release(texts.sparkSession)  # what the first pass shuffled goes before the second one writes
+
     def members(batches):
         maps = [np.frombuffer(m, np.uint8) for m in sent.value]
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            cuts: list[bytes | None] = []
+            for doc, data in zip(batch["doc_id"].to_pylist(), _bytes(batch)):
                 if doc is None:
                     continue
-                data = text.encode()
                 places, keys = segments(data)
                 spots = keys[[1, 0, 0, 0]] & (1 << MAP_BITS) - 1
                 plain, mixed, crowded, teeming = (
@@ -222,18 +236,22 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                 )
                 take = np.flatnonzero(plain | mixed)
                 take = take[np.unique(keys[1][take], return_index=True)[1]]
-                crowd = crowded.astype(np.int32) + teeming
-                for start, size, bucket, content, more, many in zip(
-                    *places[:, take].tolist(), *keys[:, take].tolist(), mixed[take].tolist(), crowd[take].tolist()
-                ):
-                    rows.append(
-                        (doc, content, bucket, data[start:start + size + WIDTH - 1], many) if more
-                        else (doc, content, None, None, 0)
-                    )
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-            columns = zip(*rows) if rows else [()] * 5
+                more, (start, size) = mixed[take], places[:, take]
+                crowd = np.where(more, crowded[take].astype(np.int32) + teeming[take], 0)
+                rows.append((np.full(len(take), doc), keys[1][take], keys[0][take], crowd, more))
+                cuts += [
+                    data[i:j] if m else None
+                    for i, j, m in zip(start.tolist(), (start + size + WIDTH - 1).tolist(), more.tolist())
+                ]
+            docs_, content, bucket, crowd, more = (
+                [np.concatenate(c) for c in zip(*rows)] if rows else [*np.zeros((4, 0), np.int64), np.zeros(0, bool)]
+            )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "content", "bucket", "bytes", "crowd"]
+                [
+                    pa.array(docs_, pa.int64()), pa.array(content), pa.array(bucket, mask=~more),
+                    pa.array(cuts, pa.binary()), pa.array(crowd, pa.int32()),
+                ],
+                names=["doc_id", "content", "bucket", "bytes", "crowd"],
             )
 
     found = cut(

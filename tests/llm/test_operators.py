@@ -256,6 +256,29 @@ def test_suffix_dedup_of_single_windows(docs, rows, monkeypatch, teeming):
     assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()} == want
 
 
+def test_covered_bytes():
+    data, width = random.Random(1).randbytes(900), suffix_dedup.WIDTH
+    (starts, sizes), (_, contents) = suffix_dedup.segments(data)
+    marked = {3: -1, 7: 1 << int(sizes[7]) - 1, 9: 0b101}
+    named = [int(contents[i]) for i in marked] + [int(contents[9]), 5]
+    masks = [*marked.values(), 0b10, -1]
+    expected = np.zeros(len(data), bool)
+    for i, mask in (marked | {9: 0b111}).items():
+        for k in range(sizes[i]):
+            if mask >> k & 1:
+                expected[starts[i] + k:starts[i] + k + width] = True
+    assert (suffix_dedup._covered(data, np.array(named), np.array(masks)) == expected).all()
+
+
+def test_no_pass_carries_what_it_need_not(docs, monkeypatch):
+    steps, cut, release = [], suffix_dedup.cut, suffix_dedup.release
+    monkeypatch.setattr(suffix_dedup, "cut", lambda df, name: steps.append(name) or cut(df, name))
+    monkeypatch.setattr(suffix_dedup, "release", lambda spark: steps.append("release") or release(spark))
+    made = suffix_dedup._removed(docs, [F.col("doc_id")], with_text=False)
+    assert made.columns == ["kept_0", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert steps[:3] == ["shared", "release", "members"]
+
+
 def test_a_common_passage_makes_few_pieces(spark, monkeypatch):
     """Segments around a common passage are cut into a few pieces; equal windows come to the same piece's bucket."""
     draw = random.Random(3)
