@@ -80,7 +80,7 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     Sizes of whole files are summed first, so the running sum never meets in one task.
     """
     rows = spark.read.parquet(path).select("doc_id", "n_tokens", *_place())
-    return _with_start(rows).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"))
+    return _with_start(rows, rows).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +100,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             )
 
     found = map_batches(rows, digest, "doc_id long, n_tokens int, file string, row long, ids_crc32 long")
-    return _with_start(found).select(
+    return _with_start(found, rows).select(
         "doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32"
     )
 
@@ -109,9 +109,10 @@ def _place() -> list:
     return [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
 
 
-def _with_start(rows: DataFrame) -> DataFrame:
+def _with_start(rows: DataFrame, written: DataFrame) -> DataFrame:
+    """Sizes of files come from ``written``, which costs no ids."""
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size")).select(
+    files = written.groupBy("file").agg(F.sum("n_tokens").alias("size")).select(
         "file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("skip")
     )
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)

@@ -103,6 +103,14 @@ def test_token_files(spark, docs, rows, empty):
     assert token_output.read_digests(spark, path).count() == 0
 
 
+def test_ids_are_read_back_once(spark, docs):
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(docs, path, WORD_TOKENIZER, 2)
+    plan = token_output.read_digests(spark, path)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert len(scans) == 2 and sum("token_ids" in line for line in scans) == 1 and plan.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("chunk, overlap", [(32_768, 512), (500, 16), (200, 2)])
 def test_token_counts(docs, rows, empty, chunk, overlap):
     library = Tokenizer.from_file(WORD_TOKENIZER)
