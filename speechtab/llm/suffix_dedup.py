@@ -5,7 +5,8 @@ Every such string (window) belongs to the bucket of the smallest hash among its
 function of its bytes alone, so equal windows meet. Consecutive windows of one bucket are a segment.
 
 1. Buckets are aggregated: those of one document only can hold no repeat, in those with a single
-   segment every document but the first loses it whole. The others are mixed.
+   segment every document but the first loses it whole. The others are mixed. Each task aggregates what it has
+   read, and sends it by parts of the buckets as packed arrays.
 2. The distinct segments of each mixed bucket are suffix sorted, from each window's start to the
    windows' width, by deep-shallow sorting: multikey quicksort, eight bytes at a time, to a shallow
    depth, then blind tries order the groups that still have a common prefix. Neighbours that are equal
@@ -15,8 +16,9 @@ function of its bytes alone, so equal windows meet. Consecutive windows of one b
 3. Each document joins its segments with the owners, and the covered bytes go.
 
 The segments of a document are found anew in each pass instead of being moved. Passes after the first
-leave out what bit maps rule out; it has a fixed size and may let others through, which
-the joins then drop. Passages in very many documents are aggregated before the shuffle.
+leave out what bit maps rule out; those have some bits for each key and let few others through, which
+the joins then drop. Keys too many for maps that fit in memory are taken in rounds, part by part. Passages in very
+many documents are aggregated before the shuffle.
 
 A null text counts as the empty one. Documents below ``WIDTH`` bytes lose nothing, nor do rows with a
 null id. Rows with equal ids don't remove from each other. An empty table gives no rows.
@@ -25,7 +27,8 @@ null id. Rows with equal ids don't remove from each other. An empty table gives
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, partial, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +49,14 @@ CROWDED = 2_000
 TEEMING = 100_000
 #: Windows of a piece at most.
 PIECE = 9
-#: log2 of the bits of a bit map: 8 MiB.
-MAP_BITS = 26
+#: Bits of a bit map for each key at least, more where what it lets through carries bytes.
+KEY_BITS, MIXED_BITS = 6, 24
+#: log2 of the bits of a bit map at most: 128 MiB. More keys are taken in rounds.
+MAP_BITS = 30
+#: Segments that a task holds in its first pass before it sends them.
+HELD = 1 << 19
+#: Parts of the buckets at least, and log2 of the bytes of text whose segments come to one, about.
+PARTS, PART_BITS = 256, 25
 
 _A, _B, _C, _D = (np.uint64(x) for x in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -191,65 +200,195 @@ def _covered(data: bytes, contents: np.ndarray, masks: np.ndarray) -> np.ndarray
 def find_repeats(docs: DataFrame) -> DataFrame:
     """(id, contents, masks) of documents: which windows of a segment start in an earlier one as well."""
     texts = _texts(docs)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(PARTS, size >> PART_BITS)
 
     def outline(batches):
+        rows, held = [], 0
         for batch in batches:
-            rows = []
             for doc, data in zip(batch["doc_id"].to_pylist(), _bytes(batch)):
                 if doc is not None:
                     _, keys = segments(data)
-                    keys = keys[:, np.unique(keys[1], return_index=True)[1]]
                     rows.append((np.full(keys.shape[1], doc), *keys))
-            columns = [np.concatenate(c) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "bucket", "content"])
-
-    outlined = map_batches(texts, outline, "doc_id long, bucket long, content long")
+                    held += keys.shape[1]
+            if held >= HELD:
+                columns = [np.concatenate(c) for c in zip(*rows)]
+                rows, held = [], 0
+                yield _packed(*columns, n_parts)
+        if held:
+            yield _packed(*(np.concatenate(c) for c in zip(*rows)), n_parts)
+
+    outlined = map_batches(texts, outline, _PACKED)
     shared = cut(
-        outlined.groupBy("bucket").agg(
-            F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"),
-            F.min("content").alias("content"), (F.min("content") != F.max("content")).alias("mixed"),
-            ((F.count("*") > CROWDED).cast("int") + (F.count("*") > TEEMING).cast("int")).alias("crowd"),
-        ).filter("owner < last").select(
-            # The only segment of a bucket stands for it.
-            F.when(F.col("mixed"), F.col("bucket")).otherwise(F.col("content")).alias("key"), "owner", "mixed", "crowd"
+        map_batches(
+            outlined.repartition("part").sortWithinPartitions("part"),
+            partial(_shared, limits=(CROWDED, TEEMING), n_parts=n_parts),
+            "key long, owner long, mixed boolean, crowd int, part int",
         ),
         "shared",
     )
-    sent = texts.sparkSession.sparkContext.broadcast([
-        _bit_map(shared.filter(m)) for m in ("NOT mixed", "mixed", "mixed AND crowd > 0", "mixed AND crowd > 1")
-    ])
+    tally = shared.agg(*[F.count_if(F.expr(m)).alias(k) for k, m in _KINDS.items()]).first().asDict()
+    wanted = {k: n * (KEY_BITS if k == "plain" else MIXED_BITS) for k, n in tally.items()}
+    rounds = max(1, -(-max(wanted.values()) >> MAP_BITS))
+    marks = []
+    for i in range(rounds):
+        share = {k: -(-n // rounds) for k, n in wanted.items()}
+        marks += _marks(texts, shared.filter(f"part % {rounds} = {i}"), share, n_parts, rounds, i)
+    discard(shared)
+    lists = cut(
+        reduce(DataFrame.unionByName, marks).groupBy(F.col("doc_id").alias("id")).agg(
+            F.collect_list("content").alias("contents"), F.collect_list("mask").alias("masks")
+        ),
+        "marks",
+    )
+    discard(*marks)
+    return lists
+
+
+#: Keys with a bit map each: of single-content buckets their content, of mixed and of large ones the bucket.
+_KINDS = {
+    "plain": "NOT mixed", "mixed": "mixed", "many": "mixed IS NULL", "crowded": "mixed AND crowd > 0",
+    "teeming": "mixed AND crowd > 1",
+}
+_PACKED = (
+    "part int, n int, first long, least long, buckets binary, owners binary, contents binary, counts binary, "
+    "lasts binary, others binary"
+)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, as far as any number has them; they compress well."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :(int(x.max(initial=0)).bit_length() + 7) // 8].T.tobytes()
+
+
+def _numbers(planes: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if planes:
+        out[:, :len(planes) // n] = np.frombuffer(planes, np.uint8).reshape(-1, n).T
+    return out.view(np.uint64)[:, 0]
+
+
+def _part(mixed_up: np.ndarray, n_parts: int) -> np.ndarray:
+    """The parts of buckets, which ascend with these; a bucket itself is a minimum, so it is multiplied by ``_B`` first."""
+    return ((mixed_up >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int32)
+
+
+def _packed(doc: np.ndarray, bucket: np.ndarray, content: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """A row for each part: its buckets, their first and last documents and contents, and how many segments they have."""
+    bucket = bucket.view(np.uint64) * _B
+    order = np.argsort(bucket)
+    again = bucket[order[1:]] == bucket[order[:-1]]
+    several = np.flatnonzero(np.append(again, False) | np.append(False, again))
+    some = order[several]
+    order[several] = some[np.lexsort((content[some], doc[some], bucket[some]))]
+    # A segment counts once a document.
+    order = order[np.append(True, np.any([x[order[1:]] != x[order[:-1]] for x in (bucket, doc, content)], axis=0))]
+    bucket, owner, last, low, high, count = _by_bucket(
+        order, bucket, doc, doc, content, content, np.ones(len(doc), np.int64)
+    )
+    part = _part(bucket, n_parts)
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    rows = []
+    for i, j in zip(edges, edges[1:]):
+        least = owner[i:j].min()
+        more = np.flatnonzero(count[i:j] > 1) + i
+        rows.append((
+            int(part[i]), j - i, bucket[i].view(np.int64), least, _planes(np.diff(bucket[i:j], prepend=bucket[i])),
+            _planes((owner[i:j] - least).view(np.uint64)), _planes(low[i:j].view(np.uint64)),
+            _planes((count[i:j] - 1).view(np.uint64)), _planes((last[more] - owner[more]).view(np.uint64)),
+            _planes((high[more] - low[more]).view(np.uint64)),
+        ))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _PACKED.split(", ")]
+    )
+
+
+def _by_bucket(order, bucket, owner, last, low, high, count) -> tuple[np.ndarray, ...]:
+    """One entry for each bucket; ``order`` sorts them."""
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    kinds = ((owner, np.minimum), (last, np.maximum), (low, np.minimum), (high, np.maximum), (count, np.add))
+    return bucket[first], *(kind.reduceat(x[order], first) for x, kind in kinds)
+
+
+def _shared(batches, limits: tuple[int, int], n_parts: int):
+    """The buckets of more than one document, from packed rows; large ones of a single content also by themselves."""
+    inverse = np.uint64(pow(int(_B), -1, 1 << 64))
+    for rows in whole_groups(batches, "part", 1):
+        found = []
+        for row in rows.to_pylist():
+            n = row["n"]
+            bucket = np.cumsum(_numbers(row["buckets"], n), dtype=np.uint64) + np.int64(row["first"]).view(np.uint64)
+            owner = _numbers(row["owners"], n).view(np.int64) + row["least"]
+            low = _numbers(row["contents"], n).view(np.int64)
+            count = _numbers(row["counts"], n).view(np.int64) + 1
+            last, high, more = owner.copy(), low.copy(), np.flatnonzero(count > 1)
+            last[more] += _numbers(row["lasts"], len(more)).view(np.int64)
+            high[more] += _numbers(row["others"], len(more)).view(np.int64)
+            found.append((bucket, owner, last, low, high, count))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        del found, rows
+        bucket, owner, last, low, high, count = _by_bucket(np.argsort(columns[0]), *columns)
+        del columns
+        take = np.flatnonzero(owner < last)
+        bucket, owner, low, high, count = (c[take] for c in (bucket, owner, low, high, count))
+        mixed, crowd = low != high, sum((count > x).astype(np.int32) for x in limits)
+        many = np.flatnonzero(~mixed & (crowd > 0))
+        part, itself = _part(bucket, n_parts), (bucket * inverse).view(np.int64)
+        both = lambda x: np.append(x, x[many])
+        yield pa.RecordBatch.from_arrays(
+            [
+                # The only segment of a bucket stands for it.
+                pa.array(np.append(np.where(mixed, itself, low), itself[many])), pa.array(both(owner)),
+                pa.array(both(mixed), mask=np.arange(len(mixed) + len(many)) >= len(mixed)), pa.array(both(crowd)),
+                pa.array(both(part)),
+            ],
+            names=["key", "owner", "mixed", "crowd", "part"],
+        )
+
 
+def _marks(texts: DataFrame, shared: DataFrame, wanted: dict[str, int], n_parts: int, rounds: int, turn: int) -> list[DataFrame]:
+    """doc_id, content and mask of repeated segments in the parts of one round."""
+    sent = texts.sparkSession.sparkContext.broadcast(
+        {k: _bit_map(shared.filter(m), wanted[k]) for k, m in _KINDS.items()}
+    )
     release(texts.sparkSession)  # what the first pass shuffled goes before the second one writes
 
     def members(batches):
-        maps = [np.frombuffer(m, np.uint8) for m in sent.value]
+        maps = {k: np.frombuffer(m, np.uint8) for k, m in sent.value.items()}
         for batch in batches:
-            rows = []
-            cuts: list[bytes | None] = []
-            for doc, data in zip(batch["doc_id"].to_pylist(), _bytes(batch)):
-                if doc is None:
-                    continue
-                places, keys = segments(data)
-                spots = keys[[1, 0, 0, 0]] & (1 << MAP_BITS) - 1
-                plain, mixed, crowded, teeming = (
-                    (m[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool) for m, s in zip(maps, spots)
-                )
-                take = np.flatnonzero(plain | mixed)
-                take = take[np.unique(keys[1][take], return_index=True)[1]]
-                more, (start, size) = mixed[take], places[:, take]
-                crowd = np.where(more, crowded[take].astype(np.int32) + teeming[take], 0)
-                rows.append((np.full(len(take), doc), keys[1][take], keys[0][take], crowd, more))
-                cuts += [
-                    data[i:j] if m else None
-                    for i, j, m in zip(start.tolist(), (start + size + WIDTH - 1).tolist(), more.tolist())
-                ]
-            docs_, content, bucket, crowd, more = (
-                [np.concatenate(c) for c in zip(*rows)] if rows else [*np.zeros((4, 0), np.int64), np.zeros(0, bool)]
+            rows = [
+                (doc, data, *segments(data))
+                for doc, data in zip(batch["doc_id"].to_pylist(), _bytes(batch)) if doc is not None
+            ]
+            if not rows:
+                continue
+            row = np.repeat(np.arange(len(rows)), [r[2].shape[1] for r in rows])
+            (start, size), (bucket, content) = (np.concatenate([r[k] for r in rows], axis=1) for k in (2, 3))
+            asked = np.arange(len(row))
+            if rounds > 1:
+                asked = np.flatnonzero(_part(bucket.view(np.uint64) * _B, n_parts) % rounds == turn)
+            plain, mixed = _among(maps["plain"], content[asked]), _among(maps["mixed"], bucket[asked])
+            take, more = asked[plain | mixed], mixed[plain | mixed]
+            order = np.lexsort((content[take], row[take]))
+            take, more = take[order], more[order]
+            once = np.append(True, (np.diff(row[take]) != 0) | (np.diff(content[take]) != 0))[:len(take)]
+            take, more = take[once], more[once]
+            row, start, end, bucket, content = (
+                x[take] for x in (row, start, start + size + WIDTH - 1, bucket, content)
             )
+            teeming = _among(maps["teeming"], bucket)
+            # The map of the mixed ones may let a segment of very many documents through. All of a bucket go one way.
+            crowd = (teeming | _among(maps["crowded"], bucket) | _among(maps["many"], bucket)).astype(np.int32) + teeming
+            cuts = [
+                rows[r][1][i:j] if m else None
+                for r, i, j, m in zip(row.tolist(), start.tolist(), end.tolist(), more.tolist())
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(docs_, pa.int64()), pa.array(content), pa.array(bucket, mask=~more),
-                    pa.array(cuts, pa.binary()), pa.array(crowd, pa.int32()),
+                    pa.array([r[0] for r in rows], pa.int64()).take(pa.array(row)), pa.array(content),
+                    pa.array(bucket, mask=~more), pa.array(cuts, pa.binary()), pa.array(np.where(more, crowd, 0)),
                 ],
                 names=["doc_id", "content", "bucket", "bytes", "crowd"],
             )
@@ -257,17 +396,22 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     found = cut(
         map_batches(texts, members, "doc_id long, content long, bucket long, bytes binary, crowd int"), "members"
     )
-    whole = found.join(shared.filter("NOT mixed").select(F.col("key").alias("content"), "owner"), "content").filter(
-        "doc_id > owner"
-    ).select("doc_id", "content", F.lit(-1).cast("long").alias("mask"))
+    sent.destroy()
+    whole = cut(
+        found.join(shared.filter("NOT mixed").select(F.col("key").alias("content"), "owner"), "content").filter(
+            "doc_id > owner"
+        ).select("doc_id", "content", F.lit(-1).cast("long").alias("mask")),
+        "whole",
+    )
     mixed = found.filter("bytes IS NOT NULL")
-    distinct, crowded, teeming = (
-        mixed.filter(m).groupBy("bucket", "content").agg(F.min("doc_id").alias("owner"), F.min("bytes").alias("bytes"))
-        for m in ("crowd = 0", "crowd = 1", "crowd > 1")
+    least = [F.min("doc_id").alias("owner"), F.min("bytes").alias("bytes")]
+    # Dealt by bucket at once, as few rows of such a bucket are equal; those of the others meet before they are dealt.
+    distinct = mixed.filter("crowd = 0").repartition("bucket").groupBy("bucket", "content").agg(*least)
+    crowded, teeming = (
+        mixed.filter(m).groupBy("bucket", "content").agg(*least) for m in ("crowd = 1", "crowd > 1")
     )
     sorted_ = map_batches(
-        distinct.repartition("bucket").sortWithinPartitions("bucket", "content"), _own_windows,
-        "content long, owners array<long>",
+        distinct.sortWithinPartitions("bucket", "content"), _own_windows, "content long, owners array<long>"
     )
     owners = cut(sorted_.unionByName(_owners_of_pieces(crowded, teeming)), "owners")
     earlier = F.aggregate(
@@ -279,43 +423,55 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     parts = cut(
         mixed.join(owners, "content").select("doc_id", "content", earlier.alias("mask")).filter("mask <> 0"), "parts"
     )
-    discard(owners)
-    lists = cut(
-        whole.unionByName(parts).groupBy(F.col("doc_id").alias("id")).agg(
-            F.collect_list("content").alias("contents"), F.collect_list("mask").alias("masks")
-        ),
-        "marks",
-    )
-    discard(shared, found, parts)
-    return lists
-
-
-def _bit_map(keys: DataFrame) -> bytes:
-    """A bit for each ``key``, of a fixed size whatever their number."""
-    spot = F.col("key").bitwiseAND((1 << MAP_BITS) - 1)
-    size = 1 << MAP_BITS - 6  # bits of one of 64 parts
+    discard(found, owners)
+    return [whole, parts]
+
+
+def _spots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each key in a map of 2^bits bits."""
+    x = keys.view(np.uint64)
+    return tuple((x * odd >> np.uint64(64 - bits)).astype(np.int64) for odd in (_C, _D))
+
+
+def _among(bit_map: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys a map has; of others it has few."""
+    out = np.ones(len(keys), bool)
+    for spots in _spots(keys, len(bit_map).bit_length() + 2):
+        out &= (bit_map[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
+def _bit_map(keys: DataFrame, wanted: int) -> bytes:
+    """Two bits for each key, among at least as many as are wanted."""
+    bits = max(9, (wanted - 1).bit_length())
+    size = 1 << bits - 6  # bits of one of 64 parts
+
+    def deal(batches):
+        held: list[np.ndarray] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch["key"].to_numpy())
+            if held and (batch is None or sum(map(len, held)) >= HELD):
+                spots = np.sort(np.concatenate(_spots(np.concatenate(held), bits)))
+                edges = np.searchsorted(spots, np.arange(65) * size).tolist()
+                inside = (spots % size).astype(np.uint32)
+                cuts = [inside[i:j].tobytes() for i, j in zip(edges, edges[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array(cuts)], names=["part", "spots"])
+                held = []
 
     def step(batches):
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            spots = batch["spot"].to_numpy()
-            for part in np.unique(spots // size).tolist():
-                inside = spots[spots // size == part] % size
-                bits = parts.setdefault(part, np.zeros(size // 8, np.uint8))
-                np.bitwise_or.at(bits, inside >> 3, (1 << (inside & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(parts), pa.int64()), pa.array([b.tobytes() for b in parts.values()], pa.binary())],
-            names=["part", "bits"],
-        )
-
-    made = map_batches(
-        keys.select(spot.alias("spot")).distinct().repartition(F.shiftright("spot", MAP_BITS - 6)),
-        step, "part long, bits binary",
-    )
-    whole = bytearray(1 << MAP_BITS - 3)
-    for row in made.collect():
-        whole[row["part"] * size // 8:(row["part"] + 1) * size // 8] = row["bits"]
-    return bytes(whole)
+        for rows in whole_groups(batches, "part", 1):
+            made: dict[int, np.ndarray] = {}
+            for part, spots in zip(rows["part"].to_pylist(), rows["spots"].to_pylist()):
+                made.setdefault(part, np.zeros(size, bool))[np.frombuffer(spots, np.uint32)] = True
+            bits_ = [np.packbits(x, bitorder="little").tobytes() for x in made.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array(bits_)], names=["part", "bits"])
+
+    if not wanted:
+        return bytes(1 << bits - 3)
+    dealt = map_batches(keys.select("key"), deal, "part int, spots binary").repartition("part").sortWithinPartitions("part")
+    made = dict.fromkeys(range(64), bytes(size >> 3)) | {row["part"]: row["bits"] for row in map_batches(dealt, step, "part int, bits binary").collect()}
+    return b"".join(made[k] for k in range(64))
 
 
 def _own_windows(batches):

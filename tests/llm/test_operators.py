@@ -317,6 +317,62 @@ def test_a_common_passage_makes_few_pieces(spark, monkeypatch):
     assert "Join" not in plan and "Generate" not in plan
 
 
+def test_maps_rule_out_at_any_size(spark, monkeypatch):
+    """Keys beyond what a map takes are taken in rounds; one map of a fixed size let half of the other segments through."""
+    draw = random.Random(8)
+    data = []
+    for i in range(0, 40, 2):
+        common = "".join(draw.choices("abcdefghij ", k=2_000))
+        data += [(i, common), (i + 1, common + "".join(draw.choices("abcdefghij ", k=4_000)))]
+    held, cut = [], suffix_dedup.cut
+    monkeypatch.setattr(suffix_dedup, "MAP_BITS", 12)
+    monkeypatch.setattr(
+        suffix_dedup, "cut", lambda df, name: (out := cut(df, name), name == "members" and held.append(out.count()))[0])
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(table).collect()}
+    assert got == brute_repeats([(d, t.encode()) for d, t in data])
+    contents = [set(suffix_dedup.segments(t.encode())[1][1].tolist()) for _, t in data]
+    every = collections.Counter(c for x in contents for c in x)
+    repeated = sum(n for n in every.values() if n > 1)
+    assert len(held) > 1 and repeated <= sum(held) <= repeated + 0.1 * (sum(every.values()) - repeated)
+
+
+def test_maps_that_let_most_through(docs, rows, monkeypatch):
+    """Whatever the maps let through, all segments of a bucket go the same way."""
+    among = suffix_dedup._among
+    monkeypatch.setattr(suffix_dedup, "_among", lambda bit_map, keys: among(bit_map, keys) | (keys % 3 == 0))
+    want = brute_repeats([(r[0], (r[1] or "").encode()) for r in rows])
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs).collect()} == want
+
+
+@pytest.mark.parametrize("ids", [(0, 5_000), (-(1 << 63), (1 << 63) - 1)])
+def test_packed_segments(ids):
+    """The first pass sends what decides on each bucket, in fewer bytes than three plain numbers a segment."""
+    rng, n = np.random.default_rng(4), 60_000
+    one = rng.integers(-(1 << 63), (1 << 63) - 1, (2, n))
+    one[:, n // 2:] = one[:, rng.integers(0, n // 2, n // 2)]  # repeats, some with another content
+    one[1, ::5] = rng.integers(-(1 << 63), (1 << 63) - 1, n // 5)
+    one[0, :900], doc = 7, np.sort(rng.integers(*ids, n))
+    doc[:2], one[:, 1] = doc[0], one[:, 0]  # a segment counts once a document
+    sent = [suffix_dedup._packed(doc[k::3], one[0, k::3], one[1, k::3], 8) for k in range(3)]
+    if ids[0] == 0:
+        assert sum(len(pa.compress(b, "lz4", asbytes=True)) for x in sent for c in x.columns[4:] for b in c.to_pylist()) < 19 * n
+    rows = pa.Table.from_batches(sent).sort_by("part").to_batches(max_chunksize=5)
+    got = set()
+    for batch in suffix_dedup._shared(rows, limits=(300, 890), n_parts=8):
+        got |= {tuple(r.values())[:4] for r in batch.to_pylist()}
+    members = collections.defaultdict(set)
+    for d, b, c, k in zip(doc.tolist(), *one.tolist(), [i % 3 for i in range(n)]):
+        members[b].add((d, c, k))
+    want = set()
+    for b, held in members.items():
+        owner, found = min(held)[0], {c for _, c, _ in held}
+        if owner < max(held)[0]:
+            want.add((b if len(found) > 1 else found.pop(), owner, len({c for _, c, _ in held}) > 1,
+                      (len(held) > 300) + (len(held) > 890)))
+    assert got == want and any(w[3] for w in want)
+
+
 def test_suffix_sort():
     draw = random.Random(1)
     for _ in range(150):
